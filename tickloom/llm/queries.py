@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import table
+from .bpe import digest, encode
 from .exact_dedup import exact_groups
 from .mixing import mix_plan
 from .sharding import histogram_shards
@@ -24,6 +25,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(encode(table(spark, sf_dir, "documents"), public_tokenizer(), decoded=True))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,7 +47,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op5_mixing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_sharding, op5_mixing, op7_bpe, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
