@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .base import table
 from .bpe import digest, encode
 from .exact_dedup import exact_groups
+from .minhash import near_groups
 from .mixing import mix_plan
 from .sharding import histogram_shards
 
@@ -35,6 +36,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(encode(table(spark, sf_dir, "documents"), public_tokenizer(), decoded=True))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op5_mixing, op7_bpe, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_sharding, op5_mixing, op7_bpe, op8_minhash, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
