@@ -13,6 +13,7 @@ from .exact_dedup import exact_groups
 from .minhash import near_groups
 from .mixing import mix_plan
 from .sharding import histogram_shards
+from .toxicity import score, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 OP9_SQL = r"""
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
@@ -52,7 +58,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op5_mixing, op7_bpe, op8_minhash, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_sharding, op5_mixing, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
