@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .base import table
 from .bpe import digest, encode
+from .embeddings import near_vectors
 from .exact_dedup import exact_groups
 from .minhash import near_groups
 from .mixing import mix_plan
@@ -23,6 +24,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,7 +63,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op5_mixing, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op4_embeddings, op5_mixing, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
