@@ -11,6 +11,7 @@ from .base import table
 from .bpe import digest, encode
 from .embeddings import near_vectors
 from .exact_dedup import exact_groups
+from .html import extract
 from .minhash import near_groups
 from .mixing import mix_plan
 from .sharding import histogram_shards
@@ -24,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
@@ -63,7 +68,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op4_embeddings, op5_mixing, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op3_html, op4_embeddings, op5_mixing, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
