@@ -15,6 +15,7 @@ from .html import extract
 from .minhash import near_groups
 from .mixing import mix_plan
 from .sharding import histogram_shards
+from .substrings import substring_digest
 from .toxicity import score, train
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -68,7 +73,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op3_html, op4_embeddings, op5_mixing, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
