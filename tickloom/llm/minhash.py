@@ -24,11 +24,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .base import save
 from .components import components
@@ -56,21 +54,23 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """id, th (hash of the text), n (set size), h1, h2 (the set's hash), sig (64 x 4 bytes)."""
+    """id, th (hash of the text), n (set size), h1, h2 (the set's hash), sig (64 x 4 bytes), sketch (the lowest byte of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, a, b, sigs = [], [], [], []
+            sizes, a, b, sigs, sketches = [], [], [], [], []
             for value in batch.column(2):
                 s = shingles(value.as_py(), n)
                 sizes.append(len(s))
                 a.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(mix64(s ^ _SEEDS[0]).sum(dtype=np.uint64).view(np.int64)))
-                sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "th", "n", "h1", "h2", "sig"])
+                sig = signature(s) if len(s) else None
+                sigs.append(None if sig is None else sig.tobytes())
+                sketches.append(None if sig is None else sig.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "th", "n", "h1", "h2", "sig", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, th long, n long, h1 long, h2 long, sig binary")
+    return docs.mapInArrow(run, f"id {kind}, th long, n long, h1 long, h2 long, sig binary, sketch binary")
 
 
 def _posted(classes: DataFrame, prefix: int) -> DataFrame:
@@ -131,26 +131,66 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, pe
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _between_blocks(posts: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
-    """Pairs of different components in one list, compared block against block; those that agree leave the task."""
-    blocked = posts.withColumn("k", F.row_number().over(W.partitionBy("value").orderBy("c"))).withColumn("block", F.floor((F.col("k") - 1) / BLOCK).cast("int"))
-    blocked = save(blocked.select("value", "c", "label", "block"))
-    counts = blocked.groupBy("value").agg((F.max("block") + 1).alias("blocks"))
-    rows = blocked.join(counts, "value").join(classes.select("c", "sig", "n"), "c")
-    # a member of block i goes to the tasks (i, j), j >= i, and (j, i), j < i
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "label", "n", "sig")
+def _between_blocks(posts: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs of different components in one list, compared block against block; those that agree leave the task.
+
+    A component that fills a block in a list has blocks of its own, which never meet one another; small ones share blocks, dealt
+    by hash. A member goes once to every block that its own has to meet.
+    """
+    of_label = save(posts.groupBy("value", "label").agg(F.count(F.lit(1)).alias("nl")))
+    small = F.coalesce(F.sum(F.when(F.col("nl") < BLOCK, F.col("nl"))), F.lit(0))
+    of_list = of_label.groupBy("value").agg(small.alias("ns"))
+    own = F.col("nl") >= BLOCK
+    spread = F.pmod(F.xxhash64("c"), F.ceil(F.col("nl") / BLOCK))
+    shared = F.pmod(F.xxhash64("label"), F.ceil(F.greatest(F.lit(1), F.col("ns")) / BLOCK))
+    placed = posts.join(of_label, ["value", "label"]).join(of_list, "value")
+    placed = placed.select("value", "c", "label", F.when(own, F.xxhash64("label", spread)).otherwise(shared).alias("block"), F.when(own, F.col("label")).alias("single"))
+    placed = save(placed)
+    lists = placed.select("value", "block", "single").distinct().groupBy("value").agg(F.collect_list(F.struct("block", "single")).alias("all"))
+    meets = F.filter("all", lambda o: (o["block"] == F.col("block")) & F.col("single").isNull() | (o["block"] != F.col("block")) & ~F.coalesce(o["single"] == F.col("single"), F.lit(False)))
+    dealt = placed.join(lists, "value").select("value", "c", "label", "block", F.explode(meets).alias("o"))
+    dealt = dealt.select("value", "c", "label", "block", F.least("block", "o.block").alias("i"), F.greatest("block", "o.block").alias("j"))
+    tasks = dealt.join(classes.select("c", "n", "sketch"), "c").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+
+    def pairs(t: pa.RecordBatch) -> pa.RecordBatch:
+        i, j, c, label, block, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
+        sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        ends = np.append(_starts(t)[1:], t.num_rows)
+        end = np.repeat(ends, np.diff(ends, prepend=0))
+        r, found = np.arange(t.num_rows), []
+        for step in range(1, t.num_rows):
+            r = r[r + step < end[r]]
+            if not len(r):
+                break
+            q = r + step
+            fine = (label[r] != label[q]) & ((i[r] == j[r]) | (block[r] != block[q])) & (100 * n[r] >= percent * n[q]) & (100 * n[q] >= percent * n[r])
+            x, y = r[fine], q[fine]
+            fine = (sketch[x] == sketch[y]).sum(axis=1) >= matches
+            found.append(np.stack((np.minimum(c[x[fine]], c[y[fine]]), np.maximum(c[x[fine]], c[y[fine]]))))
+        every = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = batch if held is None else pa.concat_batches([held, batch])
+            # the last group may go on in the next batch
+            last = int(_starts(t)[-1])
+            held = t.slice(last)
+            if last:
+                yield pairs(t.slice(0, last))
+        if held is not None:
+            yield pairs(held)
+
+    return tasks.select("value", "i", "j", "c", "label", "block", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["block"] == group["i"]], group[group["block"] == group["j"]]
-        x, y = (np.frombuffer(b"".join(g["sig"]), "<u4").reshape(-1, COORDINATES) for g in (left, right))
-        found = []
-        for k, (c, label) in enumerate(zip(left["c"].to_numpy(), left["label"].to_numpy(), strict=True)):
-            fine = ((y == x[k]).sum(axis=1) >= matches) & (right["label"].to_numpy() != label)
-            found += [(min(c, d), max(c, d)) for d in right["c"].to_numpy()[fine]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("value", "i", "j").applyInPandas(run, "a long, b long").distinct()
+def _starts(t: pa.RecordBatch) -> np.ndarray:
+    """First row of each run of equal (value, i, j)."""
+    keys = [t.column(k).to_numpy() for k in range(3)]
+    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +201,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     full = rows.where("n > 0").withColumn("c", key)
     # the smallest id that isn't null represents a class
     rep = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))), F.min(F.struct("id", "th")))
-    classes = save(full.groupBy("c").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = save(full.groupBy("c").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
     matches = matches_for(percent)
     posts = save(_posted(classes, COORDINATES - matches + 1))
     pivot = posts.groupBy("value").agg(F.min_by("c", F.xxhash64("c")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -173,7 +213,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     # pairs with the pivot are settled; without it, a list of one component is done
     rest = labelled.join(pivot, "value").where("c <> p").join(mixed, "value", "left_semi").select("value", "c", "label")
     open_ = rest.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("value")
-    more = save(_between_blocks(rest.join(open_, "value", "left_semi"), classes, matches))
+    more = save(_between_blocks(save(rest.join(open_, "value", "left_semi")), classes, matches, percent))
     if not more.isEmpty():
         links = save(links.union(_confirmed(save(_agree(more, classes, percent)), classes, base, shingle, percent)))
         label = save(components(links))
