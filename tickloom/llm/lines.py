@@ -6,7 +6,8 @@ are settled and leave. Those that share the last name are the intervals of the s
 min_lines; neighbouring starts make up the maximal repeated runs. Names are hashes, as only equality within intervals is asked for.
 
 Of an interval the first suffix stays: by id, then place. Every line that a later one's first min_lines lines cover is deleted.
-A line with a third of all occurrences is counted by partial aggregation, and joins on names are split by AQE.
+A line with a third of all occurrences is counted by partial aggregation; joins on names are not salted, so that it makes a
+large task there.
 
 Defined cases. Lines end at \\n only. A null text has no lines, an empty one has one empty line. A null id comes after all ids; rows
 that repeat an id are ordered by a hash of their texts; rows that repeat both share all decisions and aren't copies of one another.
