@@ -39,3 +39,33 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc", 0), (1, "a\nb\nc", 0), (2, "a\nb\nc\nd", 0)], SCHEMA)
     assert sorted((x["doc_id"], x["n_removed"], x["kept"]) for x in line_dedup(docs).collect()) == [(1, 0, "a\nb\nc"), (1, 0, "a\nb\nc"), (2, 3, "d")]
     assert line_dedup(docs.where("doc_id > 9")).count() == 0
+
+
+def brute_by_words(rows, m, least):
+    held = sorted(((i is None, i or 0), t.split("\n")) for i, t, _ in rows if t is not None)
+    seen, gone = set(), {}
+    for i, lines in held:
+        for n in range(1, m + 1):
+            for k in range(len(lines) - n + 1):
+                key = tuple(lines[k : k + n])
+                words = len(" ".join(key).split())
+                if key in seen and (n == m or words >= least or (n == len(lines) and words)):
+                    gone.setdefault(i, set()).update(range(k, k + n))
+                seen.add(key)
+    out = []
+    for i, t, _ in rows:
+        lines, g = ([] if t is None else t.split("\n")), gone.get((i is None, i or 0), set())
+        out.append((i, len(lines), len(g), "\n".join(x for k, x in enumerate(lines) if k not in g)))
+    return sorted(out, key=repr)
+
+
+def test_short_runs_of_many_words_and_whole_documents(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a\nb", 0), (2, "a\nb", 0), (3, long + "\nx", 0), (4, "y\n" + long, 0), (5, "one", 0), (6, "one", 0), (7, "a\nz", 0), (8, "", 0), (9, "", 0), (10, None, 0), (11, long + "\n" + long, 0)]
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in line_dedup(spark.createDataFrame(rows, SCHEMA), min_words=50).collect()}
+    assert got[1] == (0, "a\nb") and got[2] == (2, "") and got[4] == (1, "y") and got[6] == (1, "") and got[7] == (0, "a\nz") and got[9] == (0, "") and got[11] == (2, "")
+    r = random.Random(4)
+    rows += [(i, "\n".join(" ".join(f"v{r.randrange(2)}" for _ in range(r.randrange(5))) for _ in range(r.randrange(1, 6))), 0) for i in range(20, 120)] + [(None, "a\nb", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for m, least in ((3, 4), (2, 3), (4, 5)):
+        assert sorted((tuple(x) for x in line_dedup(docs, m, min_words=least).collect()), key=repr) == brute_by_words(rows, m, least)

@@ -9,6 +9,10 @@ Of an interval the first suffix stays: by id, then place. Every line that a late
 A line with a third of all occurrences is counted by partial aggregation; joins on names are not salted, so that it makes a
 large task there.
 
+With min_words, a run of fewer lines counts too if it holds min_words words, or makes up a whole document that has a word: then
+its later occurrences are deleted. A short document that an earlier one holds as a run is a copy; the same few lines inside a longer
+document are not.
+
 Defined cases. Lines end at \\n only. A null text has no lines, an empty one has one empty line. A null id comes after all ids; rows
 that repeat an id are ordered by a hash of their texts; rows that repeat both share all decisions and aren't copies of one another.
 An empty table gives an empty result; other columns are ignored.
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import save
+from .base import n_words, save
 
 DOC = ["_none", "id", "th"]
 
@@ -51,14 +55,41 @@ def repeated_starts(base: DataFrame, min_lines: int) -> DataFrame:
     return now
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, kept (the text without later copies of runs of min_lines lines or more)."""
+def repeated_short_runs(base: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """_none, id, th, pos, k: later occurrences of runs of k < min_lines lines that hold min_words words or are whole documents."""
+    lines = base.where("text is not null").select(*DOC, F.transform(_lines(F.col("text")), lambda x: F.struct(F.unhex(F.md5(x.cast("binary"))).alias("h"), n_words(x).alias("w"))).alias("l"))
+
+    def run_of(k: int):
+        return lambda i: F.struct(i.alias("pos"), _name(*[F.get("l", i + j)["h"] for j in range(k)]).alias("name"), sum((F.get("l", i + j)["w"] for j in range(k)), F.lit(0)).alias("w"))
+
+    runs = []
+    for k in range(1, min_lines):
+        # lines before the last k - 1 start a run of k
+        made = F.transform(F.sequence(F.lit(0), F.size("l") - k), run_of(k))
+        found = lines.where(F.size("l") >= k).select(*DOC, (F.size("l") == k).alias("whole"), F.inline(made))
+        runs.append(found.select(*DOC, "pos", F.lit(k).alias("k"), "name", (F.col("w") >= F.when(F.col("whole"), 1).otherwise(min_words)).alias("asks")))
+    every = runs[0]
+    for more in runs[1:]:
+        every = every.union(more)
+    place = F.struct(*DOC, "pos")
+    first = every.groupBy("k", "name").agg(F.min(place).alias("first"), F.max("asks").alias("asked"), F.count(F.lit(1)).alias("n")).where("n > 1 and asked").drop("n", "asked")
+    return every.where("asks").join(first, ["k", "name"]).where(~place.eqNullSafe(F.col("first"))).select(*DOC, "pos", "k")
+
+
+def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed, kept (the text without later copies of runs of min_lines lines or more).
+
+    min_words: shorter runs count too if they hold so many words or are a whole document.
+    """
     base = docs.select(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     starts = repeated_starts(base, min_lines)
     place = F.struct(*DOC, "pos")
     first = starts.groupBy("name").agg(F.min(place).alias("first"))
     later = starts.join(first, "name").where(~place.eqNullSafe(F.col("first")))
-    gone = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + min_lines - 1)).alias("pos")).groupBy(*DOC).agg(F.collect_set("pos").alias("gone"))
+    later = later.select(*DOC, "pos", F.lit(min_lines).alias("k"))
+    if min_words is not None and min_lines > 1:
+        later = later.union(repeated_short_runs(base, min_lines, min_words))
+    gone = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("k") - 1)).alias("pos")).groupBy(*DOC).agg(F.collect_set("pos").alias("gone"))
     gone = save(gone).select(*[F.col(c).alias("g" + c) for c in DOC], "gone")
     out = base.join(gone, [F.col(c).eqNullSafe(F.col("g" + c)) for c in DOC], "left").withColumn("lines", F.coalesce(_lines(F.col("text")), F.array().cast("array<string>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

@@ -26,6 +26,10 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op1_lines_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"), min_words=50).select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = histogram_shards(table(spark, sf_dir, "documents"), 40)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -80,6 +84,19 @@ kept AS (SELECT l.doc_id, count(*) AS n, count(g.pos) AS removed, string_agg(lin
 SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+OP1_BY_WORDS_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, count(*) OVER (PARTITION BY doc_id) AS n FROM l),
+w AS (SELECT doc_id, pos, 1 AS k, [line] AS run, words >= CASE WHEN n = 1 THEN 1 ELSE 50 END AS counts FROM c
+  UNION ALL SELECT doc_id, pos, 2, [line, lead(line) OVER d], words + lead(words) OVER d >= CASE WHEN n = 2 THEN 1 ELSE 50 END FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+  UNION ALL SELECT doc_id, pos, 3, [line, lead(line) OVER d, lead(line, 2) OVER d], lead(pos, 2) OVER d IS NOT NULL FROM c WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (SELECT doc_id, pos, k FROM (SELECT *, row_number() OVER (PARTITION BY k, run ORDER BY doc_id, pos) AS nth FROM w) WHERE nth > 1 AND counts),
+gone AS (SELECT DISTINCT doc_id, pos + o AS pos FROM later, (SELECT unnest([0, 1, 2]) AS o) WHERE o < k),
+kept AS (SELECT l.doc_id, count(*) AS n, count(g.pos) AS removed, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_lines, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 OP9_SQL = r"""
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
@@ -88,8 +105,8 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lines, op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_lines, op1_lines_by_words, op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lines": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_lines": OP1_SQL, "op1_lines_by_words": OP1_BY_WORDS_SQL, "op9_exact_dedup": OP9_SQL}
