@@ -90,3 +90,10 @@ def test_toxicity_on_odd_rows(spark):
     some = spark.createDataFrame([(i, 1, int(i == 1)) for i in range(len(TEXTS))] + [(None, 1, 1), (2, 1, None)], "doc_id long, quality int, toxic int")
     got = score(docs, train(docs, some)).collect()
     assert len(got) == len(TEXTS) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_repeated_sentences_count_once(spark):
+    docs = spark.createDataFrame([(1, "All is well. So it is.\n" * 4000), (2, "All is well. So it is."), (3, "All is well. A bad one. " * 10)], "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.predicted) for r in score(docs, {"": -6.9, "bad": 9.0}).collect()}
+    assert got[1] == got[2] and got[1][0] < 0.01 and got[1][1] == 0 and got[3][1] == 1
+    assert offending_sentences(docs, {"": -6.9, "bad": 9.0}).count() == 10

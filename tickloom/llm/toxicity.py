@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, are trained from document labels alone.
 
-A sentence scores p = sigmoid(bias + the weights of its distinct words); a document scores 1 - product of (1 - p). The gradient of
+A sentence scores p = sigmoid(bias + the weights of its distinct words); a document scores 1 - product of (1 - p) over its distinct
+sets of words: sentences that repeat count once, in fitting and in scoring. The gradient of
 the document's log-likelihood reaches each sentence in proportion to its own share of the blame, so the sentences that offend are
 found without sentence labels: offending_sentences() returns them.
 
@@ -103,6 +104,18 @@ def _scores(model: dict[str, float], text: str | None) -> list[tuple[int, str, f
     return out
 
 
+def _noisy_or(model: dict[str, float], text: str | None) -> float:
+    """Score of a text, over the same sets of words that fit() sees."""
+    if not model:
+        return 0.0
+    bias, clean, get = model[""], 1.0, model.get
+    sentences = dict.fromkeys(s for _, s in _sentences(text))
+    for bag in dict.fromkeys(frozenset(_words(s)) for s in sentences) or [frozenset()]:
+        z = bias + sum(get(w, 0.0) for w in bag)
+        clean *= 1 - (1 / (1 + np.exp(-z)) if z > -700 else 0.0)
+    return min(1.0, max(0.0, 1 - clean))
+
+
 def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted; one row per document, nothing shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -111,13 +124,7 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
-            made = []
-            for value in batch.column(2):
-                clean = 1.0
-                if weights:
-                    for _, _, p in _scores(weights, value.as_py()) or [(0, "", 1 / (1 + np.exp(-weights[""])))]:
-                        clean *= 1 - p
-                made.append(min(1.0, max(0.0, 1 - clean)))
+            made = [_noisy_or(weights, value.as_py()) for value in batch.column(2)]
             found = pa.array(made, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array([int(x >= 0.5) for x in made], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
