@@ -22,6 +22,16 @@ def md5_128(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _decided(docs: DataFrame, id_col: str, text_col: str, content_hash: Callable[[Column], Column]) -> tuple[DataFrame, list[str]]:
+    """id, h, keep, n, sha of each row, and t where two texts share a hash; and which of them tell texts apart."""
+    base = docs.select(F.col(id_col).alias("id"), one_space(F.col(text_col)).alias("t")).withColumn("h", content_hash(F.col("t")))
+    classes = base.groupBy("h", "t").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    found = save(classes.select("h", "keep", "n", F.unhex(F.sha2("t", 256)).alias("sha")))
+    if found.groupBy("h").count().where("count > 1").isEmpty():
+        return base.select("id", "h").join(found, "h"), ["h"]
+    return base.join(classes.withColumn("sha", F.unhex(F.sha2("t", 256))), ["h", "t"]), ["h", "t"]
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = md5_128) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -29,13 +39,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folds copies before the shuffle, and texts are shuffled once. Joining the decisions back needs the hash alone,
     unless two texts share one: then the text takes part in the join too.
     """
-    base = docs.select(F.col(id_col).alias("id"), one_space(F.col(text_col)).alias("t")).withColumn("h", content_hash(F.col("t")))
-    classes = base.groupBy("h", "t").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
-    found = save(classes.select("h", "keep", "n", F.unhex(F.sha2("t", 256)).alias("sha")))
-    if found.groupBy("h").count().where("count > 1").isEmpty():
-        joined = base.select("id", "h").join(found, "h")
-    else:
-        joined = base.join(classes.withColumn("sha", F.unhex(F.sha2("t", 256))), ["h", "t"])
+    joined, _ = _decided(docs, id_col, text_col, content_hash)
     return joined.select(
         F.col("id").alias("doc_id"),
         F.col("keep").alias("keep_id"),
@@ -45,7 +49,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups() keeps, with all their columns."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = md5_128) -> DataFrame:
+    """The rows of docs that exact_groups() keeps, with all their columns; rows are told apart by id and text, null ids too."""
+    rows, key = _decided(docs, id_col, text_col, content_hash)
+    gone = rows.where(~F.col("id").eqNullSafe(F.col("keep"))).select(F.col("id").alias("_gone"), *[F.col(c).alias("_gone_" + c) for c in key]).distinct()
+    text = one_space(F.col(text_col))
+    same = {"h": content_hash(text), "t": text}
+    on = F.col(id_col).eqNullSafe(F.col("_gone"))
+    for c in key:
+        on &= same[c] == F.col("_gone_" + c)
+    return docs.join(gone, on, "left_anti")

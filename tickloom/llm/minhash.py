@@ -193,8 +193,8 @@ def _starts(t: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links of Jaccard >= percent / 100), kept."""
+def _near_rows(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """As near_groups(), with th, the hash of each row's text."""
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     rows = save(_signed(base, shingle))
     key = F.xxhash64("h1", "h2", "n")
@@ -223,10 +223,21 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     of_class = named.select("c", "label").join(least_id, "label").select("c", "component_id")
     out = rows.withColumn("c", F.when(F.col("n") > 0, key)).join(of_class, "c", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "th")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links of Jaccard >= percent / 100), kept."""
+    return _near_rows(docs, shingle, percent, id_col, text_col).drop("th")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_groups() keeps, with all their columns."""
-    gone = near_groups(docs, shingle, percent, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keep_null_ids: bool = True) -> DataFrame:
+    """The rows of docs that near_groups() keeps, with all their columns; rows are told apart by id and text.
+
+    keep_null_ids: rows without an id stay even if near_groups() doesn't keep them.
+    """
+    gone = _near_rows(docs, shingle, percent, id_col, text_col).where(~F.col("kept"))
+    if keep_null_ids:
+        gone = gone.where("doc_id is not null")
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(text_col) == F.col("_gone_th")), "left_anti")

@@ -153,5 +153,11 @@ def offending_sentences(docs: DataFrame, model: dict[str, float], least: float =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the model, trained on them and their labels, doesn't reject."""
-    gone = score(docs, train(docs, labels, id_col, text_col), id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_noisy_or(shared.value, value.as_py()) < 0.5 for value in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
