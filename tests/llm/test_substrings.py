@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import types as T
 
-from tickloom.llm.substrings import substring_dedup, substring_digest
+from tickloom.llm.substrings import _sent, substring_dedup, substring_digest
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("g", T.IntegerType())])
 
@@ -55,3 +55,11 @@ def test_kept_text_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b c d", 0), (2, "x a  b\tc y", 0)], SCHEMA)
     assert {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring_dedup(docs, 3).collect()} == {1: (0, "a b c d"), 2: (3, "x y")}
     assert substring_digest(docs.where("doc_id > 9")).count() == 0
+
+
+def test_settled_suffixes_keep_to_the_limit(spark):
+    r = random.Random(2)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(400))
+    docs = spark.createDataFrame([(i, 0, text) for i in range(60)], "id long, th long, text string").repartition(3)
+    sizes = {x["g"]: x["total"] for x in _sent(docs, 13, 500).where("keys is null").groupBy("g").agg({"n": "sum"}).withColumnRenamed("sum(n)", "total").collect()}
+    assert sum(sizes.values()) == 57 * 388 and max(sizes.values()) <= 500

@@ -7,7 +7,8 @@ the leaves of each internal node together. Nodes of a window's depth whose leave
 deeper changes what is removed, so subtrees are cut there, and runs of neighbouring windows make up the maximal repeats.
 
 A window that a third of all documents share is folded before the exchange: of the documents that a task has in hand only
-the smallest asks the group, the others are settled at once.
+the smallest asks the group, the others are settled at once. Settled suffixes travel in blocks, dealt by hash over groups of their
+own, whose number grows with all suffixes so that they too hold about `most` at most.
 
 A window is known by a 64-bit hash of its words within the group of its prefix's own hash. Groups hold 2^18 suffixes, or a 4,096th
 of all, but at most 2^24: the driver's table of prefixes grows with the corpus divided by that.
@@ -26,6 +27,7 @@ from itertools import compress
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,6 @@ from .words import mix64, windows, word_hashes
 CELLS, FAN = 4096, 256
 CHUNK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
-_PASS = 64
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -96,10 +97,10 @@ def _suffixes(owner: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)
 
 
-def _prefixes(base: DataFrame, n: int, most: int | None) -> tuple[list[np.ndarray], int]:
-    """For each level the group of every cell, or -1 - node where a longer prefix decides; and the number of groups."""
+def _prefixes(base: DataFrame, n: int, most: int | None) -> tuple[list[np.ndarray], int, int, int]:
+    """For each level the group of every cell, or -1 - node where a longer prefix decides; the number of groups; of suffixes; and `most`."""
     levels: list[np.ndarray] = []
-    groups, inner = 0, 1
+    groups, inner, total = 0, 1, 0
     for depth in range(len(_lengths(n))):
         width = inner * (CELLS if depth == 0 else FAN)
         shared = base.sparkSession.sparkContext.broadcast(levels)
@@ -116,6 +117,7 @@ def _prefixes(base: DataFrame, n: int, most: int | None) -> tuple[list[np.ndarra
         counts = np.zeros(width, np.int64)
         for r in base.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             counts[r["cell"]] = r["n"]
+        total = total or int(counts.sum())
         most = most or int(min(max(counts.sum() // 4096, 1 << 18), 1 << 24))
         last = depth == len(_lengths(n)) - 1
         over = (counts > most) & (not last)
@@ -125,16 +127,19 @@ def _prefixes(base: DataFrame, n: int, most: int | None) -> tuple[list[np.ndarra
         levels.append(to)
         if not inner:
             break
-    return levels, groups
+    return levels, groups, total, most
 
 
-def _repeats(base: DataFrame, n: int, most: int | None) -> DataFrame:
-    """id, th, pos: first word of each window that also starts in a document with a smaller id."""
-    levels, groups = _prefixes(base, n, most)
+def _sent(base: DataFrame, n: int, most: int | None) -> DataFrame:
+    """g, n, keys, ids, ths, pos: parts of groups; without keys what is settled already."""
+    levels, groups, total, most = _prefixes(base, n, most)
+    # a quarter of `most` on average, as the hash doesn't deal evenly
+    passes, block = 4 * (total // most + 1), max(1, most // 16)
     shared = base.sparkSession.sparkContext.broadcast(levels)
     names = ["g", "n", "keys", "ids", "ths", "pos"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         for turn, (ids, ths, h, owner) in enumerate(_chunks(batches)):
             at = _suffixes(owner, n)
             if not len(at):
@@ -148,7 +153,9 @@ def _repeats(base: DataFrame, n: int, most: int | None) -> DataFrame:
             later[order] = ids[who[order]] > least
             group = _placed(h, at, n, shared.value)[0]
             # what is settled already travels without keys
-            group[later] = groups + turn % _PASS
+            settled = np.flatnonzero(later)
+            seed = mix64(mix64(ids[who[settled[::block]]].astype(np.uint64)) ^ pos[settled[::block]].astype(np.uint64)) + np.uint64((task << 32) + turn)
+            group[settled] = np.repeat(groups + (mix64(seed) % np.uint64(passes)).astype(np.int64), block)[: len(settled)]
             order = np.lexsort((pos, who, group))
             cuts = np.flatnonzero(np.diff(group[order], prepend=-1))
             rows = []
@@ -157,6 +164,12 @@ def _repeats(base: DataFrame, n: int, most: int | None) -> DataFrame:
                 rows.append((int(group[part[0]]), b - a, None if later[part[0]] else key[part].tobytes(), _pack(ids[who[part]]), _pack(ths[who[part]]), _pack(pos[part])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=names)
 
+    return base.mapInArrow(send, "g long, n long, keys binary, ids binary, ths binary, pos binary")
+
+
+def _repeats(base: DataFrame, n: int, most: int | None) -> DataFrame:
+    """id, th, pos: first word of each window that also starts in a document with a smaller id."""
+
     def subtrees(rows: pd.DataFrame) -> pd.DataFrame:
         ids, ths, pos = (np.concatenate([_unpack(p, k, kind) for p, k in zip(rows[c], rows["n"], strict=True)]) for c, kind in (("ids", np.int64), ("ths", np.int64), ("pos", np.int32)))
         if rows["keys"].iloc[0] is not None:
@@ -168,8 +181,7 @@ def _repeats(base: DataFrame, n: int, most: int | None) -> DataFrame:
             ids, ths, pos = ids[hit], ths[hit], pos[hit]
         return pd.DataFrame({"id": ids, "th": ths, "pos": pos})
 
-    sent = base.mapInArrow(send, "g long, n long, keys binary, ids binary, ths binary, pos binary")
-    return sent.groupBy("g").applyInPandas(subtrees, "id long, th long, pos int")
+    return _sent(base, n, most).groupBy("g").applyInPandas(subtrees, "id long, th long, pos int")
 
 
 def _with_repeats(docs: DataFrame, n: int, id_col: str, text_col: str, most: int | None) -> DataFrame:
