@@ -28,3 +28,16 @@ def test_articles_of_the_table(spark):
         want = "\n".join(x for x in blocks if x)
         assert got[r.page_id] == (want, len(want))
     assert extract(pages.limit(0)).collect() == []
+
+
+def test_names_count_as_whole_tokens_of_containers():
+    text = "<h1>Title</h1><p>One text, long enough to read.</p><p>Another, just as long as that.</p>"
+    want = "Title\nOne text, long enough to read.\nAnother, just as long as that."
+    for name in ("content has-sidebar", "comments-open", "no-sidebar", "sidebar", "header content"):
+        assert main_text(f"<body><div class='{name}'><article>{text}</article></div></body>") == want
+        assert main_text(f"<body><div class='{name}'>{text}</div></body>") == want
+    page = "<body><article><h2 id='search-algorithms'>Search</h2><p>One text, long enough.</p><h2 id='related-work'>Related</h2><p class='notice'>Do note this, too.</p>{}</article></body>"
+    want = "Search\nOne text, long enough.\nRelated\nDo note this, too."
+    assert main_text(page.format("")) == want
+    assert main_text(page.format("<div class='share-buttons'>Share, like.</div><div id='comments'>" + "<p>A reader's view, long and long.</p>" * 20 + "</div>")) == want
+    assert main_text("<p>One text <span class='ad'>Buy</span>, long <a class='has-share'>enough</a>.</p>") == "One text , long enough."

@@ -3,9 +3,14 @@
 Every text block of a page is filed under its root-to-leaf path of tags. Of each path the text length and the punctuation are
 summed and divided by its blocks; both ratios are smoothed over the paths beside it in page order, fused by their product, and
 paths below a share of the best are set aside. The content node is the article or main element that holds a chosen path, else the
-deepest element that holds all of them; its blocks are the text. Elements that are never content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments, by tag or by a whole word of class, id or role) are left out
-before.
+deepest element that holds all of them; its blocks are the text. Elements that are never content by tag (menus, headers, footers,
+asides, forms, scripts, styles) are left out before.
+
+Names (of sidebars, notices, adverts, reader comments and the like) count by whole tokens of class, id or role. A container whose
+token is such a name, or starts with one (share-buttons, but not comments-open), is left out too, as is such a span or link inside a
+block, unless the container holds an article, main or more than half of the page's text; comments inside an article or main go
+whatever their share. Any other block with such a word in a token, and such a container that isn't left out, is doubtful: its own
+blocks have a path of their own, and stay only if their ratios reach the share. Ids of headings say nothing.
 
 Defined cases. A null or empty html, or a page without any such text, gives an empty text. Unclosed and misnested tags are closed
 where the next block starts; a page of any size is read once, paths are kept as a tree, so depth costs nothing. Repeated rows are
@@ -30,13 +35,33 @@ BLOCK = frozenset("address article aside blockquote body center dd details div d
 NEVER = frozenset("aside audio button canvas dialog footer form head header iframe menu nav noscript object script select style svg template textarea title video".split())
 CLOSED_BY_ITSELF = {"li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 NEVER_NAMED = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo related replies search share sharing sidebar social sponsor sponsored subscribe widget".split())
+#: Containers that a name alone may leave out; INLINE elements, which it leaves out whole; READERS among the names; words that make a token a state of something else.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = frozenset("div section ul ol dl table tbody tr td center details figure address".split())
+INLINE = frozenset("a abbr b cite em i label small span strong sub sup time u".split())
+READERS = frozenset("comment comments disqus replies".split())
+STATES = frozenset("active allowed closed count disabled enabled hidden no none off on open opened visible yes".split())
 
 _NAME = regex.compile(r"[a-z]+")
 _PUNCTUATION = regex.compile(r"\p{P}")
 
 
+def _named(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[frozenset, bool]:
+    """The names that tokens of class, id and role are or start with; and whether any word in them is a name."""
+    heads, some = set(), False
+    for k, v in attrs:
+        if k not in ("class", "id", "role") or not v or (k == "id" and tag in HEADINGS):
+            continue
+        for token in v.lower().split():
+            words = _NAME.findall(token)
+            some = some or not NEVER_NAMED.isdisjoint(words)
+            if words and words[0] in NEVER_NAMED and STATES.isdisjoint(words[1:]):
+                heads.add(words[0])
+    return frozenset(heads), some
+
+
 class _Blocks(HTMLParser):
-    """Text blocks with their paths; path k has parent parents[k] and tag tags[k]."""
+    """Text blocks with their paths; path k has parent parents[k] and tag tags[k]. Elements with names have paths of their own."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -45,13 +70,15 @@ class _Blocks(HTMLParser):
         self.count: Counter = Counter()
         self.text: list[str] = []
         self.blocks: list[tuple[int, str]] = []
+        self.heads: dict[int, frozenset] = {}
+        self.doubtful: set[int] = set()
 
     def _end_block(self):
         found = " ".join("".join(self.text).split())
         if found:
             # a block belongs to the nearest block element around it
             path = self.open[-1][1]
-            while path and self.tags[path] not in BLOCK:
+            while path and self.tags[path] not in BLOCK and path not in self.doubtful:
                 path = self.parents[path]
             self.blocks.append((path, found))
         self.text.clear()
@@ -74,12 +101,20 @@ class _Blocks(HTMLParser):
             self.text.append(" " if tag == "br" else "")
             return
         _, parent, skipped = self.open[-1]
-        if (parent, tag) not in self.known:
-            self.known[parent, tag] = len(self.tags)
+        heads, some = (frozenset(), False) if skipped or tag in ("html", "body", "article", "main") else _named(tag, attrs)
+        inline, some = bool(heads) and tag in INLINE, some and tag not in INLINE
+        path = None if some else self.known.get((parent, tag))
+        if path is None:
+            path = len(self.tags)
             self.parents.append(parent)
             self.tags.append(tag)
-        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id", "role") and v and not NEVER_NAMED.isdisjoint(_NAME.findall(v.lower())) for k, v in attrs)
-        self.open.append((tag, self.known[parent, tag], skipped or tag in NEVER or named or (tag == "article" and any(v and "comment" in v.lower() for k, v in attrs if k == "class"))))
+            if some:
+                self.doubtful.add(path)
+                if heads and tag in NAMED:
+                    self.heads[path] = heads
+            else:
+                self.known[parent, tag] = path
+        self.open.append((tag, path, skipped or tag in NEVER or inline or (tag == "article" and any(v and "comment" in v.lower() for k, v in attrs if k == "class"))))
         self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -100,14 +135,37 @@ class _Blocks(HTMLParser):
         self._end_block()
 
 
+def _content(page: _Blocks) -> list[tuple[int, str]]:
+    """The blocks outside of elements that their names leave out."""
+    if not page.heads:
+        return page.blocks
+    below, holds = [0] * len(page.tags), [tag in ("article", "main") for tag in page.tags]
+    for path, text in page.blocks:
+        below[path] += len(text)
+    # only an article with text counts; a parent is always numbered before its children
+    for k in range(len(below) - 1, 0, -1):
+        holds[k] = holds[k] and below[k] > 0
+        below[page.parents[k]] += below[k]
+        holds[page.parents[k]] |= holds[k]
+    inside, gone = [False] * len(page.tags), [False] * len(page.tags)
+    for k in range(1, len(below)):
+        up = page.parents[k]
+        inside[k], gone[k] = inside[up] or page.tags[up] in ("article", "main"), gone[up]
+        heads = page.heads.get(k)
+        if heads and not holds[k] and (2 * below[k] <= below[0] or (inside[k] and not heads.isdisjoint(READERS) and below[k] < below[0])):
+            gone[k] = True
+    return [(path, text) for path, text in page.blocks if not gone[path]]
+
+
 def main_text(html: str | None) -> str:
     page = _Blocks()
     page.feed(html or "")
     page.close()
-    if not page.blocks:
+    content = _content(page)
+    if not content:
         return ""
     length, marks, blocks = Counter(), Counter(), Counter()
-    for path, text in page.blocks:
+    for path, text in content:
         length[path] += len(text)
         marks[path] += len(_PUNCTUATION.findall(text))
         blocks[path] += 1
@@ -132,7 +190,9 @@ def main_text(html: str | None) -> str:
         tops = {page.parents[next(iter(tops))]}
     for k in range(len(within)):
         within[k] = k in tops or (k > 0 and within[page.parents[k]])
-    return "\n".join(text for path, text in page.blocks if within[path])
+    # blocks that a name makes doubtful stay by their own ratios
+    keep = set(chosen)
+    return "\n".join(text for path, text in content if within[path] and (path not in page.doubtful or path in keep))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
