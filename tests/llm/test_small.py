@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tickloom.llm import queries
@@ -97,3 +98,13 @@ def test_repeated_sentences_count_once(spark):
     got = {r.doc_id: (r.score, r.predicted) for r in score(docs, {"": -6.9, "bad": 9.0}).collect()}
     assert got[1] == got[2] and got[1][0] < 0.01 and got[1][1] == 0 and got[3][1] == 1
     assert offending_sentences(docs, {"": -6.9, "bad": 9.0}).count() == 10
+
+
+def test_long_texts_do_not_empty_the_sample(spark):
+    first = spark.range(200).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(queries.F.xxhash64("id", queries.F.lit(10))).first()["id"]
+    rows = [(i, "good words here. " + ("bad ones. " if i % 2 else "") + ("more and more. " * 100 if i == first else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert train(docs, labels, size=1000).get("", 0) < 0
+    with pytest.warns(UserWarning, match="nothing is learned"):
+        assert train(docs, labels, size=100) == {}

@@ -6,7 +6,8 @@ the document's log-likelihood reaches each sentence in proportion to its own sha
 found without sentence labels: offending_sentences() returns them.
 
 The model is fitted in one task on a bounded sample (SAMPLE_ROWS labelled rows, the smallest by a hash of their ids, and
-SAMPLE_BYTES of text); words that fewer than MIN_DOCUMENTS of them hold have no weight. Every text is scored whole.
+SAMPLE_BYTES of text, without texts of more than a 16th of that); words that fewer than MIN_DOCUMENTS of them hold have no weight.
+Every text is scored whole.
 
 Defined cases. A null or empty text has no sentences: its score is the score of one empty sentence. Without labelled rows all
 scores are 0. Repeated rows score alike; of labels that repeat an id the largest counts. Rows with a null id are scored,
@@ -15,6 +16,7 @@ never learned from, and not held out. An empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SAMPLE_ROWS, SAMPLE_BYTES, MIN_DOCUMENTS = 6000, 64 << 20, 4
+LONGEST_SHARE = 16
 EPOCHS, RATE, SPARSITY = 200, 0.1, 2e-4
 _SENTENCE = regex.compile(r"[^.!?\n]+")
 _WORD = regex.compile(r"[\p{L}\p{M}']+")
@@ -81,7 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lengths = texts.select("id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("th")).join(known, "id")
-    drawn = lengths.orderBy(F.xxhash64("id", F.lit(10)), "id", "th").limit(rows)
+    # one long text doesn't keep out all that come after it
+    drawn = lengths.where(F.col("n") <= size // LONGEST_SHARE).orderBy(F.xxhash64("id", F.lit(10)), "id", "th").limit(rows)
     # at most `rows` rows reach this window
     drawn = drawn.withColumn("upto", F.sum("n").over(W.orderBy(F.xxhash64("id", F.lit(10)), "id", "th").rowsBetween(W.unboundedPreceding, 0))).where(F.col("upto") <= size)
     chosen = drawn.select("id", "th", "y").distinct()
@@ -92,7 +96,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = fit([(text, y) for _, y, text in found]) if found else {}
         yield pa.RecordBatch.from_arrays([pa.array(list(model), pa.string()), pa.array(list(model.values()), pa.float64())], names=["word", "weight"])
 
-    return {r["word"]: r["weight"] for r in sample.coalesce(1).mapInArrow(run, "word string, weight double").collect()}
+    model = {r["word"]: r["weight"] for r in sample.coalesce(1).mapInArrow(run, "word string, weight double").collect()}
+    if not model and not lengths.isEmpty():
+        warnings.warn(f"no labelled text has {size // LONGEST_SHARE} bytes or fewer: nothing is learned, all scores are 0", stacklevel=2)
+    return model
 
 
 def _scores(model: dict[str, float], text: str | None) -> list[tuple[int, str, float]]:
