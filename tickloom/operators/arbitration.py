@@ -1,28 +1,169 @@
-"""Arbitration between mirrored publishers: the first to arrive opens a tick and leads it; the others contest it."""
+"""Arbitration between mirrored publishers: the first to arrive opens a tick and leads it; the others contest it.
+
+All operators take their key and order by name. The high water of a key is a running value in two levels (ordered.py); everything
+else is windowed by (key, tick) or by identity, never by the key alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import running
+
+# Bounds of the lead histogram in nanoseconds.
+LEAD_BOUNDS_NS = (50_000, 100_000, 250_000, 500_000, 1_000_000, 2_500_000, 5_000_000, 10_000_000, 25_000_000, 50_000_000, 100_000_000, 250_000_000, 500_000_000, 1_000_000_000)
+#: A source time so far ahead of its arrival is refused.
+FUTURE_SKEW_US = 5_000_000
+
+
+def canon8(x: Column) -> Column:
+    """A price or size as an integer of 10^-8: copies that encode one value differently have one identity."""
+    return F.round(x * 1e8).cast("decimal(38,0)")
 
-def floor_verdicts(copies: DataFrame, key: str = "symbol", content: str = "price") -> DataFrame:
-    """copies with a verdict: stale, open, contest, emit or drop. Windows share the partitioning on the key: one shuffle."""
-    of_key = W.partitionBy(key).orderBy("arrival_seq").rowsBetween(W.unboundedPreceding, 0)
-    of_tick = W.partitionBy(key, "tick").orderBy("arrival_seq")
-    led = copies.withColumn("hw", F.max("tick").over(of_key)).withColumn("leader", F.first("publisher").over(of_tick)).withColumn("n_tick", F.row_number().over(of_tick))
-    by_side = W.partitionBy(key, "tick", F.col("publisher") == F.col("leader")).orderBy("arrival_seq")
-    by_content = W.partitionBy(key, "tick", "publisher", content).orderBy("arrival_seq")
-    led = led.withColumn("n_side", F.row_number().over(by_side)).withColumn("n_content", F.row_number().over(by_content))
+
+def floor_verdicts(copies: DataFrame, key: str = "symbol", content: str | Column = "price", order: Sequence[str] = ("recv_us", "publisher", "event_id"), bucket: Column | None = None) -> DataFrame:
+    """copies with verdict (stale, open, contest, emit or drop), leader and lead_us: how long after its tick was opened a row came.
+
+    content: what tells two rows of one tick and publisher apart. A row with a null tick is stale after any other.
+    """
+    order = list(order)
+    if bucket is None:
+        bucket = F.floor(F.col(order[0]) / 3_600_000_000)
+    led = running(copies.withColumn("_content", F.col(content) if isinstance(content, str) else content), [key], order, bucket, _hw=("max", F.col("tick")))
+    of_tick = W.partitionBy(key, "tick").orderBy(*order)
+    led = led.withColumn("leader", F.first("publisher").over(of_tick)).withColumn("_n_tick", F.row_number().over(of_tick)).withColumn("_opened", F.first(order[0]).over(of_tick))
+    by_side = W.partitionBy(key, "tick", F.col("publisher") == F.col("leader")).orderBy(*order)
+    by_content = W.partitionBy(key, "tick", "publisher", "_content").orderBy(*order)
+    led = led.withColumn("_n_side", F.row_number().over(by_side)).withColumn("_n_content", F.row_number().over(by_content))
     verdict = (
-        F.when(F.col("tick") < F.col("hw"), "stale").when(F.col("n_tick") == 1, "open")
-        .when(F.col("publisher") != F.col("leader"), F.when(F.col("n_side") == 1, "contest").otherwise("drop"))
-        .when(F.col("n_content") == 1, "emit").otherwise("drop")
+        F.when(F.col("tick").isNull() | (F.col("tick") < F.col("_hw")), "stale").when(F.col("_n_tick") == 1, "open")
+        .when(F.col("publisher") != F.col("leader"), F.when(F.col("_n_side") == 1, "contest").otherwise("drop"))
+        .when(F.col("_n_content") == 1, "emit").otherwise("drop")
     )
-    return led.withColumn("verdict", verdict).drop("hw", "leader", "n_tick", "n_side", "n_content")
+    return led.withColumn("verdict", verdict).withColumn("lead_us", F.col(order[0]) - F.col("_opened")).drop("_content", "_hw", "_n_tick", "_opened", "_n_side", "_n_content")
+
+
+def quote_verdicts(quotes: DataFrame, order: Sequence[str], key: str = "symbol") -> DataFrame:
+    """Quotes with a verdict: bypass (no source time: forwarded as it is), future (refused), or floor_verdicts() by canonical content."""
+    future = F.col("source_us") > F.col("recv_us") + FUTURE_SKEW_US
+    outside = F.when(F.col("source_us") == 0, "bypass").when(future, "future")
+    content = F.struct(*[canon8(F.col(c)).alias(c) for c in ("bid", "bid_size", "ask", "ask_size")], "bid_n", "ask_n")
+    floored = floor_verdicts(quotes.where(outside.isNull()).withColumn("tick", F.col("source_us")), key, content, order)
+    others = quotes.where(outside.isNotNull()).withColumn("verdict", outside)
+    return floored.drop("tick").unionByName(others, allowMissingColumns=True)
+
+
+def depth_verdicts(depths: DataFrame, order: Sequence[str], key: str = "symbol") -> DataFrame:
+    """Depths (arrays bids and asks of price and size) with a verdict. A source time of 0 is a time like any other here."""
+    future = F.col("source_us") > F.col("recv_us") + FUTURE_SKEW_US
+    levels = lambda side: F.transform(side, lambda x: F.struct(canon8(x["price"]), canon8(x["size"])))
+    content = F.struct(levels("bids").alias("b"), levels("asks").alias("a"))
+    floored = floor_verdicts(depths.where(~future).withColumn("tick", F.col("source_us")), key, content, order)
+    return floored.drop("tick").unionByName(depths.where(future).withColumn("verdict", F.lit("future")), allowMissingColumns=True)
+
+
+def trade_verdicts(trades: DataFrame, order: Sequence[str], key: str = "symbol", trade_id: str = "event_id") -> DataFrame:
+    """Trades with a verdict: the first of an id is emitted, another publisher's copy contests, the same one's is dropped; id 0 bypasses.
+
+    Exact as long as the copies of an id are not spread over more than the reference's window of 8,192 ids of a key.
+    """
+    w = W.partitionBy(key, trade_id).orderBy(*order)
+    seen = trades.withColumn("winner", F.first("publisher").over(w)).withColumn("_n", F.row_number().over(w)).withColumn("lead_us", F.col(order[0]) - F.first(order[0]).over(w))
+    verdict = F.when(F.col(trade_id) == 0, "bypass").when(F.col("_n") == 1, "emit").when(F.col("publisher") != F.col("winner"), "contest").otherwise("drop")
+    return seen.withColumn("verdict", verdict).drop("_n")
 
 
 def win_rate(verdicts: DataFrame) -> DataFrame:
     """Ticks that each publisher opened and contested."""
     return verdicts.groupBy("publisher").agg(F.count_if(F.col("verdict") == "open").alias("opened"), F.count_if(F.col("verdict") == "contest").alias("contested"))
+
+
+def win_share(verdicts: DataFrame) -> DataFrame:
+    """Per publisher the ticks it opened, and their share of all opened ticks (null if there are none). One row a publisher is windowed."""
+    opened = verdicts.groupBy("publisher").agg(F.count_if(F.col("verdict") == "open").alias("opened"))
+    total = opened.agg(F.sum("opened").alias("total"))
+    return opened.crossJoin(F.broadcast(total)).select("publisher", "opened", F.when(F.col("total") > 0, F.col("opened") / F.col("total")).alias("share"))
+
+
+def lead_histogram(verdicts: DataFrame, bounds_ns: Sequence[int] = LEAD_BOUNDS_NS) -> DataFrame:
+    """le_ns, n: contested rows that came at most so long after their winner, cumulative; le_ns null counts all."""
+    leads = verdicts.where("verdict = 'contest'").select((F.col("lead_us") * 1000).alias("ns"))
+    one = leads.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("ns") <= b).alias(f"n{b}") for b in bounds_ns])
+    rows = F.array(*[F.struct(F.lit(b).cast("long").alias("le_ns"), F.col(f"n{b}").alias("n")) for b in bounds_ns], F.struct(F.lit(None).cast("long").alias("le_ns"), F.col("n")))
+    return one.select(F.inline(rows))
+
+
+def sequence_check(datagrams: DataFrame, order: Sequence[str], channel: Sequence[str], bucket: Column) -> DataFrame:
+    """datagrams with check: first, reset (another reset_count), stale (below the era's newest sequence) or ok.
+
+    An era is a run of equal reset counts of a channel, found with running values: no task holds a channel.
+    """
+    known = running(datagrams, channel, order, bucket, _before=("last_before", F.col("reset_count")))
+    turn = F.col("_before").isNull() | (F.col("_before") != F.col("reset_count"))
+    eras = running(known, channel, order, bucket, _era=("sum", turn.cast("long")))
+    seen = running(eras, [*channel, "_era"], order, bucket, _newest=("max_before", F.col("sequence")))
+    check = F.when(F.col("_before").isNull(), "first").when(turn, "reset").when(F.col("sequence") < F.col("_newest"), "stale").otherwise("ok")
+    return seen.withColumn("check", check).drop("_before", "_era", "_newest")
+
+
+def race_pairs(trades: DataFrame, signature: Sequence[str], order: Sequence[str], paths: tuple, window_us: int) -> DataFrame:
+    """The n-th copy of a signature on one path with the n-th on the other: signature, ordinal, first, second, delta_us; at most window_us apart."""
+    nth = W.partitionBy(*signature, "publisher").orderBy(*order)
+    seen = trades.where(F.col("publisher").isin(list(paths))).withColumn("ordinal", F.row_number().over(nth)).select(*signature, "ordinal", "publisher", "recv_us")
+    on = [*signature, "ordinal"]
+    a = seen.where(F.col("publisher") == paths[0]).withColumnRenamed("recv_us", "a_us").drop("publisher")
+    b = seen.where(F.col("publisher") == paths[1]).withColumnRenamed("recv_us", "b_us").drop("publisher")
+    delta = F.col("b_us") - F.col("a_us")
+    pair = a.join(b, on).where(F.abs(delta) <= window_us)
+    ahead = delta >= 0
+    return pair.select(*on, F.when(ahead, paths[0]).otherwise(paths[1]).alias("first"), F.when(ahead, paths[1]).otherwise(paths[0]).alias("second"), F.abs(delta).alias("delta_us"), F.least("a_us", "b_us").alias("first_us"))
+
+
+def lead_for(pairs: DataFrame, leader) -> DataFrame:
+    """pairs with challenger and lead_us: negative when the challenger beat the leader; pairs without the leader are left out."""
+    challenger = F.when(F.col("second") == leader, F.col("first")).when(F.col("first") == leader, F.col("second"))
+    lead = F.when(F.col("second") == leader, -F.col("delta_us")).otherwise(F.col("delta_us"))
+    return pairs.withColumn("challenger", challenger).where("challenger is not null").withColumn("lead_us", lead)
+
+
+def elect(leads: DataFrame, interval_us: int, margin_us: int, min_samples: int = 32, least_rate: float = 0.8) -> DataFrame:
+    """Per window: samples, wins and upper median of each challenger, and won: the one with the least median that clears all three bars."""
+    samples = leads.withColumn("window_us", F.floor(F.col("first_us") / interval_us).cast("long") * interval_us)
+    of = ["window_us", "challenger"]
+    nth = samples.withColumn("_n", F.row_number().over(W.partitionBy(*of).orderBy("lead_us"))).withColumn("_all", F.count(F.lit(1)).over(W.partitionBy(*of)))
+    found = nth.groupBy(*of).agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("lead_us") < -margin_us).alias("wins"), F.max(F.when(F.col("_n") == F.floor(F.col("_all") / 2) + 1, F.col("lead_us"))).alias("median_us"))
+    fit = (F.col("samples") >= min_samples) & (F.col("wins") / F.col("samples") >= least_rate) & (F.col("median_us") <= -margin_us)
+    best = F.min(F.when(fit, F.struct("median_us", "challenger"))).over(W.partitionBy("window_us"))
+    return found.withColumn("_best", best).withColumn("won", F.coalesce(fit & (F.col("challenger") == F.col("_best.challenger")), F.lit(False))).drop("_best")
+
+
+def transfer_reason(prev: Column, before: Column, after: Column, publisher: Column) -> Column:
+    """Why authority over a market moved: initial, silence or health; null where it did not, or is counted elsewhere."""
+    return F.when(before.isNull(), "initial").when(~before.eqNullSafe(after), "silence").when(~after.eqNullSafe(publisher) & ~prev.eqNullSafe(publisher), "health")
+
+
+def tape_owners(receivers: DataFrame) -> DataFrame:
+    """The row of each universe (venue, category) that serves its tape: least (liveness, rank of kind, port); only two kinds can."""
+    rank = F.when(F.col("kind") == "top_of_book", 0).when(F.col("kind") == "market_by_price", 1)
+    return receivers.withColumn("rank", rank).where("rank is not null").groupBy("venue", "category").agg(F.min(F.struct("liveness", "rank", "port", "kind")).alias("o")).select("venue", "category", "o.kind", "o.port", "o.liveness")
+
+
+def shred_verdicts(packets: DataFrame, window: int, order: Sequence[str], bucket: Column) -> DataFrame:
+    """packets (slot, fingerprint, valid, grp) with a verdict: forward, drop (invalid, or the winner's own copy) or duplicate.
+
+    The first valid packet of a key wins and is remembered while its slot is within `window` of the newest valid slot. A valid packet
+    below that horizon is forwarded and not remembered. The newest slot is a running maximum in two levels over all packets.
+    """
+    slot = F.when(F.col("valid"), F.col("slot"))
+    one = packets.withColumn("_all", F.lit(0))
+    tips = running(running(one, ["_all"], order, bucket, _tip=("max", slot)), ["_all"], order, bucket, _tip_before=("max_before", slot)).drop("_all")
+    kept = F.col("valid") & (F.col("slot") >= F.col("_tip") - window)
+    earlier = W.partitionBy("slot", "fingerprint").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    seen = tips.withColumn("winner", F.first(F.when(kept, F.col("grp")), ignorenulls=True).over(earlier))
+    held = F.col("winner").isNotNull() & (F.col("slot") >= F.coalesce("_tip_before", F.lit(0)) - window)
+    verdict = F.when(held, F.when(F.col("winner") == F.col("grp"), "drop").otherwise("duplicate")).when(F.col("valid"), "forward").otherwise("drop")
+    return seen.withColumn("verdict", verdict).drop("_tip", "_tip_before", "winner")

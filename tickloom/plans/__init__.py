@@ -1 +1,5 @@
-"""Registered queries and the SQL they are compared with."""
+"""Queries over the driver's tables, each with the SQL that gives the same rows."""
+
+from tickloom.plans import catalog, depth, history, races, ticks
+
+PLANS = (ticks, history, races, depth, catalog)

@@ -35,15 +35,15 @@ def queries() -> dict:
     return {f.__name__: f for f in (candles_1s, quote_floor_verdicts, quote_floor_admitted, tick_win_rate)} | {f"candles_rollup_{g}": _rollup(s) for g, s in GRANULARITIES.items()}
 
 
-_TRADES = """t AS (SELECT event_id AS arrival_seq, 1 + user_id % 3 AS source_id, user_id % 4 AS channel, user_id AS instrument_id,
+TRADES_SQL = """t AS (SELECT event_id AS arrival_seq, 1 + user_id % 3 AS source_id, user_id % 4 AS channel, user_id AS instrument_id,
   event_type AS symbol, value AS price, 1 + event_id % 7 AS size, epoch_us(ts) AS source_us FROM events)"""
-_BARS = f"""{_TRADES}, b AS (SELECT source_id, channel, instrument_id, cast(floor(source_us / 1000000) AS BIGINT) AS sec, arg_min(price, arrival_seq) AS open,
+_BARS = f"""{TRADES_SQL}, b AS (SELECT source_id, channel, instrument_id, cast(floor(source_us / 1000000) AS BIGINT) AS sec, arg_min(price, arrival_seq) AS open,
   max(price) AS high, min(price) AS low, arg_max(price, arrival_seq) AS close, cast(sum(size) AS BIGINT) AS volume FROM t GROUP BY ALL)"""
-_VERDICTS = f"""{_TRADES}, p AS (SELECT t.arrival_seq AS event_id, symbol, price, publisher, cast(floor(source_us / 600000000) AS BIGINT) AS tick,
+COPIES_SQL = f"""{TRADES_SQL}, p AS (SELECT t.arrival_seq AS event_id, channel, instrument_id, symbol, price, size, publisher, cast(floor(source_us / 600000000) AS BIGINT) AS tick,
     source_us + (t.arrival_seq * 7919 + publisher * 104729) % 900 * 1000000 AS recv_us
   FROM t, (SELECT unnest([0, 1, 2])::BIGINT AS publisher) WHERE (t.arrival_seq + publisher) % 11 <> 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY recv_us, publisher, event_id) AS arrival_seq FROM p),
-l AS (SELECT *, max(tick) OVER (PARTITION BY symbol ORDER BY arrival_seq) AS hw, first_value(publisher) OVER k AS leader, row_number() OVER k AS n_tick
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY recv_us, publisher, event_id) AS arrival_seq FROM p)"""
+_VERDICTS = f"""{COPIES_SQL}, l AS (SELECT *, max(tick) OVER (PARTITION BY symbol ORDER BY arrival_seq) AS hw, first_value(publisher) OVER k AS leader, row_number() OVER k AS n_tick
   FROM n WINDOW k AS (PARTITION BY symbol, tick ORDER BY arrival_seq)),
 c AS (SELECT *, row_number() OVER (PARTITION BY symbol, tick, publisher = leader ORDER BY arrival_seq) AS n_side,
   row_number() OVER (PARTITION BY symbol, tick, publisher, price ORDER BY arrival_seq) AS n_content FROM l),
