@@ -38,10 +38,10 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in _PLAIN_BYTES} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def _unsettled() -> regex.Pattern:
+def _unsettled() -> frozenset[str]:
     """Letters and digits that the regex module knows and Python's own tables don't: library versions disagree on them."""
     known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)])))
-    return regex.compile("[" + regex.escape("".join(c for c in known if unicodedata.category(c) == "Cn")) + "]")
+    return frozenset(c for c in known if unicodedata.category(c) == "Cn")
 
 
 class Vocabulary:
@@ -175,7 +175,7 @@ class Vocabulary:
 
     # -- texts
     def _split(self, text: str) -> list[str]:
-        if not text.isascii() and self._odd.search(text):
+        if not text.isascii() and not self._odd.isdisjoint(text):
             if self._library is None:
                 from tokenizers import Tokenizer
 
