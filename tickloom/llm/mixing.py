@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .base import n_words, save
 
 RANGES = 4096
+BROADCAST_SOURCES = 100_000
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, max_epochs: float) -> list[float]:
@@ -42,12 +43,16 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], budget: float, ma
     return targets
 
 
-def _drawn(docs: DataFrame, weights: Sequence[float], max_epochs: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with a column _mix: source, size, source_size, target, times. Texts are not shuffled."""
-    spark = docs.sparkSession
-    sized = docs.withColumn("_mix", F.struct(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(RANGES)).cast("int").alias("u")))
-    histogram = sized.groupBy(F.col("_mix.source").alias("s"), F.col("_mix.u").alias("u")).agg(F.sum("_mix.size").alias("words"))
-    histogram = save(histogram)
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """source, size (words) and u (range of the seeded hash of the id) of each row, and the columns `more`."""
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(RANGES)).cast("int")
+    return docs.select(F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), u.alias("u"), *more)
+
+
+def _drawn(sized: DataFrame, weights: Sequence[float], max_epochs: float) -> DataFrame:
+    """sized with source_size, target and times. The plan has one row a source and is broadcast: rows are not shuffled, whatever a source's share."""
+    spark = sized.sparkSession
+    histogram = save(sized.groupBy(F.col("source").alias("s"), "u").agg(F.sum("size").alias("words")))
     totals = sorted(((r["s"], r["words"]) for r in histogram.groupBy("s").agg(F.sum("words").alias("words")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     targets = water_fill([n for _, n in totals], [float(weights[i % len(weights)]) for i in range(len(totals))], sum(n for _, n in totals), max_epochs)
     plan = [(s, n, t, min(int(t // n), int(max_epochs)) if n else 0) for (s, n), t in zip(totals, targets, strict=True)]
@@ -57,10 +62,12 @@ def _drawn(docs: DataFrame, weights: Sequence[float], max_epochs: float, seed: i
     upto = F.sum("words").over(W.partitionBy("hs").orderBy("u"))
     reached = histogram.withColumnRenamed("s", "hs").join(sources, F.col("hs").eqNullSafe(F.col("s"))).withColumn("off", F.abs(upto - gap))
     nearest = reached.groupBy("hs").agg(F.min(F.struct("off", "u")).alias("m"))
-    cuts = sources.join(nearest, F.col("s").eqNullSafe(F.col("hs")), "left").select(F.col("s").alias("_s"), F.struct("source_size", "target", "whole", F.when(F.col("m.off") < F.abs(gap), F.col("m.u")).otherwise(-1).alias("cut")).alias("_plan"))
-    once_more = (F.col("_mix.u") <= F.col("_plan.cut")) & (F.col("_plan.whole") < int(max_epochs))
-    times = F.when(F.col("_mix.size") == 0, 0).otherwise(F.col("_plan.whole") + once_more.cast("int"))
-    return sized.join(cuts, F.col("_mix.source").eqNullSafe(F.col("_s"))).withColumn("_mix", F.struct("_mix.source", "_mix.size", "_plan.source_size", "_plan.target", times.cast("int").alias("times")))
+    cuts = sources.join(nearest, F.col("s").eqNullSafe(F.col("hs")), "left").select("s", "source_size", "target", "whole", F.when(F.col("m.off") < F.abs(gap), F.col("m.u")).otherwise(-1).alias("cut"))
+    # beyond so many sources none can be hot in all of them, and the join may shuffle
+    cuts = F.broadcast(cuts) if len(plan) <= BROADCAST_SOURCES else cuts
+    once_more = (F.col("u") <= F.col("cut")) & (F.col("whole") < int(max_epochs))
+    times = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + once_more.cast("int")).cast("int")
+    return sized.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", times)
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -68,11 +75,12 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs:
 
     weights: by the order of the sources (code point, null last), repeating. One row a source reaches the driver.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    return _drawn(narrow, weights, max_epochs, seed, "id", "text", "source").select(F.col("id").alias("doc_id"), "_mix.source", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.times") * F.col("_mix.size")).cast("long").alias("taken"), "_mix.times")
+    sized = save(_sized(docs, seed, id_col, text_col, source_col, F.col(id_col).alias("doc_id")))
+    return _drawn(sized, weights, max_epochs).select("doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "times")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3, seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, each as many times as the mix takes it."""
-    drawn = _drawn(docs, weights, max_epochs, seed, id_col, text_col, source_col).where("_mix.times > 0")
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.times")))).select(*docs.columns)
+    """The rows of docs, each as many times as the mix takes it, with all their columns, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    drawn = _drawn(_sized(docs, seed, id_col, text_col, source_col, row), weights, max_epochs).where("times > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
