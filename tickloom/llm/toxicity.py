@@ -1,12 +1,14 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, are trained from document labels alone.
 
-A sentence scores p = sigmoid(bias + the weights of its distinct words); a document scores 1 - product of (1 - p) over its distinct
+A sentence scores p = sigmoid(bias + the weights of its distinct words and of their stems: their first 3 to 8 letters, so that forms
+of one word are learned together); a document scores 1 - product of (1 - p) over its distinct
 sets of words: sentences that repeat count once, in fitting and in scoring. The gradient of
 the document's log-likelihood reaches each sentence in proportion to its own share of the blame, so the sentences that offend are
 found without sentence labels: offending_sentences() returns them.
 
 The model is fitted in one task on a bounded sample (SAMPLE_ROWS labelled rows, the smallest by a hash of their ids, and
-SAMPLE_BYTES of text, without texts of more than a 16th of that); words that fewer than MIN_DOCUMENTS of them hold have no weight.
+SAMPLE_BYTES of text, without texts of more than a 16th of that). Words and stems that fewer than MIN_DOCUMENTS of them hold, or
+whose documents are toxic less than LIFT times as often as all, have no weight.
 Every text is scored whole.
 
 Defined cases. A null or empty text has no sentences: its score is the score of one empty sentence. Without labelled rows all
@@ -29,6 +31,8 @@ from pyspark.sql import Window as W
 
 SAMPLE_ROWS, SAMPLE_BYTES, MIN_DOCUMENTS = 6000, 64 << 20, 4
 LONGEST_SHARE = 16
+LIFT, STEMS = 2.0, range(3, 9)
+CACHED_WORDS = 300_000
 EPOCHS, RATE, SPARSITY = 200, 0.1, 2e-4
 _SENTENCE = regex.compile(r"[^.!?\n]+")
 _WORD = regex.compile(r"[\p{L}\p{M}']+")
@@ -42,18 +46,45 @@ def _words(sentence: str) -> set[str]:
     return set(_WORD.findall(sentence.lower()))
 
 
+def _features(word: str) -> list[str]:
+    """The word, and its stems marked with ^, which no word holds."""
+    return [word, *("^" + word[:k] for k in STEMS if k < len(word))]
+
+
+class _Lookup(dict):
+    """word -> which of its features are known; forgets when it grows too large."""
+
+    def __init__(self, known):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        found = self[word] = tuple(f for f in _features(word) if f in self.known)
+        return found
+
+    def of(self, bag) -> set[str]:
+        return {f for w in bag for f in self[w]}
+
+
 def fit(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Weights of words, and the bias under the empty word, from (text, label) rows: Adam on the noisy-or likelihood, soft-thresholded."""
-    held, seen = [], Counter()
-    for text, _ in rows:
+    """Weights of words and stems, and the bias under the empty word, from (text, label) rows: Adam on the noisy-or likelihood, soft-thresholded."""
+    held, seen, bad = [], Counter(), Counter()
+    for text, label in rows:
         bags = {frozenset(_words(s)) for _, s in _sentences(text)} or {frozenset()}
         held.append(bags)
-        seen.update(frozenset().union(*bags))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= MIN_DOCUMENTS))}
+        found = {f for w in frozenset().union(*bags) for f in _features(w)}
+        seen.update(found)
+        if label:
+            bad.update(found)
+    least = LIFT * sum(label for _, label in rows) / max(1, len(rows))
+    vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_DOCUMENTS and bad[f] >= least * n))}
+    lookup = _Lookup(vocabulary)
     sentence, feature, owner = [], [], []
     for d, bags in enumerate(held):
         for bag in bags:
-            found = [vocabulary[w] for w in bag if w in vocabulary]
+            found = [vocabulary[f] for f in lookup.of(bag)]
             sentence += [len(owner)] * len(found)
             feature += found
             owner.append(d)
@@ -102,25 +133,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _scores(model: dict[str, float], text: str | None) -> list[tuple[int, str, float]]:
-    bias, out = model[""], []
-    get = model.get
-    for start, s in _sentences(text):
-        z = bias + sum(get(w, 0.0) for w in _words(s))
-        out.append((start, s, 1 / (1 + np.exp(-z)) if z > -700 else 0.0))
-    return out
+class _Model:
+    """A model ready to score: of each word the features that have a weight are looked up once."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.lookup = weights, _Lookup({f for f in weights if f})
 
+    def sentence(self, bag) -> float:
+        z = self.weights[""] + sum(self.weights[f] for f in sorted(self.lookup.of(bag)))
+        return 1 / (1 + float(np.exp(-z))) if z > -700 else 0.0
 
-def _noisy_or(model: dict[str, float], text: str | None) -> float:
-    """Score of a text, over the same sets of words that fit() sees."""
-    if not model:
-        return 0.0
-    bias, clean, get = model[""], 1.0, model.get
-    sentences = dict.fromkeys(s for _, s in _sentences(text))
-    for bag in dict.fromkeys(frozenset(_words(s)) for s in sentences) or [frozenset()]:
-        z = bias + sum(get(w, 0.0) for w in bag)
-        clean *= 1 - (1 / (1 + np.exp(-z)) if z > -700 else 0.0)
-    return min(1.0, max(0.0, 1 - clean))
+    def text(self, text: str | None) -> float:
+        """Score of a text, over the same sets of words that fit() sees."""
+        if not self.weights:
+            return 0.0
+        clean = 1.0
+        sentences = dict.fromkeys(s for _, s in _sentences(text))
+        for bag in dict.fromkeys(frozenset(_words(s)) for s in sentences) or [frozenset()]:
+            clean *= 1 - self.sentence(bag)
+        return min(1.0, max(0.0, 1 - clean))
 
 
 def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,9 +160,9 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
+        known = _Model(shared.value)
         for batch in batches:
-            made = [_noisy_or(weights, value.as_py()) for value in batch.column(2)]
+            made = [known.text(value.as_py()) for value in batch.column(2)]
             found = pa.array(made, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array([int(x >= 0.5) for x in made], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -146,12 +177,13 @@ def offending_sentences(docs: DataFrame, model: dict[str, float], least: float =
     names = ["doc_id", "start", "sentence", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Model(shared.value)
         for batch in batches:
             at, starts, texts, scores = [], [], [], []
             for i, value in enumerate(batch.column(1)):
-                for start, s, p in _scores(shared.value, value.as_py()) if shared.value else []:
-                    if p >= least:
-                        at.append(i), starts.append(start), texts.append(s), scores.append(float(p))
+                for start, s in _sentences(value.as_py()) if known.weights else []:
+                    if (p := known.sentence(_words(s))) >= least:
+                        at.append(i), starts.append(start), texts.append(s), scores.append(p)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()), pa.array(texts, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
@@ -164,7 +196,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Model(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([_noisy_or(shared.value, value.as_py()) < 0.5 for value in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([known.text(value.as_py()) < 0.5 for value in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
