@@ -22,7 +22,10 @@ def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickloom-"))
     return context.getCheckpointDir()
 
 
@@ -54,3 +57,20 @@ def one_space(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: A key that more than this share of all rows have is hot; so there are fewer hot keys than this.
+HOT_SHARE = 1024
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """key, salts: keys of more than a HOT_SHARE-th of all rows, fewer than HOT_SHARE, and into how many parts they should be split."""
+    counts = save(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") * HOT_SHARE > total).select(key, F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).cast("int").alias("salts"))
+
+
+def with_salt(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with a column salt: 0, for hot keys one of its salts by the hash of `by`."""
+    found = rows.join(F.broadcast(hot), key, "left")
+    return found.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")

@@ -6,9 +6,11 @@ coordinate-value pair. Values are ordered by how many classes share them, rarest
 values of a frequent passage fall out of nearly all of them. A value that one class alone has is skipped.
 
 Within a list all members are merged with one pivot; a pair that agrees in too few coordinates is skipped before its texts are
-read. What is linked needs no further comparison, so a group of near copies costs a pair a member. Then lists that still
-hold classes of different components are gone through in blocks of members, block against block, and only pairs that agree
-in that many coordinates leave a task. A link that lies within a component already found is not looked for: components, not all pairs, are the result.
+read. What is linked needs no further comparison, so a group of near copies costs a pair a member. Lists that then still hold classes
+of different components are gone through in blocks of members, block against block, by sketches of 64 bytes; a block returns the
+members that have a counterpart in another component, never the pairs. Those members meet once more in blocks with their texts: links are
+confirmed there on full sets, and only links that join two components of a block leave it, so that output is linear in the members
+however many pairs agree. A link that lies within a component already found is not looked for: components, not all pairs, are the result.
 
 The number of matches asked for lies five standard deviations below what a pair at the threshold has on average: at Jaccard
 0.85 that is 40 of 54.4 expected, which fewer than one pair in 10^5 misses.
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import save
+from .base import hot_keys, save, with_salt
 from .components import components
 from .words import mix64, shingles
 
 COORDINATES = 64
-BLOCK = 256
+#: Members of a block that is compared by sketches, and words of one that is compared by texts.
+BLOCK, BLOCK_WORDS = 2048, 1 << 20
 _SEEDS = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS, _ADDENDS = _SEEDS[:COORDINATES] | np.uint64(1), _SEEDS[COORDINATES:]
 
@@ -91,100 +94,108 @@ def _posted(classes: DataFrame, prefix: int) -> DataFrame:
     return lists.select("c", F.explode(taken).alias("v")).select(F.col("v.value").alias("value"), "c")
 
 
+def _beside_pivots(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """p, salt, c and held's columns of c: the members of each pivot p, dealt by pivot, after the pivot itself (c = p).
+
+    A pivot with more than a 1,024th of all pairs is salted; there are fewer than 1,024 of these, so their table is small.
+    """
+    hot = hot_keys(pairs, "p")
+    members = with_salt(pairs, hot, "p", "c")
+    pivots = members.select("p", "salt").distinct().withColumn("c", F.col("p"))
+    both = pivots.unionByName(members.select("p", "salt", "c")).join(held, "c")
+    return both.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("c") != F.col("p"))
+
+
 def _agree(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the threshold and that agree in enough coordinates."""
-    sized = pairs
-    for x in "ab":
-        sized = sized.join(classes.select(F.col("c").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("sig" + x)), x)
-    sized = sized.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+    """Pairs (p, c) whose set sizes allow the threshold and that agree in enough coordinates."""
     matches = matches_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # signature and set size of the pivot that the last batch ended with
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, COORDINATES) for k in (2, 3))
-            fine = (x == y).sum(axis=1) >= matches
+            p, c, n = (batch.column(k).to_numpy() for k in (0, 1, 2))
+            sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, COORDINATES)
+            at = np.maximum.accumulate(np.where(p == c, np.arange(len(p)), -1))
+            sig, size = sigs[at], n[at]
+            if len(at) and at[0] < 0:
+                sig[at < 0], size[at < 0] = before
+            fine = (p != c) & (100 * n >= percent * size) & (100 * size >= percent * n) & ((sigs == sig).sum(axis=1) >= matches)
+            if len(at):
+                before = (sig[-1], size[-1])
             yield batch.select([0, 1]).filter(pa.array(fine))
 
-    return sized.select("a", "b", "siga", "sigb").mapInArrow(run, "a long, b long")
+    return _beside_pivots(pairs, classes.select("c", "n", "sig")).select("p", "c", "n", "sig").mapInArrow(run, "p long, c long")
+
+
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """c, text: one text of each class in wanted."""
+    named = wanted.join(classes.select("c", "rep"), "c")
+    found = named.join(docs.select("id", "th", "text"), F.col("rep.id").eqNullSafe(F.col("id")) & (F.col("rep.th") == F.col("th")))
+    return save(found.dropDuplicates(["c"]).select("c", "text"))
+
+
+def _is_link(left: np.ndarray, right: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * common >= percent * (len(left) + len(right) - common)
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union on the full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "rep"), "c")
-    texts = save(wanted.join(docs.select("id", "th", "text"), F.col("rep.id").eqNullSafe(F.col("id")) & (F.col("rep.th") == F.col("th"))).dropDuplicates(["c"]).select("c", "text"))
-    both = pairs
-    for x in "ab":
-        both = both.join(texts.select(F.col("c").alias(x), F.col("text").alias("t" + x)), x)
+    """Links (a, b): pairs (p, c) with 100 * intersection >= percent * union on the full sets. A pivot's text travels once a salt."""
+    wanted = pairs.select("c").union(pairs.select("p")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+        left = None
         for batch in batches:
             fine = []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, left = a, shingles(ta.as_py(), n)
-                right = shingles(tb.as_py(), n)
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                fine.append(100 * common >= percent * (len(left) + len(right) - common))
-            yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
+            for p, c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                right = shingles(text.as_py(), n)
+                if p == c:
+                    left = right
+                fine.append(p != c and _is_link(left, right, percent))
+            yield batch.select([0, 1]).rename_columns(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return _beside_pivots(pairs, _texts(wanted, classes, docs)).select("p", "c", "text").mapInArrow(run, "a long, b long")
 
 
-def _between_blocks(posts: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs of different components in one list, compared block against block; those that agree leave the task.
+def _blocks(posts: DataFrame, weight: str, most: int) -> DataFrame:
+    """value, i, j, c, label, block: each member of a list once for every block that its own block has to meet.
 
     A component that fills a block in a list has blocks of its own, which never meet one another; small ones share blocks, dealt
-    by hash. A member goes once to every block that its own has to meet.
+    by hash. A block holds about `most` of the column `weight`.
     """
-    of_label = save(posts.groupBy("value", "label").agg(F.count(F.lit(1)).alias("nl")))
-    small = F.coalesce(F.sum(F.when(F.col("nl") < BLOCK, F.col("nl"))), F.lit(0))
+    of_label = save(posts.groupBy("value", "label").agg(F.sum(weight).alias("nl")))
+    small = F.coalesce(F.sum(F.when(F.col("nl") < most, F.col("nl"))), F.lit(0))
     of_list = of_label.groupBy("value").agg(small.alias("ns"))
-    own = F.col("nl") >= BLOCK
-    spread = F.pmod(F.xxhash64("c"), F.ceil(F.col("nl") / BLOCK))
-    shared = F.pmod(F.xxhash64("label"), F.ceil(F.greatest(F.lit(1), F.col("ns")) / BLOCK))
+    own = F.col("nl") >= most
+    spread = F.pmod(F.xxhash64("c"), F.ceil(F.col("nl") / most))
+    shared = F.pmod(F.xxhash64("label"), F.ceil(F.greatest(F.lit(1), F.col("ns")) / most))
     placed = posts.join(of_label, ["value", "label"]).join(of_list, "value")
-    placed = placed.select("value", "c", "label", F.when(own, F.xxhash64("label", spread)).otherwise(shared).alias("block"), F.when(own, F.col("label")).alias("single"))
-    placed = save(placed)
+    placed = save(placed.select("value", "c", "label", F.when(own, F.xxhash64("label", spread)).otherwise(shared).alias("block"), F.when(own, F.col("label")).alias("single")))
     lists = placed.select("value", "block", "single").distinct().groupBy("value").agg(F.collect_list(F.struct("block", "single")).alias("all"))
     meets = F.filter("all", lambda o: (o["block"] == F.col("block")) & F.col("single").isNull() | (o["block"] != F.col("block")) & ~F.coalesce(o["single"] == F.col("single"), F.lit(False)))
     dealt = placed.join(lists, "value").select("value", "c", "label", "block", F.explode(meets).alias("o"))
-    dealt = dealt.select("value", "c", "label", "block", F.least("block", "o.block").alias("i"), F.greatest("block", "o.block").alias("j"))
-    tasks = dealt.join(classes.select("c", "n", "sketch"), "c").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-
-    def pairs(t: pa.RecordBatch) -> pa.RecordBatch:
-        i, j, c, label, block, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
-        sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        ends = np.append(_starts(t)[1:], t.num_rows)
-        end = np.repeat(ends, np.diff(ends, prepend=0))
-        r, found = np.arange(t.num_rows), []
-        for step in range(1, t.num_rows):
-            r = r[r + step < end[r]]
-            if not len(r):
-                break
-            q = r + step
-            fine = (label[r] != label[q]) & ((i[r] == j[r]) | (block[r] != block[q])) & (100 * n[r] >= percent * n[q]) & (100 * n[q] >= percent * n[r])
-            x, y = r[fine], q[fine]
-            fine = (sketch[x] == sketch[y]).sum(axis=1) >= matches
-            found.append(np.stack((np.minimum(c[x[fine]], c[y[fine]]), np.maximum(c[x[fine]], c[y[fine]]))))
-        every = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(every[0]), pa.array(every[1])], names=["a", "b"])
+    return dealt.select("value", F.least("block", "o.block").alias("i"), F.greatest("block", "o.block").alias("j"), "c", "label", "block")
+
+
+def _compared(tasks: DataFrame, held: DataFrame, function, schema: str) -> DataFrame:
+    """What function makes of each pair of blocks (value, i, j), as an Arrow batch with held's columns of every member."""
+    columns = ["value", "i", "j", "c", "label", "block", *[x for x in held.columns if x != "c"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
+        left: pa.RecordBatch | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = batch if held is None else pa.concat_batches([held, batch])
-            # the last group may go on in the next batch
-            last = int(_starts(t)[-1])
-            held = t.slice(last)
-            if last:
-                yield pairs(t.slice(0, last))
-        if held is not None:
-            yield pairs(held)
+            t = batch if left is None else pa.concat_batches([left, batch])
+            starts = _starts(t)
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield function(t.slice(a, b - a))
+            # the last pair of blocks may go on in the next batch
+            left = t.slice(starts[-1])
+        if left is not None:
+            yield function(left)
 
-    return tasks.select("value", "i", "j", "c", "label", "block", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return tasks.join(held, "c").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").select(*columns).mapInArrow(run, schema)
 
 
 def _starts(t: pa.RecordBatch) -> np.ndarray:
@@ -193,19 +204,78 @@ def _starts(t: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
 
 
+class _Members:
+    """The members of two blocks, and which of them a member has to be compared with."""
+
+    def __init__(self, t: pa.RecordBatch, percent: int):
+        i, j, self.c, self.label, self.block, self.n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
+        self.sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        self.same, self.label, self.percent, self.matches = i[0] == j[0], self.label.copy(), percent, matches_for(percent)
+
+    def counterparts(self, r: int) -> np.ndarray:
+        """Later members of other components whose sizes and sketches agree with member r's."""
+        n, at = self.n[r + 1 :], self.label[r + 1 :] != self.label[r]
+        if not self.same:
+            at &= self.block[r + 1 :] != self.block[r]
+        q = r + 1 + np.flatnonzero(at & (100 * n >= self.percent * self.n[r]) & (100 * self.n[r] >= self.percent * n))
+        return q[(self.sketch[q] == self.sketch[r]).sum(axis=1) >= self.matches]
+
+
+def _between_blocks(posts: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between different components of one list, as many as it takes to join them within each pair of blocks."""
+
+    def agreeing(t: pa.RecordBatch) -> pa.RecordBatch:
+        m = _Members(t, percent)
+        has = np.zeros(t.num_rows, bool)
+        for r in range(t.num_rows):
+            q = m.counterparts(r)
+            if len(q):
+                has[r] = has[q] = True
+        return t.select([0, 3, 4, 6]).filter(pa.array(has))
+
+    sketches = classes.select("c", "n", "sketch")
+    fine = _compared(_blocks(posts.withColumn("one", F.lit(1)), "one", BLOCK), sketches, agreeing, "value long, c long, label long, n long")
+    fine = save(fine.distinct())
+    texts = _texts(fine.select("c").distinct(), classes, docs)
+
+    def links(t: pa.RecordBatch) -> pa.RecordBatch:
+        m = _Members(t, percent)
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(t.column(8)[k].as_py(), shingle)
+            return sets[k]
+
+        a, b = [], []
+        for r in range(t.num_rows):
+            for q in m.counterparts(r):
+                # a link found for this member may have joined the two components
+                if m.label[q] != m.label[r] and _is_link(set_of(r), set_of(q), percent):
+                    m.label[m.label == m.label[q]] = m.label[r]
+                    a.append(min(m.c[r], m.c[q])), b.append(max(m.c[r], m.c[q]))
+            sets.pop(r, None)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    tasks = _blocks(fine.withColumn("words", F.col("n") + F.lit(64)), "words", BLOCK_WORDS)
+    return _compared(tasks, sketches.join(texts, "c"), links, "a long, b long").distinct()
+
+
 def _near_rows(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """As near_groups(), with th, the hash of each row's text."""
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     rows = save(_signed(base, shingle))
-    key = F.xxhash64("h1", "h2", "n")
-    full = rows.where("n > 0").withColumn("c", key)
+    key = ["h1", "h2", "n"]
+    full = rows.where("n > 0")
     # the smallest id that isn't null represents a class
     rep = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))), F.min(F.struct("id", "th")))
-    classes = save(full.groupBy("c").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
+    classes = full.groupBy(*key).agg(rep.alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    # numbered once and saved: equal sets have one number, and no two sets share one
+    classes = save(classes.withColumn("c", F.monotonically_increasing_id()))
     matches = matches_for(percent)
     posts = save(_posted(classes, COORDINATES - matches + 1))
     pivot = posts.groupBy("value").agg(F.min_by("c", F.xxhash64("c")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = posts.join(pivot, "value").where("c <> p").select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+    star = save(posts.join(pivot, "value").where("c <> p").select("p", "c").distinct())
     links = save(_confirmed(save(_agree(star, classes, percent)), classes, base, shingle, percent))
     label = save(components(links))
     labelled = posts.join(label, posts.c == label.node, "left").select("value", "c", F.coalesce("component", "c").alias("label"))
@@ -213,15 +283,15 @@ def _near_rows(docs: DataFrame, shingle: int, percent: int, id_col: str, text_co
     # pairs with the pivot are settled; without it, a list of one component is done
     rest = labelled.join(pivot, "value").where("c <> p").join(mixed, "value", "left_semi").select("value", "c", "label")
     open_ = rest.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("value")
-    more = save(_between_blocks(save(rest.join(open_, "value", "left_semi")), classes, matches, percent))
+    more = save(_between_blocks(save(rest.join(open_, "value", "left_semi")), classes, base, shingle, percent))
     if not more.isEmpty():
-        links = save(links.union(_confirmed(save(_agree(more, classes, percent)), classes, base, shingle, percent)))
+        links = save(links.union(more))
         label = save(components(links))
-    # labels are class hashes: the smallest id of a component is what its classes bring along
-    named = classes.join(label, classes.c == label.node, "left").select("c", F.coalesce("component", "c").alias("label"), F.col("rep.id").alias("id"))
+    # labels are numbers of classes: the smallest id of a component is what its classes bring along
+    named = classes.join(label, classes.c == label.node, "left").select(*key, F.coalesce("component", "c").alias("label"), F.col("rep.id").alias("id"))
     least_id = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_class = named.select("c", "label").join(least_id, "label").select("c", "component_id")
-    out = rows.withColumn("c", F.when(F.col("n") > 0, key)).join(of_class, "c", "left")
+    of_class = named.join(least_id, "label").select(*[F.col(k).alias("c" + k) for k in key], "component_id")
+    out = rows.join(of_class, [rows[k] == F.col("c" + k) for k in key], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "th")
 
