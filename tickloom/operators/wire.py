@@ -40,3 +40,22 @@ def each(df: DataFrame, json: str, steps: str, name: str) -> DataFrame:
 def labels(rows: DataFrame, names: Mapping[str, Column]) -> DataFrame:
     """Counters: one row a combination of labels with its count."""
     return rows.groupBy(*[c.alias(n) for n, c in names.items()]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def number(x: Column) -> Column:
+    """A price or size as plain text: at most eight decimals, no trailing zeros, never an exponent."""
+    text = F.call_function("format_number", x, F.lit("0.00000000"))
+    return F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", "")
+
+
+def fixed(x: Column, exponent: int) -> Column:
+    """A number with the decimals of its exponent: -2 has two, 0 and above have none."""
+    return F.call_function("format_number", x, F.lit("0" + ("." + "0" * -exponent if exponent < 0 else "")))
+
+
+def l2_book(levels: DataFrame, coin: str, time_ms: str) -> DataFrame:
+    """coin, body: a book as one message, its levels bids first and best first; levels: (coin, time_ms, side, price, size, n, nth), cut before."""
+    side = lambda s: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("nth", number(F.col("price").cast("double")).alias("px"), number(F.col("size").cast("double")).alias("sz"), "n")))), lambda x: F.struct(x["px"].alias("px"), x["sz"].alias("sz"), x["n"].alias("n")))
+    made = levels.groupBy(coin, time_ms).agg(F.array(side("bid"), side("ask")).alias("levels"))
+    data = F.struct(F.col(coin).alias("coin"), F.col(time_ms).alias("time"), "levels")
+    return made.select(F.col(coin).alias("coin"), F.to_json(F.struct(F.lit("l2Book").alias("channel"), data.alias("data"))).alias("body"))
