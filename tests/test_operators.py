@@ -156,3 +156,21 @@ def test_health_and_guards(spark):
     assert {x.venue: x.up for x in s.venue_health(r).collect()} == {"a": False, "b": True}
     values = spark.createDataFrame([(x,) for x in ("1.5", "-1", "NaN", "Infinity", "x", None, "0")], "t string").select(d.guarded(F.col("t")).alias("v"))
     assert [x.v for x in values.collect()] == [1.5, None, None, None, None, None, 0.0]
+
+
+def test_feeds_are_selected(spark):
+    feeds = spark.createDataFrame([("Va", 1), ("Va", 2), ("Vb", 1)], "venue string, port int")
+    assert s.select_feeds(feeds, ["va"], [1]).collect() == [("Va", 1)] and s.select_feeds(feeds).count() == 3
+    with pytest.raises(ValueError, match="VC"):
+        s.select_feeds(feeds, ["va", "vc"])
+    health = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 3, False), ("b", 1, False)], "venue string, at int, up boolean")
+    assert sorted((r.venue, r.at) for r in s.health_edges(health, "at").collect()) == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_books_go_on_from_the_last_complete_snapshot(spark):
+    begins = spark.createDataFrame([(1, 7, 1, 10), (2, 7, 2, 20), (3, 8, 1, 5)], "snapshot_id long, instrument_id long, total long, last_seq long")
+    levels = spark.createDataFrame([(1, "bid", 100, 4), (2, "bid", 101, 9), (3, "ask", 5, 5), (3, "ask", 6, 5)], "snapshot_id long, side string, price long, size long")
+    deltas = spark.createDataFrame([(7, 10, "bid", 100, 1, 0), (7, 11, "bid", 99, 3, 0), (7, 12, "bid", 100, 0, 0), (7, 12, "bid", 100, 8, 1), (7, 14, "ask", 1, 1, 0), (8, 6, "ask", 5, 1, 0)], "instrument_id long, seq long, side string, price long, qty long, seq_place long")
+    got = [(r.instrument_id, r.side, r.price, r["size"], r.applied) for r in b.recovered(begins, levels, deltas).collect()]
+    assert got == [(7, "bid", 99, 3, 2)]
+    assert b.recovered(begins.limit(0), levels, deltas).collect() == []

@@ -60,6 +60,16 @@ def test_steps():
     assert loop([p(0, 0), p(1, 1), p(5, 1), p(6, 1), p(7, 0)], q.unnumbered_tape) == ["emit", "conflict", "conflict", "emit", "conflict"]
 
 
+def test_steps_of_paths():
+    S = 1_000_000_000
+    b = lambda at, publisher, market="m", healthy=True: {"at_ns": at * S, "publisher": publisher, "market": market, "healthy": healthy}
+    assert loop([b(0, 0), b(1, 1), b(1, 0, "n"), b(3, 1), b(4, 1), b(4, 0)], q.sticky_authority) == ["emit", "drop", "emit", "drop", "emit", "drop"]
+    assert loop([b(0, 0), b(0, 0, "m", False), b(1, 1), b(1, 1, "n"), b(1, 0, "n")], q.sticky_authority) == ["emit", "emit", "emit", "drop", "emit"]
+    assert loop([b(0, i) for i in range(10)], q.sticky_authority) == ["emit"] + ["drop"] * 9
+    t = lambda at, publisher, elected=None, tracked=(): {"at_ns": at * S, "publisher": publisher, "elected": elected, "tracked": tracked}
+    assert loop([t(0, 0), t(1, 1), t(2, 1, None, (1,)), t(3, 0, 0, (0, 1)), t(4, 1, 0, (0, 1)), t(10, 1, 0, (0, 1)), t(11, 0, 0, (0, 1))], q.tape_gate) == ["emit", "drop", "emit", "emit", "drop", "emit", "drop"]
+
+
 def texts(spark, *rows):
     return spark.createDataFrame([(x if x is None or isinstance(x, str) else json.dumps(x),) for x in rows], "text string")
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import running
+
 DEPTH_LEVELS, BOOK_LEVELS = 10, 50
 #: Adds, executions and cancels as `seq_kind`.
 ADD, EXECUTE, CANCEL = 0, 1, 2
@@ -64,6 +66,31 @@ def valid_prefix(deltas: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
     return once.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(seq))).where(F.col("_n") == F.col(seq)).drop("_n")
 
 
+def complete_snapshots(begins: DataFrame, levels: DataFrame) -> DataFrame:
+    """begins (snapshot_id, instrument_id, total, last_seq) of the snapshots that brought as many levels as they promised."""
+    brought = levels.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("_n"))
+    return begins.join(brought, "snapshot_id", "left").where(F.coalesce("_n", F.lit(0)) == F.col("total")).drop("_n")
+
+
+def recovered(begins: DataFrame, levels: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Levels of each market after a loss: its latest complete snapshot and the deltas (seq, side, price, qty) that go on from it without a gap.
+
+    applied: how many deltas did. Deltas behind a gap wait for another snapshot; of those that repeat a number the first by seq_place counts.
+    A market without a complete snapshot has no book. Only the snapshot's number is kept per market; no task holds a market's stream.
+    """
+    last = complete_snapshots(begins, levels).groupBy("instrument_id").agg(F.max(F.struct("snapshot_id", "last_seq")).alias("s")).select("instrument_id", "s.*")
+    after = deltas.join(last, "instrument_id").where("seq > last_seq").withColumn("seq", F.col("seq") - F.col("last_seq"))
+    going = valid_prefix(after, ["instrument_id"], "seq").select("instrument_id", "seq", "side", "price", "qty")
+    base = levels.join(last, ["snapshot_id"]).select("instrument_id", F.lit(0).cast("long").alias("seq"), "side", "price", F.col("size").alias("qty"))
+    applied = going.groupBy("instrument_id").agg(F.max("seq").alias("applied"))
+    return level_book(base.unionByName(going), ["seq"]).join(applied, "instrument_id", "left").withColumn("applied", F.coalesce("applied", F.lit(0)))
+
+
+def epochs(rows: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, reset: Column) -> DataFrame:
+    """rows with epoch: how many resets of its key lie at or before it. Operators that forget at a reset take it as one more key."""
+    return running(rows, key, order, bucket, epoch=("sum", F.coalesce(reset.cast("long"), F.lit(0))))
+
+
 def level_book(updates: DataFrame, order: Sequence[str]) -> DataFrame:
     """Levels after all updates: the last size of each price, without those that ended at 0. One aggregation with partial combine."""
     last = updates.groupBy("instrument_id", "side", "price").agg(F.max_by("qty", F.struct(*order)).alias("size"))

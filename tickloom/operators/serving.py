@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RANKED = ("top_of_book", "market_by_price")
 
 
+def select_feeds(feeds: DataFrame, venues: Sequence[str] = (), ports: Sequence[int] = ()) -> DataFrame:
+    """Feeds of the named venues (in any case) with one of the ports; an empty selection takes all. Names and ports that no feed has are an error."""
+    for column, wanted in ((F.upper("venue"), [v.upper() for v in venues]), (F.col("port"), list(ports))):
+        if wanted:
+            known = {r[0] for r in feeds.where(column.isin(wanted)).select(column).distinct().collect()}
+            if lacking := sorted(set(wanted) - known):
+                raise ValueError(f"no feed has {lacking}")
+            feeds = feeds.where(column.isin(wanted))
+    return feeds
+
+
 def feed_kinds(instruments: DataFrame, books: DataFrame, depths: DataFrame, feeds: DataFrame) -> DataFrame:
     """instruments with feed_kind: by the book that is held, else by a depth of the symbol, else the only kind its universe has, else unknown."""
     only = feeds.groupBy("venue", "category").agg(F.min("kind").alias("_least"), F.max("kind").alias("_most"))
@@ -41,10 +53,8 @@ def venue_health(receivers: DataFrame) -> DataFrame:
 
 def health_edges(health: DataFrame, order: str) -> DataFrame:
     """The rows at which a venue's health turns: status messages. The first row of a venue counts as a turn."""
-    from pyspark.sql import Window as W
-
     before = F.lag("up").over(W.partitionBy("venue").orderBy(order))
-    return health.where(F.lit(True)).withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("up"))).drop("_before")
+    return health.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("up"))).drop("_before")
 
 
 def diagnosis(detection: Column, delivering: Column, session_up: Column, session_known: Column, subscribed: Column, receivers: Column) -> Column:

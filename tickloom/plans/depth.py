@@ -71,8 +71,35 @@ def sigfig_l2book_mantissa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.bucketed_levels(l3_price_fold(spark, sf_dir), 3, 5, 10, 100_000_000)
 
 
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of two markets, one a thousand orders; every third promises a level more than it brings."""
+    o = table(spark, sf_dir, "orders")
+    k = F.floor(F.col("o_orderkey") / 1000).cast("long")
+    rows = o.select((k * 2 + F.col("o_custkey") % 2).alias("snapshot_id"), (F.col("o_custkey") % 2).alias("instrument_id"), (k * 1000).alias("last_seq"), F.when(F.col("o_orderkey") % 2 == 0, "bid").otherwise("ask").alias("side"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("price"), (1 + F.col("o_orderkey") % 7).alias("qty"))
+    levels = rows.groupBy("snapshot_id", "side", "price").agg(F.sum("qty").cast("long").alias("size"))
+    begins = rows.groupBy("snapshot_id", "instrument_id", "last_seq").agg((F.count_distinct("side", "price") + (F.col("snapshot_id") % 3 == 0).cast("long")).alias("total"))
+    return begins, levels
+
+
+def snapshots_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.complete_snapshots(*_snapshots(spark, sf_dir))
+
+
+def l2_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deltas = level_updates(spark, sf_dir).select((F.col("l_suppkey") % 2).alias("instrument_id"), F.col("l_orderkey").alias("seq"), "side", F.floor(F.col("price") / 10).cast("long").alias("price"), "qty", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq_place"))
+    return b.recovered(*_snapshots(spark, sf_dir), deltas)
+
+
+def level_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels that are left if a reset empties the book of its market."""
+    u = level_updates(spark, sf_dir)
+    cut = b.epochs(u, ["instrument_id"], LEVEL_ORDER, F.floor(F.col("ship_us") / 2_592_000_000_000), F.col("l_orderkey") % 701 == 0)
+    last = cut.groupBy("instrument_id").agg(F.max("epoch").alias("epoch"))
+    return b.level_book(cut.join(last, ["instrument_id", "epoch"]), LEVEL_ORDER)
+
+
 def queries() -> dict:
-    every = (l3_book, l3_order_set, l3_price_fold, l3_top_levels, l3_prints, l4_diffs, l3_valid_prefix, l2_book, l2_best, l2_crossed, depth_changes, accumulator_fold, book_rebaseline, sigfig_l2book, sigfig_l2book_mantissa)
+    every = (snapshots_complete, l2_recovered, level_epochs, l3_book, l3_order_set, l3_price_fold, l3_top_levels, l3_prints, l4_diffs, l3_valid_prefix, l2_book, l2_best, l2_crossed, depth_changes, accumulator_fold, book_rebaseline, sigfig_l2book, sigfig_l2book_mantissa)
     return {f.__name__: f for f in every}
 
 
@@ -97,9 +124,24 @@ k AS (SELECT instrument_id, side, CASE WHEN side = 'bid' OR v % inc = 0 THEN v -
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END) AS nth FROM k) WHERE nth <= {most}"""
 
 
+_SNAPSHOTS = """sn AS (SELECT k * 2 + o_custkey % 2 AS snapshot_id, o_custkey % 2 AS instrument_id, k * 1000 AS last_seq, CASE WHEN o_orderkey % 2 = 0 THEN 'bid' ELSE 'ask' END AS side, cast(floor(o_totalprice / 1000) AS BIGINT) AS price, 1 + o_orderkey % 7 AS qty
+  FROM (SELECT *, cast(floor(o_orderkey / 1000) AS BIGINT) AS k FROM orders)),
+ok AS (SELECT snapshot_id, instrument_id, last_seq, count(DISTINCT (side, price)) AS total FROM sn GROUP BY ALL HAVING snapshot_id % 3 > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     first = "CASE side WHEN 'bid' THEN 0 ELSE 1 END, CASE side WHEN 'bid' THEN -price ELSE price END"
     return {
+        "snapshots_complete": f"WITH {_SNAPSHOTS} SELECT * FROM ok",
+        "l2_recovered": f"""WITH {_SNAPSHOTS}, {_LEVELS}, la AS (SELECT instrument_id, max(snapshot_id) AS snapshot_id, max(last_seq) AS last_seq FROM ok GROUP BY instrument_id),
+d AS (SELECT l_suppkey % 2 AS instrument_id, l_orderkey AS seq, side, cast(floor(price / 10) AS BIGINT) AS price, qty, row_number() OVER (PARTITION BY l_suppkey % 2, l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lu),
+g AS (SELECT d.instrument_id, seq - last_seq AS seq, side, price, qty, row_number() OVER (PARTITION BY d.instrument_id ORDER BY seq) AS n FROM d JOIN la USING (instrument_id) WHERE k = 1 AND seq > last_seq),
+u AS (SELECT instrument_id, seq, side, price, qty FROM g WHERE seq = n UNION ALL SELECT la.instrument_id, 0, side, price, cast(sum(qty) AS BIGINT) FROM sn JOIN la USING (snapshot_id) GROUP BY ALL),
+b AS (SELECT instrument_id, side, price, arg_max(qty, seq) AS size FROM u GROUP BY ALL)
+SELECT b.*, (SELECT coalesce(max(seq), 0) FROM u WHERE u.instrument_id = b.instrument_id) AS applied FROM b WHERE size > 0""",
+        "level_epochs": f"""WITH {_LEVELS}, e AS (SELECT *, count(*) FILTER (l_orderkey % 701 = 0) OVER (PARTITION BY instrument_id ORDER BY ship_us, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS epoch FROM lu),
+m AS (SELECT *, max(epoch) OVER (PARTITION BY instrument_id) AS newest FROM e)
+SELECT * FROM (SELECT instrument_id, side, price, arg_max(qty, {_PLACE}) AS size FROM m WHERE epoch = newest GROUP BY ALL) WHERE size > 0""",
         "l3_book": f"WITH {_BOOK} SELECT * FROM bk",
         "l3_order_set": f"WITH {_BOOK} SELECT instrument_id, order_id, row_number() OVER (PARTITION BY instrument_id ORDER BY {first}, order_id) AS nth FROM bk",
         "l3_price_fold": f"WITH {_FOLD} SELECT * FROM fd",

@@ -16,7 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Step = Callable[[dict | None, dict], tuple[dict, str]]
 
-REANNOUNCE_NS, HANDOVER_NS, TRADE_IDS = 15_000_000_000, 5_000_000_000, 8192
+REANNOUNCE_NS, HANDOVER_NS, SILENCE_NS = 15_000_000_000, 5_000_000_000, 2_000_000_000
+TRADE_IDS, PATHS = 8192, 8
 
 
 def sequential(rows: DataFrame, key: Sequence[str], order: Sequence[str], step: Step) -> DataFrame:
@@ -66,3 +67,47 @@ def unnumbered_tape(state: dict | None, row: dict) -> tuple[dict, str]:
     if state and state["owner"] != row["publisher"] and row["at_ns"] - state["last"] <= HANDOVER_NS:
         return state, "conflict"
     return {"owner": row["publisher"], "last": row["at_ns"]}, "emit"
+
+
+def sticky_authority(state: dict | None, row: dict) -> tuple[dict, str]:
+    """Batches of a scope's markets (market, publisher, at_ns, and healthy: of this path for this market): emit or drop.
+
+    The first path leads. Another takes over once the leader was silent in the whole scope for 2 s. Where the leader is unhealthy for a
+    market, the healthy path heard of last serves it (of two, the one that came later to the scope). Paths beyond the eighth never do.
+    """
+    s = state or {"leader": row["publisher"], "heard": {}, "ill": {}}
+    path, now = str(row["publisher"]), row["at_ns"]
+    if path not in s["heard"] and len(s["heard"]) >= PATHS:
+        return s, "drop"
+    s["heard"][path] = now
+    if str(s["leader"]) != path and now - s["heard"].get(str(s["leader"]), 0) > SILENCE_NS:
+        s["leader"] = row["publisher"]
+    ill = set(s["ill"].get(row["market"], []))
+    ill = ill - {path} if row["healthy"] else ill | {path}
+    s["ill"][row["market"]] = sorted(ill)
+    serves = str(s["leader"])
+    if serves in ill:
+        places = list(s["heard"])
+        fit = [p for p in places if p not in ill]
+        serves = max(fit, key=lambda p: (s["heard"][p], places.index(p)), default=serves)
+    return s, "emit" if serves == path else "drop"
+
+
+def tape_gate(state: dict | None, row: dict) -> tuple[dict, str]:
+    """Prints of a universe (publisher, at_ns, elected: the path elected now or None, tracked: the paths that deliver books): emit or drop.
+
+    One path prints. Another takes over if it is tracked and the present one isn't, if it is elected and that election wasn't honoured yet, or
+    after 5 s of silence.
+    """
+    path = row["publisher"]
+    if state is None:
+        return {"path": path, "last": row["at_ns"], "honoured": None}, "emit"
+    honoured = state["honoured"]
+    if path != state["path"]:
+        tracked = list(row["tracked"])
+        better = path in tracked and state["path"] not in tracked
+        elected = row["elected"] == path and honoured != path
+        if not (better or elected or row["at_ns"] - state["last"] > HANDOVER_NS):
+            return state, "drop"
+        honoured = row["elected"]
+    return {"path": path, "last": row["at_ns"], "honoured": honoured}, "emit"
