@@ -41,3 +41,23 @@ def test_names_count_as_whole_tokens_of_containers():
     assert main_text(page.format("")) == want
     assert main_text(page.format("<div class='share-buttons'>Share, like.</div><div id='comments'>" + "<p>A reader's view, long and long.</p>" * 20 + "</div>")) == want
     assert main_text("<p>One text <span class='ad'>Buy</span>, long <a class='has-share'>enough</a>.</p>") == "One text , long enough."
+
+
+def test_ratios_alone_choose_between_layouts():
+    prose = ["Long prose, with marks; and more of it, as articles have.", "It goes on, and on, for some time: that is what prose does."]
+    links = ["Home", "About us", "Contact"]
+    items = lambda tag, texts: "".join(f"<{tag}>{x}</{tag}>" for x in texts)
+    assert main_text(f"<body><div><ul>{items('li', links)}</ul></div><section>{items('p', prose)}</section></body>") == "\n".join(prose)
+    assert main_text(f"<body><div><ul>{items('li', prose)}</ul></div><section>{items('p', links)}</section></body>") == "\n".join(prose)
+
+
+def test_names_later_in_a_token_say_nothing():
+    text = "<p>Words, and more of them, to read.</p>" * 3
+    page = f"<body><div class='page'><div class='post-header'><h1>Head line</h1></div>{text}<p class='related-work'>Others did so, too, at length.</p></div></body>"
+    assert main_text(page).startswith("Head line\nWords") and main_text(page).endswith("at length.")
+
+
+def test_clashing_columns_and_null_ids(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    pages = spark.createDataFrame([(None, None, "<p>a</p>", "x", "y"), (1, "u", None, "x", "y"), (1, "u", "<p>b</p>", None, None), (1, "u", "<p>b</p>", None, None)], schema)
+    assert sorted((tuple(r) for r in extract(pages).collect()), key=repr) == sorted([(None, None, "a", 1), (1, "u", "", 0), (1, "u", "b", 1), (1, "u", "b", 1)], key=repr)

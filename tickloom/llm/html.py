@@ -9,8 +9,8 @@ asides, forms, scripts, styles) are left out before.
 Names (of sidebars, notices, adverts, reader comments and the like) count by whole tokens of class, id or role. A container whose
 token is such a name, or starts with one (share-buttons, but not comments-open), is left out too, as is such a span or link inside a
 block, unless the container holds an article, main or more than half of the page's text; comments inside an article or main go
-whatever their share. Any other block with such a word in a token, and such a container that isn't left out, is doubtful: its own
-blocks have a path of their own, and stay only if their ratios reach the share. Ids of headings say nothing.
+whatever their share. Any other block with such a token, and such a container that isn't left out, is doubtful: its own blocks have a
+path of their own, and stay only if their ratios reach the share. A name later in a token (post-header) and ids of headings say nothing.
 
 Defined cases. A null or empty html, or a page without any such text, gives an empty text. Unclosed and misnested tags are closed
 where the next block starts; a page of any size is read once, paths are kept as a tree, so depth costs nothing. Repeated rows are
@@ -28,7 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 0.2
+#: Share of the best fused ratio that chosen paths reach, and the weight of a path's own ratio beside its neighbours'.
+SHARE, OWN = 0.2, 4
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -46,18 +47,17 @@ _NAME = regex.compile(r"[a-z]+")
 _PUNCTUATION = regex.compile(r"\p{P}")
 
 
-def _named(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[frozenset, bool]:
-    """The names that tokens of class, id and role are or start with; and whether any word in them is a name."""
-    heads, some = set(), False
+def _named(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset:
+    """The names that tokens of class, id and role are or start with."""
+    heads = set()
     for k, v in attrs:
         if k not in ("class", "id", "role") or not v or (k == "id" and tag in HEADINGS):
             continue
         for token in v.lower().split():
             words = _NAME.findall(token)
-            some = some or not NEVER_NAMED.isdisjoint(words)
             if words and words[0] in NEVER_NAMED and STATES.isdisjoint(words[1:]):
                 heads.add(words[0])
-    return frozenset(heads), some
+    return frozenset(heads)
 
 
 class _Blocks(HTMLParser):
@@ -101,16 +101,16 @@ class _Blocks(HTMLParser):
             self.text.append(" " if tag == "br" else "")
             return
         _, parent, skipped = self.open[-1]
-        heads, some = (frozenset(), False) if skipped or tag in ("html", "body", "article", "main") else _named(tag, attrs)
-        inline, some = bool(heads) and tag in INLINE, some and tag not in INLINE
-        path = None if some else self.known.get((parent, tag))
+        heads = frozenset() if skipped or tag in ("html", "body", "article", "main") else _named(tag, attrs)
+        inline, doubtful = bool(heads) and tag in INLINE, bool(heads) and tag not in INLINE
+        path = None if doubtful else self.known.get((parent, tag))
         if path is None:
             path = len(self.tags)
             self.parents.append(parent)
             self.tags.append(tag)
-            if some:
+            if doubtful:
                 self.doubtful.add(path)
-                if heads and tag in NAMED:
+                if tag in NAMED:
                     self.heads[path] = heads
             else:
                 self.known[parent, tag] = path
@@ -174,7 +174,7 @@ def main_text(html: str | None) -> str:
 
     def smooth(k: int, part: int) -> float:
         beside = [ratios[i][part] for i in (k - 1, k + 1) if 0 <= i < len(ratios)]
-        return (2 * ratios[k][part] + sum(beside)) / (2 + len(beside))
+        return (OWN * ratios[k][part] + sum(beside)) / (OWN + len(beside))
 
     fused = {p: smooth(k, 0) * smooth(k, 1) for k, p in enumerate(order)}
     least = SHARE * max(fused.values())
