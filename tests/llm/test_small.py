@@ -13,7 +13,7 @@ from tickloom.llm import queries
 from tickloom.llm.bpe import decode, encode
 from tickloom.llm.exact_dedup import drop_copies, exact_groups
 from tickloom.llm.mixing import mix, mix_plan
-from tickloom.llm.sharding import histogram_shards
+from tickloom.llm.sharding import histogram_shards, write_shards
 from tickloom.llm.toxicity import drop_toxic, offending_sentences, score, train
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, id string, t string, h string"
@@ -59,6 +59,10 @@ def test_shards(spark):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in rows.groupby("shard"))
     sums, largest = rows.groupby("shard")["size"].sum(), rows["size"].max()
     assert sums.max() - sums.min() <= 2 * largest
+    # equal texts of less than half a shard lie in one
+    rows["text"] = [texts[d] for d in rows.doc_id]
+    for _, g in rows.groupby("text"):
+        assert g.shard.nunique() == 1 or g["size"].sum() > rows["size"].sum() / 80
     assert histogram_shards(odd(spark), 40).count() == len(TEXTS) and histogram_shards(odd(spark).limit(0), 40).collect() == []
 
 
@@ -108,3 +112,23 @@ def test_long_texts_do_not_empty_the_sample(spark):
     assert train(docs, labels, size=1000).get("", 0) < 0
     with pytest.warns(UserWarning, match="nothing is learned"):
         assert train(docs, labels, size=100) == {}
+
+
+def test_shards_of_odd_rows(spark, tmp_path):
+    rows = [(None, "a", 1, 2, "s"), (None, "a", 1, 2, "s"), (3, "a", 1, 2, "s"), (3, None, 1, 2, "s"), (4, "b" * 500, 1, 2, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size long, shard long, kept string")
+    got = histogram_shards(docs, 3).collect()
+    assert len(got) == 5 and {r["size"] for r in got} == {16, 17, 516}
+    with pytest.raises(ValueError, match="size"):
+        histogram_shards(docs, 3, keep=["size"])
+    write_shards(docs, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((tuple(r) for r in back.select("doc_id", "text", "size", "kept").collect()), key=repr) == sorted(((i, t, n, k) for i, t, n, _, k in rows), key=repr)
+    assert {"shard", "slot"} < set(back.columns)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "w " * (i or 1), f"s{(i or 0) % 2}", 1, 2, 3, 4) for i in (None, 1, 2, 3, 3)], "doc_id long, text string, source string, s long, size long, times long, row long")
+    got = mix(docs).collect()
+    assert got and got[0].asDict().keys() == {"doc_id", "text", "source", "s", "size", "times", "row"} and {tuple(r)[3:] for r in got} == {(1, 2, 3, 4)}
+    assert mix_plan(docs).count() == 5
