@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +34,21 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _by_length(lengths: pa.Array, vectors: pa.Array, kind: str) -> Iterator[tuple[int, np.ndarray]]:
+    """The packed vectors of a batch as one matrix for each length."""
+    for d in lengths.unique().to_pylist():
+        held = vectors.filter(pc.equal(lengths, d))
+        yield d, np.frombuffer(b"".join(held.to_pylist()), kind).astype(float).reshape(-1, d)
+
+
 def _principal_axes(classes: DataFrame, kind: str) -> dict[int, np.ndarray]:
     """For each length of vectors the axes of their second moments, strongest first; d * d numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for d, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = _unit(np.frombuffer(v, kind).astype(float)[None, :])
+            for d, x in _by_length(batch.column(0), batch.column(1), kind):
+                x = _unit(x)
                 sums[d] = sums.get(d, 0.0) + x.T @ x
         for d, m in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([d] * d, pa.int32()), pa.array(range(d), pa.int32()), pa.array(m.tolist(), pa.list_(pa.float64()))], names=["d", "i", "row"])
@@ -57,10 +65,12 @@ def _tiles(classes: DataFrame, kind: str, axes, reach: float, most: int) -> Data
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
-            for d, v in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                p = (_unit(np.frombuffer(v, kind).astype(float)[None, :]) @ axes.value[d][:, :LEADING])[0]
-                keys.append([*np.floor(p[:-1] / reach).tolist(), float(p[-1])])
+            lengths, keys = batch.column(2), [None] * batch.num_rows
+            for d, x in _by_length(lengths, batch.column(4), kind):
+                p = _unit(x) @ axes.value[d][:, :LEADING]
+                near = np.concatenate((np.floor(p[:, :-1] / reach), p[:, -1:]), axis=1).tolist()
+                for i, k in zip(np.flatnonzero(lengths.to_numpy() == d), near, strict=True):
+                    keys[i] = k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.float64()))], names=[*batch.schema.names, "near"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +147,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, tile: int = TILE, id_co
 
     narrow = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
     rows = save(narrow.mapInArrow(pack, "id long, label string, v binary").withColumn("v", F.when(F.col("label").isNotNull(), F.col("v"))))
-    key = F.xxhash64("label", "v")
+    # rows find their class again by 128 bits of hash; classes are numbered once and saved, so no two share a number
+    key = {"h1": F.xxhash64("label", "v"), "h2": F.xxhash64("v", "label", F.lit(1))}
     usable = rows.where("v is not null")
-    classes = save(usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times")).withColumn("c", key).withColumn("d", F.expr(f"cast(length(v) / {int(kind[2])} as int)")))
+    classes = usable.groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times")).withColumns(key)
+    classes = save(classes.withColumn("c", F.monotonically_increasing_id()).withColumn("d", F.expr(f"cast(length(v) / {int(kind[2])} as int)")))
     axes = spark.sparkContext.broadcast(_principal_axes(classes, kind))
     reach = (2 - 2 * least) ** 0.5
     tiles = _tiles(classes, kind, axes, reach, tile)
@@ -170,8 +182,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, tile: int = TILE, id_co
     found = save(pairs.mapInArrow(compare, "c long, n long, root long"))
     label = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("c").agg(F.sum("n").alias("n"))
-    named = classes.select("c", "id", "times").join(links, "c", "left").join(label, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("component", "c").alias("comp"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    named = named.join(named.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("c", "n_links", "component_id")
-    out = rows.select("id", F.when(F.col("v").isNotNull(), key).alias("c")).join(named, "c", "left")
-    component = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = classes.select("c", "h1", "h2", "id", "times").join(links, "c", "left").join(label, F.col("c") == F.col("node"), "left").select("h1", "h2", "id", F.coalesce("component", "c").alias("comp"), (F.col("times") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    named = named.join(named.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("h1", "h2", "n_links", "component_id")
+    out = rows.select("id", *[F.when(F.col("v").isNotNull(), k).alias(n) for n, k in key.items()]).join(named, ["h1", "h2"], "left")
+    component = F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
