@@ -34,8 +34,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row (little-endian unsigned 32-bit integers), and as text what they decode to."""
-    rest = [c for c in docs.columns if c != "text"]
+    """Token ids of each row (little-endian unsigned 32-bit integers), and as text what they decode to.
+
+    Columns of docs named n_tokens, ids or decoded give way to the stage's own.
+    """
+    rest = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded")]
     return encode(docs, public_tokenizer(), keep=rest, decoded=True).withColumnRenamed("decoded", "text")
 
 

@@ -253,8 +253,11 @@ def _with_columns(df: DataFrame, keep: Sequence[str], made: str, fields: Sequenc
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The columns `keep`, n_tokens, ids (binary: little-endian unsigned 32-bit integers) and, if wanted, the text decoded from them.
 
-    vocabulary: path of the JSON file on the driver; its content (a few MB, whatever the corpus) is broadcast.
+    vocabulary: path of the JSON file on the driver; its content (a few MB, whatever the corpus) is broadcast. Columns in `keep`
+    with one of the names above are an error.
     """
+    if clash := {"n_tokens", "ids", "decoded"} & set(keep):
+        raise ValueError(f"can't keep columns named {sorted(clash)} beside the result's own")
     with open(vocabulary, encoding="utf-8") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -52,10 +52,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash: Callable[[Column], Column] = md5_128) -> DataFrame:
     """The rows of docs that exact_groups() keeps, with all their columns; rows are told apart by id and text, null ids too."""
     rows, key = _decided(docs, id_col, text_col, content_hash)
-    gone = rows.where(~F.col("id").eqNullSafe(F.col("keep"))).select(F.col("id").alias("_gone"), *[F.col(c).alias("_gone_" + c) for c in key]).distinct()
-    text = one_space(F.col(text_col))
+    gone = rows.where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", *key).distinct()
+    text = one_space(F.col(f"docs.`{text_col}`"))
     same = {"h": content_hash(text), "t": text}
-    on = F.col(id_col).eqNullSafe(F.col("_gone"))
+    on = F.col(f"docs.`{id_col}`").eqNullSafe(F.col("gone.id"))
     for c in key:
-        on &= same[c] == F.col("_gone_" + c)
-    return docs.join(gone, on, "left_anti")
+        on &= same[c] == F.col("gone." + c)
+    return docs.alias("docs").join(gone.alias("gone"), on, "left_anti")

@@ -309,5 +309,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_co
     gone = _near_rows(docs, shingle, percent, id_col, text_col).where(~F.col("kept"))
     if keep_null_ids:
         gone = gone.where("doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.xxhash64(text_col) == F.col("_gone_th")), "left_anti")
+    gone = gone.select("doc_id", "th").distinct().alias("gone")
+    on = F.col(f"docs.`{id_col}`").eqNullSafe(F.col("gone.doc_id")) & (F.xxhash64(F.col(f"docs.`{text_col}`")) == F.col("gone.th"))
+    return docs.alias("docs").join(gone, on, "left_anti")
