@@ -80,3 +80,14 @@ def test_logs(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"".join(struct.pack("<I4sB", len(x), bytes([10, 0, 0, i]), i % 2) + x for i, x in enumerate(records)))
     got = d.read_log(spark, str(tmp_path / "b.bin"), combined=True).orderBy("arrival_seq").collect()
     assert [(r.publisher, r.role, bytes(r.payload)) for r in got] == [(f"10.0.0.{i}", i % 2, x) for i, x in enumerate(records)]
+
+
+def test_captures(spark, tmp_path):
+    udp = lambda x: struct.pack(">HHHH", 1, 2, 8 + len(x), 0) + x
+    ip = lambda x, protocol=17: struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(x), 0, 0, 1, protocol, 0, bytes([10, 0, 0, 1]), bytes([233, 0, 0, 2])) + x
+    frame_ = lambda x, kind=0x0800: bytes(14) + struct.pack(">H", kind) + x
+    packets = [frame_(ip(udp(b"one") + b"padding")), frame_(ip(udp(b"tcp"), 6)), frame_(ip(udp(b"arp")), 0x0806), b"short", frame_(ip(udp(TRADE)))]
+    content = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 113) + b"".join(struct.pack("<IIII", 5, i, len(x), len(x)) + x for i, x in enumerate(packets))
+    (tmp_path / "a.pcap").write_bytes(content + b"cut")
+    got = d.read_capture(spark, str(tmp_path / "a.pcap")).orderBy("arrival_seq").collect()
+    assert [(r.arrival_seq, r.recv_ts_ns, r.publisher, r.grp, bytes(r.payload)) for r in got] == [(0, 5_000_000_000, "10.0.0.1", "233.0.0.2", b"one"), (4, 5_000_004_000, "10.0.0.1", "233.0.0.2", TRADE)]

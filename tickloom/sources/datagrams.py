@@ -48,6 +48,56 @@ def read_log(spark: SparkSession, path: str, combined: bool = False) -> DataFram
     return files.mapInArrow(run, "file string, arrival_seq long, publisher string, role int, payload binary")
 
 
+# Little-endian captures, their header, a packet's header, and the link type of "cooked" Linux captures.
+PCAP_MAGIC = {0xA1B2C3D4: 1000, 0xA1B23C4D: 1}
+PCAP_HEADER, PACKET_HEADER, COOKED = struct.Struct("<IHHiIII"), struct.Struct("<IIII"), 113
+
+
+def _udp(packet: bytes) -> tuple[str, str, bytes] | None:
+    """Source, destination and payload of a UDP packet over IPv4 in a cooked frame."""
+    if len(packet) < 44 or packet[14:16] != b"\x08\x00" or packet[16] >> 4 != 4:
+        return None
+    header = (packet[16] & 15) * 4
+    udp = packet[16 + header :]
+    if header < 20 or len(udp) < 8 or packet[25] != 17:
+        return None
+    address = lambda at: ".".join(map(str, packet[at : at + 4]))
+    return address(28), address(32), udp[8 : max(8, min(int.from_bytes(udp[4:6], "big"), len(udp)))]
+
+
+def _packets(content: bytes, file: str) -> Iterator[tuple]:
+    """Number, time in nanoseconds and UDP parts of a capture's packets; it ends where the last packet is cut off."""
+    magic, *_, link = PCAP_HEADER.unpack_from(content)
+    if magic not in PCAP_MAGIC or link != COOKED:
+        raise ValueError(f"{file} is no capture of a cooked Linux link")
+    at, n = PCAP_HEADER.size, 0
+    while at + PACKET_HEADER.size <= len(content):
+        seconds, fraction, size, _ = PACKET_HEADER.unpack_from(content, at)
+        at += PACKET_HEADER.size
+        if found := _udp(content[at : at + size]):
+            yield n, seconds * 1_000_000_000 + fraction * PCAP_MAGIC[magic], *found
+        at, n = at + size, n + 1
+
+
+def read_capture(spark: SparkSession, path: str) -> DataFrame:
+    """file, arrival_seq, recv_ts_ns, publisher, grp and payload of every UDP datagram in captures of cooked Linux links.
+
+    Which sources, groups, protocols or seconds are wanted is a filter on the result. A capture of another link type is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(file, *packet) for packet in _packets(content, file)]
+                for k in range(0, len(rows), 4096):
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+                    columns = zip(*rows[k : k + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["file", "arrival_seq", "recv_ts_ns", "publisher", "grp", "payload"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, arrival_seq long, recv_ts_ns long, publisher string, grp string, payload binary")
+
+
 def _walk(payload: bytes | None, protocol: str) -> Iterator[tuple]:
     """The messages of one datagram; none if its magic or version is another's, and no more after one that is cut off."""
     if payload is None or len(payload) < HEADER.size:
