@@ -1,8 +1,8 @@
 """Embedding near-dedup: PCA-ordered tiled comparison with suffix-norm bounds.
 
 Equal vectors of a label form one class. Classes are turned onto the principal axes of all vectors, ordered by label and leading
-coordinates, and cut into tiles of TILE vectors. Two tiles meet only if the boxes of their leading coordinates are near enough to
-hold a link. Between two tiles the leading dimensions are multiplied first; what the remaining dimensions can add is at most the
+coordinates, and cut into tiles of TILE vectors. The first coordinates are dealt into cells as wide as a link can reach: two tiles
+meet only if they hold neighbouring cells, and the boxes of their leading coordinates are near enough to hold a link. Between two tiles the leading dimensions are multiplied first; what the remaining dimensions can add is at most the
 product of the suffix norms, and a pair is left as soon as its cosine can't reach the threshold. What is left is confirmed
 by the cosine of the original vectors in double precision. A tile pair returns a count and a root a vector, never its pairs.
 
@@ -14,11 +14,12 @@ never represents a component that has an id. An empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +61,17 @@ def _principal_axes(classes: DataFrame, kind: str) -> dict[int, np.ndarray]:
     return {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1] for d, m in found.items()}
 
 
+def _cells(p: np.ndarray, reach: float) -> np.ndarray:
+    """The cell of each vector by its leading coordinates but the last; vectors of a link lie in neighbouring cells."""
+    return np.floor(p[:, :-1] / (reach * (1 + 1e-6) + 1e-9)).astype(np.int64)
+
+
+def _beside(cells: Column) -> Column:
+    """All cells (of one, two or three numbers) beside those of an array, themselves included."""
+    steps = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=LEADING - 1)])
+    return F.array_distinct(F.flatten(F.transform(cells, lambda c: F.transform(steps, lambda s: F.zip_with(c, F.slice(s, F.lit(1), F.size(c)), lambda a, b: a + b)))))
+
+
 def _tiles(classes: DataFrame, kind: str, axes, reach: float, most: int) -> DataFrame:
     """One row a tile: tile, label, d, ids, times and vectors as binary, and the box of the leading coordinates."""
 
@@ -68,7 +80,7 @@ def _tiles(classes: DataFrame, kind: str, axes, reach: float, most: int) -> Data
             lengths, keys = batch.column(2), [None] * batch.num_rows
             for d, x in _by_length(lengths, batch.column(4), kind):
                 p = _unit(x) @ axes.value[d][:, :LEADING]
-                near = np.concatenate((np.floor(p[:, :-1] / reach), p[:, -1:]), axis=1).tolist()
+                near = np.concatenate((_cells(p, reach), p[:, -1:]), axis=1).tolist()
                 for i, k in zip(np.flatnonzero(lengths.to_numpy() == d), near, strict=True):
                     keys[i] = k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.float64()))], names=[*batch.schema.names, "near"])
@@ -80,7 +92,7 @@ def _tiles(classes: DataFrame, kind: str, axes, reach: float, most: int) -> Data
             v = np.frombuffer(b"".join(r["v"] for r in held), kind).reshape(len(held), -1)
             p = _unit(v.astype(float)) @ axes.value[held[0]["d"]][:, :LEADING]
             ids, times = (np.array([r[k] for r in held], np.int64) for k in ("c", "times"))
-            made = [ids[0], held[0]["label"], held[0]["d"], ids.tobytes(), times.tobytes(), v.tobytes(), p.min(axis=0).tolist(), p.max(axis=0).tolist()]
+            made = [ids[0], held[0]["label"], held[0]["d"], ids.tobytes(), times.tobytes(), v.tobytes(), p.min(axis=0).tolist(), p.max(axis=0).tolist(), np.unique(_cells(p, reach), axis=0).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, arrow, strict=True)], names=names)
 
         for batch in batches:
@@ -92,11 +104,11 @@ def _tiles(classes: DataFrame, kind: str, axes, reach: float, most: int) -> Data
         if held:
             yield tile()
 
-    names = ["tile", "label", "d", "ids", "times", "vs", "low", "high"]
-    arrow = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    names = ["tile", "label", "d", "ids", "times", "vs", "low", "high", "cells"]
+    arrow = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int64()))]
     turned = save(classes.select("c", "label", "d", "times", "v").mapInArrow(turn, "c long, label string, d int, times long, v binary, near array<double>"))
     dealt = turned.repartitionByRange("label", "d", "near", "c").sortWithinPartitions("label", "d", "near", "c")
-    return save(dealt.mapInArrow(cut, "tile long, label string, d int, ids binary, times binary, vs binary, low array<double>, high array<double>"))
+    return save(dealt.mapInArrow(cut, "tile long, label string, d int, ids binary, times binary, vs binary, low array<double>, high array<double>, cells array<array<bigint>>"))
 
 
 def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -155,10 +167,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.8, tile: int = TILE, id_co
     axes = spark.sparkContext.broadcast(_principal_axes(classes, kind))
     reach = (2 - 2 * least) ** 0.5
     tiles = _tiles(classes, kind, axes, reach, tile)
-    box = tiles.select("tile", "label", "d", "low", "high")
-    other = box.select("label", "d", F.col("tile").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    box = tiles.select("tile", "label", "d", "low", "high", F.explode("cells").alias("cell"))
+    other = tiles.select("label", "d", F.col("tile").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(_beside(F.col("cells"))).alias("cell"))
     gaps = sum((F.pow(F.greatest(F.lit(0.0), F.get("low", F.lit(k)) - F.get("high2", F.lit(k)), F.get("low2", F.lit(k)) - F.get("high", F.lit(k))), F.lit(2)) for k in range(1, LEADING)), F.pow(F.greatest(F.lit(0.0), F.get("low", F.lit(0)) - F.get("high2", F.lit(0)), F.get("low2", F.lit(0)) - F.get("high", F.lit(0))), F.lit(2)))
-    meet = box.join(other, ["label", "d"]).where("tile <= other").where(F.coalesce(gaps, F.lit(0.0)) <= reach**2 + SLACK).select("tile", "other")
+    meet = box.join(other, ["label", "d", "cell"]).where("tile <= other").where(F.coalesce(gaps, F.lit(0.0)) <= reach**2 + SLACK).select("tile", "other").distinct()
     held = tiles.select("tile", "d", "ids", "times", "vs")
     pairs = meet.join(held, "tile").join(held.select(F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("times").alias("times2"), F.col("vs").alias("vs2")), "other")
     pairs = pairs.select((F.col("tile") == F.col("other")).alias("same"), "d", "ids", "times", "vs", "ids2", "times2", "vs2")
