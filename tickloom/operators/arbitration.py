@@ -85,8 +85,8 @@ def win_rate(verdicts: DataFrame) -> DataFrame:
 def win_share(verdicts: DataFrame) -> DataFrame:
     """Per publisher the ticks it opened, and their share of all opened ticks (null if there are none). One row a publisher is windowed."""
     opened = verdicts.groupBy("publisher").agg(F.count_if(F.col("verdict") == "open").alias("opened"))
-    total = opened.agg(F.sum("opened").alias("total"))
-    return opened.crossJoin(F.broadcast(total)).select("publisher", "opened", F.when(F.col("total") > 0, F.col("opened") / F.col("total")).alias("share"))
+    total = F.sum("opened").over(W.partitionBy())
+    return opened.withColumn("total", total).select("publisher", "opened", F.when(F.col("total") > 0, F.col("opened") / F.col("total")).alias("share"))
 
 
 def lead_histogram(verdicts: DataFrame, bounds_ns: Sequence[int] = LEAD_BOUNDS_NS) -> DataFrame:
