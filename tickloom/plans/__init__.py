@@ -1,5 +1,5 @@
 """Queries over the driver's tables, each with the SQL that gives the same rows."""
 
-from tickloom.plans import catalog, depth, history, races, ticks
+from tickloom.plans import catalog, depth, encoded, history, races, ticks
 
-PLANS = (ticks, history, races, depth, catalog)
+PLANS = (ticks, history, races, depth, catalog, encoded)
