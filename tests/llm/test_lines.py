@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import types as T
 
-from tickloom.llm.lines import line_dedup
+from tickloom.llm.lines import line_dedup, repeated_runs
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("pos", T.IntegerType())])
 
@@ -69,3 +69,16 @@ def test_short_runs_of_many_words_and_whole_documents(spark):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     for m, least in ((3, 4), (2, 3), (4, 5)):
         assert sorted((tuple(x) for x in line_dedup(docs, m, min_words=least).collect()), key=repr) == brute_by_words(rows, m, least)
+
+
+def test_maximal_runs(spark):
+    rows = [(1, "a\nb\nc\nd\ne", 0), (2, "x\na\nb\nc\nd\ny", 0), (3, "b\nc\nd\nq\na\nb\nc", 0), (4, "a\nb", 0), (5, None, 0)]
+    got = sorted(tuple(r) for r in repeated_runs(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(2, 1, 4, 1, 0), (3, 0, 3, 1, 1), (3, 4, 3, 1, 0)]
+    assert repeated_runs(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clashing_columns(spark):
+    schema = T.StructType([T.StructField(c, T.LongType() if c == "doc_id" else T.StringType()) for c in ("doc_id", "text", "name", "gone", "lines", "id", "th", "first")])
+    docs = spark.createDataFrame([(1, "a\nb\nc", *"nglitf"), (2, "a\nb\nc", *"nglitf")], schema)
+    assert sorted((r["doc_id"], r["n_removed"]) for r in line_dedup(docs).collect()) == [(1, 0), (2, 3)]

@@ -63,14 +63,25 @@ def n_words(text: Column) -> Column:
 HOT_SHARE = 1024
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """key, salts: keys of more than a HOT_SHARE-th of all rows, fewer than HOT_SHARE, and into how many parts they should be split."""
-    counts = save(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+def _salts(counts: DataFrame, key: str) -> DataFrame:
+    """key, salts: keys with more than a HOT_SHARE-th of all rows that counts (key, n) has, and into how many parts they should be split."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return counts.where(F.col("n") * HOT_SHARE > total).select(key, F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).cast("int").alias("salts"))
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """key, salts: keys of more than a HOT_SHARE-th of all rows; fewer than HOT_SHARE, so that they can be broadcast."""
+    return _salts(save(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))), key)
+
+
 def with_salt(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
     """rows with a column salt: 0, for hot keys one of its salts by the hash of `by`."""
     found = rows.join(F.broadcast(hot), key, "left")
     return found.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+
+
+def join_hot(rows: DataFrame, counted: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined on key with counted, a saved table that has each key once and n, its rows. Hot keys are dealt over tasks by the hash of `by`."""
+    hot = _salts(counted, key)
+    parts = counted.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return with_salt(rows, hot, key, by).join(parts, [key, "salt"], how).drop("salt")

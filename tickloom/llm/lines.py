@@ -2,12 +2,12 @@
 
 Every line has a 128-bit id. In each round a suffix that shares its first k lines with another one gets the name of its first
 2k lines (at the end: of exactly min_lines) from the names at its place and k lines on, and suffixes that share their name with none
-are settled and leave. Those that share the last name are the intervals of the suffix array whose longest common prefix is at least
-min_lines; neighbouring starts make up the maximal repeated runs. Names are hashes, as only equality within intervals is asked for.
+are settled and leave. Those that share the last name are an interval of the suffix array whose longest common prefix is at least
+min_lines. Names are hashes, as only equality within intervals is asked for.
 
 Of an interval the first suffix stays: by id, then place. Every line that a later one's first min_lines lines cover is deleted.
-A line with a third of all occurrences is counted by partial aggregation; joins on names are not salted, so that it makes a
-large task there.
+Later starts that follow one another, with first occurrences that do so too, are one maximal repeated run: repeated_runs() returns them.
+A line with a third of all occurrences is counted by partial aggregation, and dealt over many tasks by its document where names are joined.
 
 With min_words, a run of fewer lines counts too if it holds min_words words, or makes up a whole document that has a word: then
 its later occurrences are deleted. A short document that an earlier one holds as a run is a copy; the same few lines inside a longer
@@ -22,12 +22,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .base import n_words, save
+from .base import join_hot, n_words, save
 
 DOC = ["_none", "id", "th"]
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_none, id, th, text: rows by what tells documents apart. Texts are hashed only where an id repeats: else th is 0."""
+    ids = docs.groupBy(F.col(id_col).alias("id")).count()
+    repeated = not ids.where("count > 1").isEmpty()
+    th = F.coalesce(F.xxhash64(text_col), F.lit(0)) if repeated else F.lit(0).cast("long")
+    base = docs.select(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("id"), th.alias("th"), F.col(text_col).alias("text"))
+    base._repeated = repeated
+    return base
+
+
 def _name(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
@@ -38,14 +49,16 @@ def _lines(text: Column) -> Column:
 
 def _shared(suffixes: DataFrame) -> DataFrame:
     """The suffixes whose name another one has too."""
-    often = suffixes.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    return save(suffixes.join(often, "name", "left_semi"))
+    often = save(suffixes.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return save(join_hot(suffixes, often, "name", "id", "left_semi"))
 
 
 def repeated_starts(base: DataFrame, min_lines: int) -> DataFrame:
     """_none, id, th, pos, name: suffixes that share their first min_lines lines with another."""
     lines = base.where("text is not null").select(*DOC, F.posexplode(F.transform(_lines(F.col("text")), lambda x: F.unhex(F.md5(x.cast("binary"))))).alias("pos", "name"))
-    now, k = _shared(lines.groupBy(*DOC, "pos").agg(F.first("name").alias("name"))), 1
+    # rows that repeat id and text are one document
+    lines = lines.dropDuplicates([*DOC, "pos"]) if base._repeated else lines
+    now, k = _shared(lines), 1
     while k < min_lines:
         step = min(k, min_lines - k)
         on = now.select(*DOC, (F.col("pos") - step).alias("pos"), F.col("name").alias("next"))
@@ -76,22 +89,38 @@ def repeated_short_runs(base: DataFrame, min_lines: int, min_words: int) -> Data
     return every.where("asks").join(first, ["k", "name"]).where(~place.eqNullSafe(F.col("first"))).select(*DOC, "pos", "k")
 
 
+def _later(starts: DataFrame) -> DataFrame:
+    """The suffixes that aren't the first of their interval, with the first one's document and place."""
+    place = F.struct(*DOC, "pos")
+    first = save(starts.groupBy("name").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    return join_hot(starts, first, "name", "id").where(~place.eqNullSafe(F.col("first"))).select(*DOC, "pos", "first")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, pos, lines, first_id, first_pos: maximal runs of min_lines lines or more that repeat an earlier place line by line."""
+    later = _later(repeated_starts(_documents(docs, id_col, text_col), min_lines))
+    # along a run, place and first place go up together
+    source = [F.col("first." + c).alias("f" + c) for c in DOC]
+    ahead = later.select(*DOC, "pos", *source, F.col("first.pos").alias("fpos")).withColumn("shift", F.col("pos") - F.col("fpos"))
+    of = [*DOC, *["f" + c for c in DOC], "shift"]
+    island = ahead.withColumn("island", F.col("pos") - F.row_number().over(W.partitionBy(*of).orderBy("pos")))
+    runs = island.groupBy(*of, "island").agg(F.min("pos").alias("pos"), (F.count(F.lit(1)) + min_lines - 1).alias("lines"), F.min("fpos").alias("first_pos"))
+    return runs.select(F.col("id").alias("doc_id"), "pos", "lines", F.col("fid").alias("first_id"), "first_pos")
+
+
 def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept (the text without later copies of runs of min_lines lines or more).
 
     min_words: shorter runs count too if they hold so many words or are a whole document.
     """
-    base = docs.select(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    starts = repeated_starts(base, min_lines)
-    place = F.struct(*DOC, "pos")
-    first = starts.groupBy("name").agg(F.min(place).alias("first"))
-    later = starts.join(first, "name").where(~place.eqNullSafe(F.col("first")))
-    later = later.select(*DOC, "pos", F.lit(min_lines).alias("k"))
+    base = _documents(docs, id_col, text_col)
+    later = _later(repeated_starts(base, min_lines)).select(*DOC, "pos", F.lit(min_lines).alias("k"))
     if min_words is not None and min_lines > 1:
         later = later.union(repeated_short_runs(base, min_lines, min_words))
     gone = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + F.col("k") - 1)).alias("pos")).groupBy(*DOC).agg(F.collect_set("pos").alias("gone"))
     gone = save(gone).select(*[F.col(c).alias("g" + c) for c in DOC], "gone")
-    out = base.join(gone, [F.col(c).eqNullSafe(F.col("g" + c)) for c in DOC], "left").withColumn("lines", F.coalesce(_lines(F.col("text")), F.array().cast("array<string>")))
+    # texts are shuffled once at any size; what was found of them is the smaller side
+    out = base.join(gone.hint("shuffle_hash"), [F.col(c).eqNullSafe(F.col("g" + c)) for c in DOC], "left").withColumn("lines", F.coalesce(_lines(F.col("text")), F.array().cast("array<string>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     return out.select(F.col("id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
