@@ -153,8 +153,8 @@ def encode_message(protocol: str, name: str, values: dict[str, Column], size: in
     return F.concat(head, encode_body(layout or known, values, size - MESSAGE_HEADER))
 
 
-def encode_datagram(magic: int, channel: Column, sequence: Column, messages: list[Column], version: int = 1, resets: Column | None = None) -> Column:
+def encode_datagram(magic: int | Column, channel: Column, sequence: Column, messages: list[Column], version: int = 1, resets: Column | None = None) -> Column:
     """A datagram of messages; its send time is 0."""
     body = F.concat(*messages)
-    head = [little_endian(F.lit(magic), 2), little_endian(F.lit(version), 1), little_endian(channel, 1), little_endian(sequence, 8), zeros(8), little_endian(F.lit(len(messages)), 1)]
+    head = [little_endian(magic if isinstance(magic, Column) else F.lit(magic), 2), little_endian(F.lit(version), 1), little_endian(channel, 1), little_endian(sequence, 8), zeros(8), little_endian(F.lit(len(messages)), 1)]
     return F.concat(*head, little_endian(resets if resets is not None else F.lit(0), 1), little_endian(F.octet_length(body) + 24, 2), body)

@@ -23,9 +23,10 @@ def _trade_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = {"instrument_id": F.col("instrument_id"), "source_id": F.col("source_id"), "source_ts": F.col("source_us") * 1000}
     quote = k.encode_message("top_of_book", "quote", common | {"bid_raw": _raw() - 1, "ask_raw": _raw() + 1, "bid_qty_raw": F.col("size"), "ask_qty_raw": F.lit(-1), "bid_n": F.lit(5), "ask_n": n % 3}, 60)
     trade = k.encode_message("top_of_book", "trade", common | {"price_raw": -_raw(), "qty_raw": F.col("size"), "trade_id": n, "aggressor_side": n % 2}, 52)
-    make = lambda magic: k.encode_datagram(magic, F.col("channel"), n, [quote, trade])
-    whole = F.when(n % 17 == 0, make(MAGIC["midpoint"])).otherwise(make(MAGIC["top_of_book"]))
-    return t.select("arrival_seq", F.when(n % 13 == 0, F.substring(whole, F.lit(1), F.octet_length(whole) - 1)).otherwise(whole).alias("payload"))
+    magic = F.when(n % 17 == 0, MAGIC["midpoint"]).otherwise(MAGIC["top_of_book"])
+    # step by step, so that a datagram is put together once
+    rows = t.withColumn("quote", quote).withColumn("trade", trade).withColumn("whole", k.encode_datagram(magic, F.col("channel"), n, [F.col("quote"), F.col("trade")]))
+    return rows.select("arrival_seq", F.when(n % 13 == 0, F.substring("whole", F.lit(1), F.octet_length("whole") - 1)).otherwise(F.col("whole")).alias("payload"))
 
 
 def decoded_trades(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Sizes of the headers, the versions and magic numbers of the protocols, little-endian.
@@ -147,8 +147,10 @@ def messages(datagrams: DataFrame, protocol: str, keep: tuple[str, ...] = ("arri
 
 def refused(datagrams: DataFrame, protocol: str, payload: str = "payload") -> DataFrame:
     """Datagrams whose framing is refused, with why: short, magic or version."""
-    p = F.col(payload)
-    byte = lambda k: F.conv(F.hex(F.substring(p, k, 1)), 16, 10).cast("int")
-    magic = byte(1) + byte(2) * 256
-    why = F.when(p.isNull() | (F.octet_length(p) < HEADER.size), "short").when(magic != MAGIC[protocol], "magic").when(~byte(3).isin(*VERSIONS[protocol]), "version")
+    def reason(p: Column) -> Column:
+        byte = lambda k: F.conv(F.hex(F.substring(p, k, 1)), 16, 10).cast("int")
+        return F.when(p.isNull() | (F.octet_length(p) < HEADER.size), "short").when(byte(1) + byte(2) * 256 != MAGIC[protocol], "magic").when(~byte(3).isin(*VERSIONS[protocol]), "version")
+
+    # bound once in a lambda, so that a payload that is itself made of columns isn't made anew for each test
+    why = F.get(F.transform(F.array(payload), reason), F.lit(0))
     return datagrams.withColumn("why", why).where("why is not null")
