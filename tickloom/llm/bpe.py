@@ -16,6 +16,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 PIECE_CHARS = 1 << 20
-CACHED_WORDS = 300_000
+#: Words of so many bytes are merged by scanning; of so many words the tokens are remembered, and as many from before.
+SHORT_WORD, CACHED_WORDS = 64, 300_000
 _SAFE_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
@@ -81,7 +83,12 @@ class Vocabulary:
         self.keys, self.made = keys[order], order + 256
         self.merge = {(a, b): 256 + i for i, (a, b) in enumerate(zip(left[256:], right[256:], strict=True))}
         self.number = {x: i for i, x in enumerate(self.entries)}
-        self.longest = max(map(len, self.entries))
+        # for each three bytes the lengths of the entries that start with them, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for x in self.entries:
+            if len(x) > 2:
+                lengths.setdefault(x[:3], set()).add(len(x))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.sound: dict[int, bool] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -89,16 +96,21 @@ class Vocabulary:
         self.by_id = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.raw, self._library, self._odd = raw, None, _unsettled()
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # -- speculate
     def greedy(self, word: bytes) -> list[int]:
-        number, out, i, n = self.number, [], 0, len(word)
+        get, lengths, out, i, n = self.number.get, self.lengths, [], 0, len(word)
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                if (t := number.get(word[i:j])) is not None:
-                    out.append(t)
-                    i = j
+            for k in lengths.get(word[i : i + 3], ()):
+                if i + k <= n and (t := get(word[i : i + k])) is not None:
                     break
+            else:
+                k = 2 if i + 1 < n else 1
+                if (t := get(word[i : i + k])) is None:
+                    k, t = 1, word[i]
+            out.append(t)
+            i += k
         return out
 
     # -- verify
@@ -137,6 +149,8 @@ class Vocabulary:
         tokens, n = list(word), len(word)
         if n < 2:
             return tokens
+        if n <= SHORT_WORD:
+            return self._exact_short(tokens)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         merge = self.merge
         heap = [(m, i) for i in range(n - 1) if (m := merge.get((tokens[i], tokens[i + 1]))) is not None]
@@ -156,6 +170,20 @@ class Vocabulary:
                 heapq.heappush(heap, (k, before[i]))
         return [t for t in tokens if t >= 0]
 
+    def _exact_short(self, tokens: list[int]) -> list[int]:
+        """As exact(): a scan for the oldest merge of a few pairs is faster than a heap."""
+        get, none = self.merge.get, self.size
+        made = [get(pair, none) for pair in pairwise(tokens)]
+        while made and (m := min(made)) < none:
+            i = made.index(m)
+            tokens[i] = m
+            del tokens[i + 1], made[i]
+            if i < len(made):
+                made[i] = get((m, tokens[i + 1]), none)
+            if i:
+                made[i - 1] = get((tokens[i - 1], m), none)
+        return tokens
+
     def encode_words(self, words: Sequence[bytes]) -> list[list[int]]:
         guesses = [self.greedy(w) for w in words]
         flat = np.fromiter((t for g in guesses for t in g), dtype=np.int64)
@@ -193,9 +221,13 @@ class Vocabulary:
             for piece in pieces(part):
                 words = self._split(piece)
                 if len(self.words) > CACHED_WORDS:
-                    self.words.clear()
-                cache = self.words
-                if new := [w for w in set(words) if w not in cache]:
+                    self.words, self.older = {}, self.words
+                cache, older = self.words, self.older
+                new = [w for w in set(words) if w not in cache]
+                if older:
+                    cache.update((w, older[w]) for w in new if w in older)
+                    new = [w for w in new if w not in cache]
+                if new:
                     for w, tokens in zip(new, self.encode_words([w.encode() for w in new]), strict=True):
                         cache[w] = self.ids[tokens].tobytes()
                 out += map(cache.__getitem__, words)
