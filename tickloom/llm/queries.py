@@ -17,6 +17,7 @@ from .minhash import near_groups
 from .mixing import mix_plan
 from .sharding import histogram_shards
 from .substrings import substring_digest
+from .suffixes import suffix_dedup
 from .toxicity import score, train
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP1_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, pos, [line, lead(line) OVER d, lead(line, 2) OVER d] AS run, lead(pos, 2) OVER d IS NOT NULL AS whole FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
@@ -105,7 +111,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lines, op1_lines_by_words, op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_lines, op1_lines_by_words, op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity, op11_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
