@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .base import table
 from .bpe import digest, encode
+from .codes import code_table
 from .embeddings import near_vectors
 from .exact_dedup import exact_groups
 from .html import extract
@@ -80,6 +81,10 @@ def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_table(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, pos, [line, lead(line) OVER d, lead(line, 2) OVER d] AS run, lead(pos, 2) OVER d IS NOT NULL AS whole FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
@@ -111,7 +116,7 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lines, op1_lines_by_words, op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity, op11_suffixes)}
+    return {f.__name__: f for f in (op1_lines, op1_lines_by_words, op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity, op11_suffixes, op12_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
