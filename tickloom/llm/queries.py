@@ -13,6 +13,7 @@ from .codes import code_table
 from .embeddings import near_vectors
 from .exact_dedup import exact_groups
 from .html import extract
+from .lexical import search
 from .lines import line_dedup
 from .minhash import near_groups
 from .mixing import mix_plan
@@ -85,6 +86,10 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_table(table(spark, sf_dir, "embeddings"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, pos, [line, lead(line) OVER d, lead(line, 2) OVER d] AS run, lead(pos, 2) OVER d IS NOT NULL AS whole FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
@@ -115,9 +120,23 @@ FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PAR
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+held AS (SELECT doc_id, t, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM held) SEMI JOIN q USING (term) GROUP BY ALL),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM held),
+w AS (SELECT term, floor(1000 * ln((2.0 * docs + 2) / (2.0 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, docs),
+i AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))) AS impact FROM p JOIN w USING (term), c),
+s AS (SELECT item_id, doc_id, sum(times * impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lines, op1_lines_by_words, op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity, op11_suffixes, op12_codes)}
+    return {f.__name__: f for f in (op1_lines, op1_lines_by_words, op2_sharding, op3_html, op4_embeddings, op5_mixing, op6_substrings, op7_bpe, op8_minhash, op9_exact_dedup, op10_toxicity, op11_suffixes, op12_codes, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lines": OP1_SQL, "op1_lines_by_words": OP1_BY_WORDS_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_lines": OP1_SQL, "op1_lines_by_words": OP1_BY_WORDS_SQL, "op9_exact_dedup": OP9_SQL, "op13_search": OP13_SQL}

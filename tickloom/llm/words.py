@@ -38,10 +38,10 @@ def _runs(white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def word_hashes(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of every run of anything but ASCII white space."""
+def run_hashes(text: bytes, apart: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every run of bytes that don't keep runs apart; apart: true or false for each byte."""
     raw = np.frombuffer(text, np.uint8)
-    starts, ends = _runs(_WHITE[raw])
+    starts, ends = _runs(apart[raw])
     if not len(starts):
         return np.zeros(0, np.uint64), starts, ends
     if lower:
@@ -51,6 +51,11 @@ def word_hashes(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return mix64((upto[ends] - upto[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
+def word_hashes(text: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every run of anything but ASCII white space."""
+    return run_hashes(text, _WHITE, lower)
+
+
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """The hash of every n consecutive words; none if there are fewer."""
     if len(h) < n:
