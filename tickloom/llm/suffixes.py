@@ -11,8 +11,9 @@ one in about eighteen, each with the bytes before it that its windows reach.
 2. The other suffixes are sorted: splitters sampled from all suffixes cut their order into buckets, a bucket sorts by its leading 8
    bytes, then what is tied by the next 8, and so on (multikey quicksort with tokens of a word). Of equal contexts the smallest
    document stays undecided, the windows of the others are repeats. A suffix shares with its neighbours the longest prefix it has with
-   any other; at a bucket's ends the splitters stand for the neighbours beyond. Only windows that lie within that prefix are left.
-3. Those windows, whole, meet by hash and are sorted in the same way; all but the smallest document's are repeats.
+   any other; at a bucket's ends the splitters stand for the neighbours beyond. Only windows within that prefix are left, and are sorted.
+3. A window within the prefix that its suffix shares with a splitter may be repeated across that boundary. Those windows, whole, meet by
+   hash and are sorted in the same way; all but the smallest document's are repeats.
 
 A task sends only the smallest document of equal contexts, so a passage that a third of all documents share comes once a task.
 What is decided travels along in blocks dealt evenly. Texts never move: the decisions for a partition of docs come back to it, and rows
@@ -27,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +36,9 @@ from .base import save
 from .words import mix64
 
 NO_ID = np.iinfo(np.int64).max
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Anchors, and suffixes, that a task holds before it sends them.
-HELD_ANCHORS, HELD_SUFFIXES = 1 << 23, 1 << 18
+HELD_ANCHORS, HELD_SUFFIXES = 1 << 23, 1 << 17
 _BASE = 0x9E3779B97F4A7C15  # fixed value: an odd base of the polynomial hash
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -141,10 +141,10 @@ def _send_grams(part: int, rows: Iterator[tuple[int, str | None]], n: int, bucke
         yield part % buckets, part, -1, docs, b""
 
 
-def _twice(rows: pd.DataFrame) -> pd.DataFrame:
+def _twice(sent: pa.Table) -> pa.Table:
     """For each part and turn one bit a gram: does it occur again?"""
-    rows = rows.sort_values(["part", "turn"])
-    raw = np.frombuffer(b"".join(rows["keys"]), np.uint8).reshape(-1, 5)
+    rows = sorted(_rows(sent), key=lambda r: r[1:3])
+    raw = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, 5)
     key = np.zeros((len(raw), 8), np.uint8)
     key[:, :5] = raw
     key = key.view("<u8").ravel()
@@ -153,9 +153,11 @@ def _twice(rows: pd.DataFrame) -> pd.DataFrame:
     equal = np.concatenate(([False], ranked[1:] == ranked[:-1], [False]))
     again = np.zeros(len(key), bool)
     again[order] = equal[1:] | equal[:-1]
-    ends = np.cumsum(np.where(rows["turn"] < 0, 0, rows["n"]))
-    bits = [np.packbits(again[e - k : e]).tobytes() if t >= 0 else b"" for e, k, t in zip(ends, rows["n"], rows["turn"], strict=True)]
-    return pd.DataFrame({"bucket": rows["bucket"], "part": rows["part"], "turn": rows["turn"], "n": rows["n"], "bits": bits})
+    made, end = [], 0
+    for bucket, part, turn, n, keys in rows:
+        end += len(keys) // 5
+        made.append((bucket, part, turn, n, np.packbits(again[end - len(keys) // 5 : end]).tobytes()))
+    return _table(made, _REPLIES)
 
 
 class _Again:
@@ -248,7 +250,7 @@ def _send_suffixes(part: int, pairs: Iterator, n: int, buckets: int, splitters:
         ends = np.searchsorted(rows.view(_row_type(rows.shape[1])).ravel(), splitters, "right")
         for b, at in enumerate(np.split(np.arange(len(order)), ends)):
             if len(at):
-                yield b, part, len(at), _pack(rows[at]), _pack(ids[order[at]]), _pack(lo[order[at]]), _pack((more[order[at]] + 1).astype(np.int32))
+                yield b, part, len(at), _pack(rows[at]), _pack(ids[order[at]]), _pack(lo[order[at]]), _pack((more[order[at]] + 1).astype(np.int32)), None
 
     def docs():
         nonlocal again
@@ -279,24 +281,33 @@ def _decided(part: int, lo: np.ndarray, count: np.ndarray, first: int, blocks: i
     for i in range(0, len(lo), HELD_SUFFIXES // 8):
         s = slice(i, i + HELD_SUFFIXES // 8)
         to = int(mix64(np.array([part * 1_000_003 + int(lo[i])], np.uint64))[0] % np.uint64(blocks))
-        yield first + to, part, len(lo[s]), None, None, _pack(lo[s]), _pack(count[s].astype(np.int32))
+        yield first + to, int(part), len(lo[s]), None, None, _pack(lo[s]), _pack(count[s].astype(np.int32)), None
 
 
-_ROWS = "bucket int, part int, n int, rows binary, ids binary, lo binary, count binary"
+_GRAMS = "bucket int, part int, turn int, n int, keys binary"
+_REPLIES = "bucket int, part int, turn int, n int, bits binary"
+#: Suffixes or windows of one part (or of `parts`, one each), their documents, and the starts and lengths of runs of windows.
+_ROWS = "bucket int, part int, n int, rows binary, ids binary, lo binary, count binary, parts binary"
+_FOUND = "part int, n int, lo binary, count binary"
 
 
-def _frame(rows: Iterator[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=["bucket", "part", "n", "rows", "ids", "lo", "count"])
+def _rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in table.columns), strict=True))
 
 
-def _gathered(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, ...]:
-    made = [(_unpack(r.rows, r.n, np.uint8, width), _unpack(r.ids, r.n, np.int64), _unpack(r.lo, r.n, np.int64), _unpack(r.count, r.n, np.int32).astype(np.int64), np.full(r.n, r.part)) for r in rows.itertuples()]
-    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def _by_part(part: np.ndarray, lo: np.ndarray, count: np.ndarray, first: int, blocks: int) -> Iterator[tuple]:
-    for p, at in _cut(part):
-        yield from _decided(p, lo[at], count[at], first, blocks)
+def _gathered(rows: list[tuple], width: int) -> tuple[np.ndarray, ...]:
+    made = []
+    for _, part, n, packed, ids, lo, count, parts in rows:
+        of = np.full(n, part) if parts is None else _unpack(parts, n, np.int32).astype(np.int64)
+        made.append((_unpack(packed, n, np.uint8, width), _unpack(ids, n, np.int64), _unpack(lo, n, np.int64), _unpack(count, n, np.int32).astype(np.int64), of))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
 
 def _shared(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -305,62 +316,88 @@ def _shared(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.where(apart.any(axis=1), apart.argmax(axis=1), rows.shape[1])
 
 
-def _sort_suffixes(rows: pd.DataFrame, n: int, splitters: np.ndarray, windows: int, blocks: int) -> pd.DataFrame:
-    """Step 2 in one bucket: runs of repeated windows, and the windows that step 3 has to look at."""
-    if rows["rows"].iloc[0] is None:
-        rows["bucket"] = windows + rows["bucket"] - len(splitters) - 1
-        return rows
+def _hashes(rows: np.ndarray) -> np.ndarray:
+    n, width = rows.shape
+    tokens = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    tokens[:, :width] = rows
+    tokens = tokens.view("<u8")
+    h = np.zeros(n, np.uint64)
+    for j in range(tokens.shape[1]):
+        h = mix64(h ^ tokens[:, j]) * np.uint64(_BASE)
+    return h
+
+
+def _again_in(h: np.ndarray) -> np.ndarray:
+    order = np.argsort(h)
+    equal = np.concatenate(([False], h[order][1:] == h[order][:-1], [False]))
+    out = np.zeros(len(h), bool)
+    out[order] = equal[1:] | equal[:-1]
+    return out
+
+
+def _sort_suffixes(sent: pa.Table, n: int, splitters: np.ndarray, windows: int, blocks: int) -> pa.Table:
+    """Step 2 in one bucket: runs of repeated windows, and those windows that may be repeated in another bucket."""
+    rows = _rows(sent)
+    b = rows[0][0]
+    if rows[0][3] is None:
+        return _table([(windows + b - len(splitters) - 1, *r[1:]) for r in rows], _ROWS)
     reach = n - _gram_bytes(n)
     context, ids, lo, count, part = _gathered(rows, n + reach + 2)
     order, head = multikey_order(context, ids)
     later = _later(order, head, ids)
-    out = list(_by_part(part[order[later]], lo[order[later]], count[order[later]], windows, blocks))
+    gone = order[later]
+    found = [(part[gone], lo[gone], count[gone])]
     # prefixes that distinct neighbours share; the splitters around the bucket bound those of the suffixes beyond it
+    suffix = context[order, :n]
     first = np.flatnonzero(head)
-    suffix = context[order[first], :n]
-    b = int(rows["bucket"].iloc[0])
-    edge = [np.frombuffer(bytes(splitters[i]).ljust(n, b"\0")[:n], np.uint8)[None] if 0 <= i < len(splitters) else None for i in (b - 1, b)]
-    between = _shared(suffix[1:], suffix[:-1])
-    before = np.concatenate(([0 if edge[0] is None else _shared(suffix[:1], edge[0])[0]], between))
-    after = np.concatenate((between, [0 if edge[1] is None else _shared(suffix[-1:], edge[1])[0]]))
-    most = np.maximum(before, after)[np.cumsum(head) - 1][~later]
-    order = order[~later]
+    between = _shared(suffix[first[1:]], suffix[first[:-1]])
+    beyond = np.zeros(len(order), np.int64)
+    for i in (b - 1, b):
+        if 0 <= i < len(splitters):
+            beyond = np.maximum(beyond, _shared(suffix, np.frombuffer(bytes(splitters[i]).ljust(n, b"\0")[:n], np.uint8)[None]))
+    most = np.maximum(np.maximum(np.append(0, between), np.append(between, 0))[np.cumsum(head) - 1], beyond)[~later]
+    beyond, order = beyond[~later], order[~later]
     # a window that starts o bytes before its anchor needs n - o bytes of the suffix
     left = context[order, -1].astype(np.int64)
     low = np.maximum(left - count[order] + 1, n - most)
-    some = np.flatnonzero(low <= left)
-    order, left, low = order[some], left[some], low[some]
-    step = max(1, HELD_SUFFIXES // max(1, reach + 1))
-    for i in range(0, len(order), step):
-        at, l, o_low = order[i : i + step], left[i : i + step], low[i : i + step]
-        c = l - o_low + 1
-        r = np.repeat(np.arange(len(at)), c)
-        o = np.repeat(o_low, c) + np.arange(len(r)) - np.repeat(np.cumsum(c) - c, c)
-        whole = np.concatenate((context[at, n : n + reach][:, ::-1], context[at, :n]), axis=1)
-        window = whole[r[:, None], (reach - o)[:, None] + np.arange(n)]
-        start, who, of = lo[at][r] + l[r] - o, ids[at][r], part[at][r]
-        sort, head = multikey_order(window, who)
-        late = _later(sort, head, who)
-        out += _by_part(of[sort[late]], start[sort[late]], np.ones(late.sum(), np.int64), windows, blocks)
-        sort = sort[~late]
-        window, start, who, of = window[sort], start[sort], who[sort], of[sort]
-        words = np.zeros(len(window), np.uint64)
-        for j in range(n):
-            words = words * np.uint64(_BASE) + window[:, j].astype(np.uint64) + np.uint64(1)
-        to = (mix64(words) % np.uint64(windows)).astype(np.int64)
-        for place, at2 in _cut(to * (1 + int(part.max())) + of):
-            out.append((place // (1 + int(part.max())), place % (1 + int(part.max())), len(at2), _pack(window[at2]), _pack(who[at2]), _pack(start[at2]), _pack(np.ones(len(at2), np.int32))))
-    return _frame(out)
-
-
-def _sort_windows(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+    out = []
+    for o in range(reach + 1):
+        some = np.flatnonzero((low <= o) & (o <= left))
+        at = order[some]
+        window = np.concatenate((context[at, n : n + o][:, ::-1], context[at, : n - o]), axis=1)
+        h = _hashes(window)
+        out_of = beyond[some] >= n - o
+        look = np.flatnonzero(_again_in(h) | out_of)
+        at, window, h, out_of = at[look], window[look], h[look], out_of[look]
+        sort, heads = multikey_order(window, ids[at])
+        late = _later(sort, heads, ids[at])
+        gone = at[sort[late]]
+        found.append((part[gone], lo[gone] + _left(context, gone) - o, np.ones(len(gone), np.int64)))
+        rest = sort[~late]
+        rest = rest[out_of[rest]]
+        start = lo[at] + _left(context, at) - o
+        for to, these in _cut((h[rest] % np.uint64(windows)).astype(np.int64)):
+            these = rest[these]
+            out.append((to, -1, len(these), _pack(window[these]), _pack(ids[at[these]]), _pack(start[these]), _pack(np.ones(len(these), np.int32)), _pack(part[at[these]].astype(np.int32))))
+    part, lo, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    for p, these in _cut(part):
+        out += _decided(p, lo[these], count[these], windows, blocks)
+    return _table(out, _ROWS)
+
+
+def _left(context: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return context[at, -1].astype(np.int64)
+
+
+def _sort_windows(sent: pa.Table, n: int) -> pa.Table:
     """Step 3 in one bucket: only what is repeated."""
-    if rows["rows"].iloc[0] is None:
-        return rows[["part", "n", "lo", "count"]]
+    rows = _rows(sent)
+    if rows[0][3] is None:
+        return _table([(part, n, lo, count) for _, part, n, _, _, lo, count, _ in rows], _FOUND)
     window, ids, lo, count, part = _gathered(rows, n)
     order, head = multikey_order(window, ids)
     gone = order[_later(order, head, ids)]
-    return pd.DataFrame([(p, len(at), _pack(lo[gone[at]]), _pack(count[gone[at]].astype(np.int32))) for p, at in _cut(part[gone])], columns=["part", "n", "lo", "count"])
+    return _table([(p, len(at), _pack(lo[gone[at]]), _pack(count[gone[at]].astype(np.int32))) for p, at in _cut(part[gone])], _FOUND)
 
 
 def _removed(pairs: Iterator, n: int) -> Iterator[tuple]:
@@ -425,16 +462,16 @@ def suffix_dedup(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_col:
     blocks, windows = buckets, buckets
 
     sent = rows.mapPartitionsWithIndex(lambda i, it: _send_grams(i, it, n, buckets))
-    grams = spark.createDataFrame(sent, "bucket int, part int, turn int, n int, keys binary", verifySchema=False)
-    replies = save(grams.groupBy("bucket").applyInPandas(_twice, "bucket int, part int, turn int, n int, bits binary"))
+    grams = spark.createDataFrame(sent, _GRAMS, verifySchema=False)
+    replies = save(grams.groupBy("bucket").applyInArrow(_twice, _REPLIES))
     counts = {r["part"]: r["n"] for r in replies.where("turn = -1").select("part", "n").collect()}
 
     splitters = _splitters(base, n, buckets, anchors)
     pairs = _met(rows, replies.where("turn >= 0"), ["bucket", "turn", "n", "bits"], counts)
     sent = pairs.mapPartitionsWithIndex(lambda i, it: _send_suffixes(i, it, n, buckets, splitters, blocks))
     suffixes = spark.createDataFrame(sent, _ROWS, verifySchema=False)
-    found = suffixes.groupBy("bucket").applyInPandas(lambda pdf: _sort_suffixes(pdf, n, splitters, windows, blocks), _ROWS)
-    found = save(found.groupBy("bucket").applyInPandas(lambda pdf: _sort_windows(pdf, n), "part int, n int, lo binary, count binary"))
+    found = suffixes.groupBy("bucket").applyInArrow(lambda sent: _sort_suffixes(sent, n, splitters, windows, blocks), _ROWS)
+    found = save(found.groupBy("bucket").applyInArrow(lambda sent: _sort_windows(sent, n), _FOUND))
 
     pairs = _met(rows, found, ["n", "lo", "count"], counts)
     return spark.createDataFrame(pairs.mapPartitions(lambda it: _removed(it, n)), schema, verifySchema=False)
