@@ -2,7 +2,9 @@
 
 import json
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators import candles, wire
 from tickloom.sources import public, tables
@@ -35,27 +37,47 @@ def test_bars_of_a_stream(spark, tmp_path):
     assert got <= want and {r for r in want if r[3] < newest - 3600} <= got
 
 
-def loop(rows, step):
+def loop(rows, rule):
+    """The verdicts of one pass, with the state put away and taken back after every row."""
+    step, kept = rule
     state, out = None, []
     for r in rows:
-        state, verdict = step(json.loads(json.dumps(state)), r)
+        state, verdict = step(state, r)
+        fields = [f.name for f in T.StructType.fromDDL(kept.schema).fields]
+        state = kept.unpack(as_row(dict(zip(fields, kept.pack(state), strict=True)), T.StructType.fromDDL(kept.schema)))
         out.append(verdict)
     return out
 
 
+def as_row(value, kind):
+    if isinstance(kind, T.StructType) and value is not None:
+        values = value.values() if isinstance(value, dict) else value
+        return Row(*kind.names)(*[as_row(v, f.dataType) for v, f in zip(values, kind.fields, strict=True)])
+    return [as_row(v, kind.elementType) for v in value] if isinstance(kind, T.ArrayType) else value
+
+
 def test_steps_keep_state_between_batches(spark, tmp_path):
-    rows = [{"k": "a", "arrival_seq": i, "publisher": i % 3, "trade_id": i * 7 % 5, "at_ns": i * 1_000_000_000, "price_exponent": i // 6, "qty_exponent": 0} for i in range(30)]
-    df = spark.createDataFrame(rows, "k string, arrival_seq long, publisher long, trade_id long, at_ns long, price_exponent int, qty_exponent int")
-    for i, step in enumerate((q.reannounce, q.trade_ids(3), q.unnumbered_tape)):
-        got = run(spark, tmp_path / str(i), df, lambda s, step=step: q.sequential(s, ["k"], ["arrival_seq"], step))
-        assert [r.verdict for r in got.orderBy("arrival_seq").collect()] == loop(rows, step)
+    at = lambda i: None if i % 4 == 3 else 1_780_609_924_758_000_123 + i  # noqa: E731  nulls beside longs that no double holds
+    rows = [{"k": "a", "arrival_seq": i, "publisher": i % 3, "trade_id": i * 7 % 5, "at_ns": i * 1_000_000_000, "price_exponent": i // 6, "qty_exponent": 0, "other": at(i)} for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, arrival_seq long, publisher long, trade_id long, at_ns long, price_exponent int, qty_exponent int, other long")
+    for i, rule in enumerate((q.reannounce, q.trade_ids(3), q.unnumbered_tape)):
+        got = run(spark, tmp_path / str(i), df, lambda s, rule=rule: q.sequential(s, ["k"], ["arrival_seq"], rule)).orderBy("arrival_seq").collect()
+        assert [r.verdict for r in got] == loop(rows, rule) and [r.other for r in got] == [at(i) for i in range(30)]
+    assert [r.verdict for r in q.sequential(df.repartition(3), ["k"], ["arrival_seq"], q.reannounce).orderBy("arrival_seq").collect()] == loop(rows, q.reannounce)
+    assert q.sequential(df.limit(0), ["k"], ["arrival_seq"], q.reannounce).collect() == []
+
+
+def test_state_of_idle_keys_is_forgotten(spark, tmp_path):
+    df = spark.createDataFrame([("a", i, 1, i) for i in range(3)], "k string, arrival_seq long, publisher long, trade_id long")
+    late = lambda s: q.sequential(s, ["k"], ["arrival_seq"], q.trade_ids(), idle_ms=1)
+    assert {r.verdict for r in run(spark, tmp_path, df.withColumn("trade_id", F.lit(7).cast("long")), late, files=3).collect()} == {"emit"}
 
 
 def test_steps():
     d = lambda at, x=1: {"price_exponent": x, "qty_exponent": 0, "at_ns": at * 1_000_000_000}
     assert loop([d(0), d(14), d(15), d(16, 2), d(17), d(33), d(33)], q.reannounce) == ["emit", "drop", "emit", "emit", "emit", "emit", "drop"]
     t = lambda trade, publisher: {"trade_id": trade, "publisher": publisher}
-    assert loop([t(1, 0), t(1, 1), t(1, 0), t(2, 0), t(3, 0), t(1, 1)], q.trade_ids(2)) == ["emit", "contest", "drop", "emit", "emit", "emit"]
+    assert loop([t(1, 0), t(1, 1), t(1, 0), t(2, 0), t(3, 0), t(1, 1), t(0, 0), t(0, 0)], q.trade_ids(2)) == ["emit", "contest", "drop", "emit", "emit", "emit", "bypass", "bypass"]
     p = lambda at, publisher: {"at_ns": at * 1_000_000_000, "publisher": publisher}
     assert loop([p(0, 0), p(1, 1), p(5, 1), p(6, 1), p(7, 0)], q.unnumbered_tape) == ["emit", "conflict", "conflict", "emit", "conflict"]
 
