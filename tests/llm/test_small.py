@@ -87,6 +87,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert found and all(r.score >= 0.5 for r in found)
 
 
+def test_toxicity_recall_and_precision_on_held_out_rows(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    known = score(docs, train(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
+    assert known.toxic.sum() > 90
+    assert known[known.toxic == 1].predicted.mean() >= 0.9 and known[known.predicted == 1].toxic.mean() >= 0.9
+
+
 def test_toxicity_on_odd_rows(spark):
     docs = odd(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

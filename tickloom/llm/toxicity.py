@@ -8,7 +8,8 @@ found without sentence labels: offending_sentences() returns them.
 
 The model is fitted in one task on a bounded sample (SAMPLE_ROWS labelled rows, the smallest by a hash of their ids, and
 SAMPLE_BYTES of text, without texts of more than a 16th of that). Words and stems that fewer than MIN_DOCUMENTS of them hold, or
-whose documents are toxic less than LIFT times as often as all, have no weight.
+whose documents are toxic less than LIFT times as often as all, have no weight. Each round of fitting leaves out a share of the words and
+stems (DROPOUT), always the same ones, so that a word learns its part even where others beside it explain the documents already.
 Every text is scored whole.
 
 Defined cases. A null or empty text has no sentences: its score is the score of one empty sentence. Without labelled rows all
@@ -33,7 +34,7 @@ SAMPLE_ROWS, SAMPLE_BYTES, MIN_DOCUMENTS = 6000, 64 << 20, 4
 LONGEST_SHARE = 16
 LIFT, STEMS = 2.0, range(3, 9)
 CACHED_WORDS = 300_000
-EPOCHS, RATE, SPARSITY = 200, 0.1, 2e-4
+EPOCHS, RATE, SPARSITY, DROPOUT = 200, 0.1, 1e-4, 0.3
 _SENTENCE = regex.compile(r"[^.!?\n]+")
 _WORD = regex.compile(r"[\p{L}\p{M}']+")
 
@@ -69,7 +70,7 @@ class _Lookup(dict):
 
 
 def fit(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Weights of words and stems, and the bias under the empty word, from (text, label) rows: Adam on the noisy-or likelihood, soft-thresholded."""
+    """Weights of words and stems, and the bias under the empty word, from (text, label) rows: Adam on the noisy-or likelihood with dropout, soft-thresholded."""
     held, seen, bad = [], Counter(), Counter()
     for text, label in rows:
         bags = {frozenset(_words(s)) for _, s in _sentences(text)} or {frozenset()}
@@ -93,12 +94,14 @@ def fit(rows: list[tuple[str, int]]) -> dict[str, float]:
     w = np.zeros(len(vocabulary) + 1)
     w[-1] = -5.0
     m, v = np.zeros_like(w), np.zeros_like(w)
+    drawn = np.random.default_rng(0)
     for step in range(1, EPOCHS + 1):
-        z = np.bincount(sentence, weights=w[feature], minlength=len(owner)) + w[-1]
+        stays = drawn.random(len(vocabulary)) >= DROPOUT
+        z = np.bincount(sentence, weights=(w[:-1] * stays)[feature], minlength=len(owner)) + w[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         clean = np.exp(np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)))
         pull = np.where(y[owner] > 0, p * (clean / np.maximum(1 - clean, 1e-9))[owner], -p)
-        g = np.append(np.bincount(feature, weights=pull[sentence], minlength=len(vocabulary)), pull.sum()) / len(y)
+        g = np.append(np.bincount(feature, weights=pull[sentence], minlength=len(vocabulary)) * stays, pull.sum()) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         size = RATE / (np.sqrt(v / (1 - 0.99**step)) + 1e-4)
         w += size * m / (1 - 0.9**step)
