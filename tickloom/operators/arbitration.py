@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators.matching import queue_pairs
 from tickloom.operators.ordered import running
 
 # Bounds of the lead histogram in nanoseconds.
@@ -110,17 +111,9 @@ def sequence_check(datagrams: DataFrame, order: Sequence[str], channel: Sequence
     return seen.withColumn("check", check).drop("_before", "_era", "_newest")
 
 
-def race_pairs(trades: DataFrame, signature: Sequence[str], order: Sequence[str], paths: tuple, window_us: int) -> DataFrame:
-    """The n-th copy of a signature on one path with the n-th on the other: signature, ordinal, first, second, delta_us; at most window_us apart."""
-    nth = W.partitionBy(*signature, "publisher").orderBy(*order)
-    seen = trades.where(F.col("publisher").isin(list(paths))).withColumn("ordinal", F.row_number().over(nth)).select(*signature, "ordinal", "publisher", "recv_us")
-    on = [*signature, "ordinal"]
-    a = seen.where(F.col("publisher") == paths[0]).withColumnRenamed("recv_us", "a_us").drop("publisher")
-    b = seen.where(F.col("publisher") == paths[1]).withColumnRenamed("recv_us", "b_us").drop("publisher")
-    delta = F.col("b_us") - F.col("a_us")
-    pair = a.join(b, on).where(F.abs(delta) <= window_us)
-    ahead = delta >= 0
-    return pair.select(*on, F.when(ahead, paths[0]).otherwise(paths[1]).alias("first"), F.when(ahead, paths[1]).otherwise(paths[0]).alias("second"), F.abs(delta).alias("delta_us"), F.least("a_us", "b_us").alias("first_us"))
+def race_pairs(trades: DataFrame, signature: Sequence[str], order: Sequence[str], paths: Sequence[int], window_us: int) -> DataFrame:
+    """Copies of a trade that two of the paths delivered at most window_us apart, paired by waiting queues: signature, first, second, delta_us, first_us."""
+    return queue_pairs(trades.where(F.col("publisher").isin(list(paths))), signature, order, window_us)
 
 
 def lead_for(pairs: DataFrame, leader) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import arbitration as a
+from tickloom.operators.matching import queue_pairs, unpaired
 from tickloom.plans.ticks import COPIES_SQL
 from tickloom.sources.tables import HOUR_US, QUOTE_ORDER, copies, floor_div, quotes, receivers, table
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "recv_us"]
 COPY_ORDER = ["recv_us", "publisher", "event_id"]
 #: Copies lie up to 15 minutes apart, so a margin of two minutes is one that paths can win by.
-DAY_US, MARGIN_US = 86_400_000_000, 120_000_000
+DAY_US, MARGIN_US, WINDOW_US = 86_400_000_000, 120_000_000, 900_000_000
 
 
 def quote_content_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +51,21 @@ def sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.race_pairs(copies(spark, sf_dir), ["symbol", "price", "size"], COPY_ORDER, (0, 1), 900_000_000)
+    return a.race_pairs(copies(spark, sf_dir), ["symbol", "price", "size"], COPY_ORDER, (0, 1), WINDOW_US)
 
 
 def race_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.lead_for(_pairs(spark, sf_dir), 0).select("symbol", "price", "size", "ordinal", "first", "second", "delta_us", "challenger", "lead_us")
+    return a.lead_for(_pairs(spark, sf_dir), 0).select("symbol", "price", "size", "first", "second", "delta_us", "challenger", "lead_us")
+
+
+def race_pairs_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path's copies, in buckets as short as the window, so that queues are handed from one to the next."""
+    return queue_pairs(copies(spark, sf_dir), ["symbol", "size"], COPY_ORDER, WINDOW_US, width_us=1)
+
+
+def race_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = copies(spark, sf_dir)
+    return unpaired(c, queue_pairs(c, ["symbol", "price", "size"], COPY_ORDER, WINDOW_US), WINDOW_US, "recv_us")
 
 
 def race_window_election(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +109,7 @@ def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (quote_content_verdicts, depth_floor_verdicts, trade_dedup, tick_win_share, lead_histogram, emit_counters, sequence_check, race_pairs, race_window_election, transfer_reasons, tape_owner, markets_held, shred_dedup_verdicts, fingerprint_groups)
+    every = (quote_content_verdicts, depth_floor_verdicts, trade_dedup, tick_win_share, lead_histogram, emit_counters, sequence_check, race_pairs, race_pairs_of_all, race_unpaired, race_window_election, transfer_reasons, tape_owner, markets_held, shred_dedup_verdicts, fingerprint_groups)
     return {f.__name__: f for f in every}
 
 
@@ -122,10 +133,19 @@ _COPY_VERDICTS = f"""{COPIES_SQL}, l AS (SELECT *, max(tick) OVER (PARTITION BY
   FROM n WINDOW k AS (PARTITION BY symbol, tick ORDER BY arrival_seq)),
 c AS (SELECT *, row_number() OVER (PARTITION BY symbol, tick, publisher = leader ORDER BY arrival_seq) AS n_side, row_number() OVER (PARTITION BY symbol, tick, publisher, price ORDER BY arrival_seq) AS n_content FROM l),
 v AS (SELECT *, CASE WHEN tick < hw THEN 'stale' WHEN n_tick = 1 THEN 'open' WHEN publisher <> leader THEN CASE WHEN n_side = 1 THEN 'contest' ELSE 'drop' END WHEN n_content = 1 THEN 'emit' ELSE 'drop' END AS verdict FROM c)"""
-_PAIRS = f"""{COPIES_SQL}, o AS (SELECT symbol, price, size, publisher, recv_us, row_number() OVER (PARTITION BY symbol, price, size, publisher ORDER BY recv_us, publisher, event_id) AS ordinal FROM n WHERE publisher IN (0, 1)),
-rp AS (SELECT a.symbol, a.price, a.size, a.ordinal, CASE WHEN b.recv_us >= a.recv_us THEN 0 ELSE 1 END AS first, CASE WHEN b.recv_us >= a.recv_us THEN 1 ELSE 0 END AS second, abs(b.recv_us - a.recv_us) AS delta_us, least(a.recv_us, b.recv_us) AS first_us
-  FROM o a JOIN o b ON a.symbol = b.symbol AND a.price = b.price AND a.size = b.size AND a.ordinal = b.ordinal AND a.publisher = 0 AND b.publisher = 1 WHERE abs(b.recv_us - a.recv_us) <= 900000000),
-d AS (SELECT *, 1 AS challenger, CASE WHEN second = 0 THEN -delta_us ELSE delta_us END AS lead_us FROM rp)"""
+def _queues(signature: str, where: str = "true") -> str:
+    """Pairs pq, copy by copy: q holds when the copies that wait came, w is their path."""
+    columns = signature.split(", ")
+    same = " AND ".join(f"tq.{c} = rq.{c}" for c in columns)
+    return f"""tq AS (SELECT {signature}, publisher, recv_us, row_number() OVER (PARTITION BY {signature} ORDER BY recv_us, publisher, event_id) AS k FROM n WHERE {where}),
+rq AS (SELECT {signature}, k, publisher AS w, [recv_us] AS q, NULL::BIGINT AS first, NULL::BIGINT AS second, NULL::BIGINT AS first_us, recv_us FROM tq WHERE k = 1
+  UNION ALL SELECT {signature}, k, CASE WHEN met THEN w ELSE publisher END, CASE WHEN met THEN live[2:] ELSE list_append(live, recv_us)[-8:] END, CASE WHEN met THEN w END, CASE WHEN met THEN publisher END, CASE WHEN met THEN live[1] END, recv_us
+  FROM (SELECT *, len(live) > 0 AND w <> publisher AS met FROM (SELECT {", ".join("tq." + c for c in columns)}, tq.k, tq.publisher, tq.recv_us, rq.w, list_filter(rq.q, lambda x: tq.recv_us - x <= {WINDOW_US}) AS live FROM rq JOIN tq ON {same} AND tq.k = rq.k + 1))),
+pq AS (SELECT {signature}, first, second, recv_us - first_us AS delta_us, first_us FROM rq WHERE first IS NOT NULL)"""
+
+
+_RECURSIVE_COPIES = "RECURSIVE " + COPIES_SQL
+_PAIRS = f"""{_RECURSIVE_COPIES}, {_queues("symbol, price, size", "publisher IN (0, 1)")}, d AS (SELECT *, 1 AS challenger, CASE WHEN second = 0 THEN -delta_us ELSE delta_us END AS lead_us FROM pq)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -147,7 +167,12 @@ SELECT cast(le_ns AS BIGINT) AS le_ns, count(*) FILTER (ns <= le_ns) AS n FROM b
 e AS (SELECT *, count(*) FILTER (before IS NULL OR before <> reset_count) OVER (PARTITION BY publisher, channel ORDER BY recv_us, event_id) AS era FROM d),
 m AS (SELECT *, max(sequence) OVER (PARTITION BY publisher, channel, era ORDER BY recv_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e)
 SELECT event_id, publisher, CASE WHEN before IS NULL THEN 'first' WHEN before <> reset_count THEN 'reset' WHEN sequence < newest THEN 'stale' ELSE 'ok' END AS "check" FROM m""",
-        "race_pairs": f"WITH {_PAIRS} SELECT symbol, price, size, ordinal, first, second, delta_us, challenger, lead_us FROM d",
+        "race_pairs_of_all": f"WITH {_RECURSIVE_COPIES}, {_queues('symbol, size')} SELECT * FROM pq",
+        "race_unpaired": f"""WITH {_RECURSIVE_COPIES}, {_queues('symbol, price, size')}, zd AS (SELECT max(recv_us) - {WINDOW_US} AS due FROM n),
+pd AS (SELECT path, count(*) AS paired FROM (SELECT first AS path, first_us AS came FROM pq UNION ALL SELECT second, first_us + delta_us FROM pq), zd WHERE came < due GROUP BY path),
+cs AS (SELECT publisher AS path, count(*) AS copies, count(*) FILTER (recv_us < due) AS n_due FROM n, zd GROUP BY publisher)
+SELECT path, copies, n_due - coalesce(paired, 0) AS unpaired FROM cs LEFT JOIN pd USING (path)""",
+        "race_pairs": f"WITH {_PAIRS} SELECT symbol, price, size, first, second, delta_us, challenger, lead_us FROM d",
         "race_window_election": f"""WITH {_PAIRS}, r AS (SELECT *, cast(floor(first_us / {DAY_US}) AS BIGINT) * {DAY_US} AS window_us FROM d),
 k AS (SELECT *, row_number() OVER (PARTITION BY window_us, challenger ORDER BY lead_us) AS nth, count(*) OVER (PARTITION BY window_us, challenger) AS whole FROM r),
 g AS (SELECT window_us, challenger, count(*) AS samples, count(*) FILTER (lead_us < -{MARGIN_US}) AS wins, max(lead_us) FILTER (nth = cast(floor(whole / 2) AS BIGINT) + 1) AS median_us FROM k GROUP BY ALL)
