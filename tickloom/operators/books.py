@@ -120,13 +120,6 @@ def rebaseline(levels: DataFrame) -> DataFrame:
     return every.join(n, "instrument_id").withColumn("last", F.col("ord") == F.col("_n")).drop("_n")
 
 
-def coalesced(updates: DataFrame, datagram: str, order: Sequence[str], content: Sequence[str]) -> DataFrame:
-    """One row a (market, datagram): its last state, with published: false where it equals the state published before."""
-    last = updates.groupBy("instrument_id", datagram).agg(F.max_by(F.struct(*content), F.struct(*order)).alias("state"), F.max(F.struct(*order)).alias("place"))
-    before = F.lag("state").over(W.partitionBy("instrument_id").orderBy("place"))
-    return last.withColumn("published", ~before.eqNullSafe(F.col("state"))).select("instrument_id", datagram, "state.*", "published")
-
-
 def bucketed_levels(levels: DataFrame, sig_figs: int, mantissa: int = 1, n_levels: int = 20, scale: int = 1) -> DataFrame:
     """Levels merged into buckets of so many significant figures: bids round down, asks up, sizes and counts add, the n best stay.
 

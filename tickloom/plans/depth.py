@@ -51,10 +51,6 @@ def l2_crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.crossed(l2_book(spark, sf_dir))
 
 
-def depth_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.coalesced(level_updates(spark, sf_dir), "l_orderkey", LEVEL_ORDER, ["side", "qty"])
-
-
 def accumulator_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.fold_with_clears(level_updates(spark, sf_dir), LEVEL_ORDER, F.col("l_orderkey") % 499 == 0)
 
@@ -99,7 +95,7 @@ def level_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (snapshots_complete, l2_recovered, level_epochs, l3_book, l3_order_set, l3_price_fold, l3_top_levels, l3_prints, l4_diffs, l3_valid_prefix, l2_book, l2_best, l2_crossed, depth_changes, accumulator_fold, book_rebaseline, sigfig_l2book, sigfig_l2book_mantissa)
+    every = (snapshots_complete, l2_recovered, level_epochs, l3_book, l3_order_set, l3_price_fold, l3_top_levels, l3_prints, l4_diffs, l3_valid_prefix, l2_book, l2_best, l2_crossed, accumulator_fold, book_rebaseline, sigfig_l2book, sigfig_l2book_mantissa)
     return {f.__name__: f for f in every}
 
 
@@ -157,9 +153,6 @@ SELECT publisher, l_orderkey, seq, l_partkey FROM (SELECT *, row_number() OVER (
         "l2_book": f"WITH {_L2} SELECT * FROM lv",
         "l2_best": f"WITH {_L2} SELECT {_BEST} FROM lv GROUP BY instrument_id",
         "l2_crossed": f"WITH {_L2}, x AS (SELECT {_BEST} FROM lv GROUP BY instrument_id) SELECT instrument_id, coalesce(bid > ask, false) AS crossed FROM x",
-        "depth_changes": f"""WITH {_LEVELS}, k AS (SELECT instrument_id, l_orderkey, arg_max((side, qty), {_PLACE}) AS state, max({_PLACE}) AS place FROM lu GROUP BY ALL),
-p AS (SELECT *, lag(state) OVER (PARTITION BY instrument_id ORDER BY place) AS before FROM k)
-SELECT instrument_id, l_orderkey, state[1] AS side, state[2] AS qty, before IS NULL OR state <> before AS published FROM p""",
         "accumulator_fold": f"""WITH {_LEVELS}, c AS (SELECT instrument_id, side, max({_PLACE}) AS since FROM lu WHERE l_orderkey % 499 = 0 GROUP BY ALL),
 b AS (SELECT instrument_id, count(*) = 2 AS baselined FROM c GROUP BY instrument_id),
 l AS (SELECT instrument_id, side, price, arg_max(qty, {_PLACE}) AS size FROM lu LEFT JOIN c USING (instrument_id, side) WHERE since IS NULL OR {_PLACE} >= since GROUP BY ALL)
