@@ -26,45 +26,52 @@ def canon8(x: Column) -> Column:
     return F.round(x * 1e8).cast("decimal(38,0)")
 
 
-def floor_verdicts(copies: DataFrame, key: str = "symbol", content: str | Column = "price", order: Sequence[str] = ("recv_us", "publisher", "event_id"), bucket: Column | None = None) -> DataFrame:
+def floor_verdicts(copies: DataFrame, key: str = "symbol", content: str | Column = "price", order: Sequence[str] = ("recv_us", "publisher", "event_id"), bucket: Column | None = None, outside: Column | None = None, numbered: str | None = None) -> DataFrame:
     """copies with verdict (stale, open, contest, emit or drop), leader and lead_us: how long after its tick was opened a row came.
 
-    content: what tells two rows of one tick and publisher apart. A row with a null tick is stale after any other.
+    content: what tells two rows of one tick and publisher apart. A row with a null tick is stale after any other. outside: a verdict for rows
+    that don't take part; null for the others. numbered: also number the rows of a key, in a column of this name. Only rows whose tick
+    is open have a leader. Rows that are outside or stale meet in no window: a tick that is never open again, such as 0, is no hot key.
     """
     order = list(order)
     if bucket is None:
         bucket = F.floor(F.col(order[0]) / 3_600_000_000)
-    led = running(copies.withColumn("_content", F.col(content) if isinstance(content, str) else content), [key], order, bucket, _hw=("max", F.col("tick")))
-    of_tick = W.partitionBy(key, "tick").orderBy(*order)
+    rows = copies.withColumn("_outside", F.lit(None).cast("string") if outside is None else outside)
+    made = {"_hw": ("max", F.when(F.col("_outside").isNull(), F.col("tick")))} | ({numbered: ("count", None)} if numbered else {})
+    led = running(rows, [key], order, bucket, **made)
+    stale = F.when(F.col("tick").isNull() | (F.col("tick") < F.col("_hw")), "stale")
+    led = led.withColumn("_known", F.coalesce("_outside", stale)).withColumn("_content", F.when(F.col("_known").isNull(), F.col(content) if isinstance(content, str) else content))
+    led = led.withColumn("_tick", F.when(F.col("_known").isNull(), F.col("tick")).otherwise(F.xxhash64(*order)))
+    tick = [key, F.col("_known").isNull(), "_tick"]
+    of_tick = W.partitionBy(*tick).orderBy(*order)
     led = led.withColumn("leader", F.first("publisher").over(of_tick)).withColumn("_n_tick", F.row_number().over(of_tick)).withColumn("_opened", F.first(order[0]).over(of_tick))
-    by_side = W.partitionBy(key, "tick", F.col("publisher") == F.col("leader")).orderBy(*order)
-    by_content = W.partitionBy(key, "tick", "publisher", "_content").orderBy(*order)
+    by_side = W.partitionBy(*tick, F.col("publisher") == F.col("leader")).orderBy(*order)
+    by_content = W.partitionBy(*tick, "publisher", "_content").orderBy(*order)
     led = led.withColumn("_n_side", F.row_number().over(by_side)).withColumn("_n_content", F.row_number().over(by_content))
     verdict = (
-        F.when(F.col("tick").isNull() | (F.col("tick") < F.col("_hw")), "stale").when(F.col("_n_tick") == 1, "open")
+        F.when(F.col("_known").isNotNull(), F.col("_known")).when(F.col("_n_tick") == 1, "open")
         .when(F.col("publisher") != F.col("leader"), F.when(F.col("_n_side") == 1, "contest").otherwise("drop"))
         .when(F.col("_n_content") == 1, "emit").otherwise("drop")
     )
-    return led.withColumn("verdict", verdict).withColumn("lead_us", F.col(order[0]) - F.col("_opened")).drop("_content", "_hw", "_n_tick", "_opened", "_n_side", "_n_content")
+    in_play = lambda c: F.when(F.col("_known").isNull(), c)
+    found = led.withColumn("verdict", verdict).withColumn("lead_us", in_play(F.col(order[0]) - F.col("_opened"))).withColumn("leader", in_play(F.col("leader")))
+    return found.drop("_content", "_hw", "_n_tick", "_opened", "_n_side", "_n_content", "_known", "_tick", "_outside")
 
 
 def quote_verdicts(quotes: DataFrame, order: Sequence[str], key: str = "symbol") -> DataFrame:
     """Quotes with a verdict: bypass (no source time: forwarded as it is), future (refused), or floor_verdicts() by canonical content."""
     future = F.col("source_us") > F.col("recv_us") + FUTURE_SKEW_US
-    outside = F.when(F.col("source_us") == 0, "bypass").when(future, "future")
     content = F.struct(*[canon8(F.col(c)).alias(c) for c in ("bid", "bid_size", "ask", "ask_size")], "bid_n", "ask_n")
-    floored = floor_verdicts(quotes.where(outside.isNull()).withColumn("tick", F.col("source_us")), key, content, order)
-    others = quotes.where(outside.isNotNull()).withColumn("verdict", outside)
-    return floored.drop("tick").unionByName(others, allowMissingColumns=True)
+    outside = F.when(F.col("source_us") == 0, "bypass").when(future, "future")
+    return floor_verdicts(quotes.withColumn("tick", F.col("source_us")), key, content, order, outside=outside).drop("tick")
 
 
 def depth_verdicts(depths: DataFrame, order: Sequence[str], key: str = "symbol") -> DataFrame:
     """Depths (arrays bids and asks of price and size) with a verdict. A source time of 0 is a time like any other here."""
-    future = F.col("source_us") > F.col("recv_us") + FUTURE_SKEW_US
     levels = lambda side: F.transform(side, lambda x: F.struct(canon8(x["price"]), canon8(x["size"])))
     content = F.struct(levels("bids").alias("b"), levels("asks").alias("a"))
-    floored = floor_verdicts(depths.where(~future).withColumn("tick", F.col("source_us")), key, content, order)
-    return floored.drop("tick").unionByName(depths.where(future).withColumn("verdict", F.lit("future")), allowMissingColumns=True)
+    outside = F.when(F.col("source_us") > F.col("recv_us") + FUTURE_SKEW_US, "future")
+    return floor_verdicts(depths.withColumn("tick", F.col("source_us")), key, content, order, outside=outside).drop("tick")
 
 
 def trade_verdicts(trades: DataFrame, order: Sequence[str], key: str = "symbol", trade_id: str = "event_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import arbitration as a
 from tickloom.operators.matching import queue_pairs, unpaired
 from tickloom.plans.ticks import COPIES_SQL
-from tickloom.sources.tables import HOUR_US, QUOTE_ORDER, copies, floor_div, quotes, receivers, table
+from tickloom.sources.tables import HOUR_US, QUOTE_ORDER, floor_div, mirrored, quotes, receivers, table
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "recv_us"]
 COPY_ORDER = ["recv_us", "publisher", "event_id"]
@@ -28,30 +28,30 @@ def depth_floor_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.trade_verdicts(copies(spark, sf_dir), COPY_ORDER).select("event_id", "publisher", "verdict", "winner", "lead_us")
+    return a.trade_verdicts(mirrored(spark, sf_dir), COPY_ORDER).select("event_id", "publisher", "verdict", "winner", "lead_us")
 
 
 def tick_win_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.win_share(a.floor_verdicts(copies(spark, sf_dir)))
+    return a.win_share(a.floor_verdicts(mirrored(spark, sf_dir)))
 
 
 def lead_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the copies lag by seconds: a thousandth of that spreads over the bounds
-    verdicts = a.floor_verdicts(copies(spark, sf_dir))
+    verdicts = a.floor_verdicts(mirrored(spark, sf_dir))
     return a.lead_histogram(verdicts.withColumn("lead_us", F.floor(F.col("lead_us") / 1000).cast("long")))
 
 
 def emit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.floor_verdicts(copies(spark, sf_dir)).groupBy("publisher", "symbol", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    return a.floor_verdicts(mirrored(spark, sf_dir)).groupBy("publisher", "symbol", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = copies(spark, sf_dir).withColumn("reset_count", floor_div(F.col("event_id"), 2500) % 256).withColumn("sequence", F.col("event_id") % 2500)
+    c = mirrored(spark, sf_dir).withColumn("reset_count", floor_div(F.col("event_id"), 2500) % 256).withColumn("sequence", F.col("event_id") % 2500)
     return a.sequence_check(c, COPY_ORDER, ["publisher", "channel"], floor_div(F.col("recv_us"), HOUR_US)).select("event_id", "publisher", "check")
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.race_pairs(copies(spark, sf_dir), ["symbol", "price", "size"], COPY_ORDER, (0, 1), WINDOW_US)
+    return a.race_pairs(mirrored(spark, sf_dir), ["symbol", "price", "size"], COPY_ORDER, (0, 1), WINDOW_US)
 
 
 def race_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,11 +60,11 @@ def race_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def race_pairs_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every path's copies, in buckets as short as the window, so that queues are handed from one to the next."""
-    return queue_pairs(copies(spark, sf_dir), ["symbol", "size"], COPY_ORDER, WINDOW_US, width_us=1)
+    return queue_pairs(mirrored(spark, sf_dir), ["symbol", "size"], COPY_ORDER, WINDOW_US, width_us=1)
 
 
 def race_unpaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = copies(spark, sf_dir)
+    c = mirrored(spark, sf_dir)
     return unpaired(c, queue_pairs(c, ["symbol", "price", "size"], COPY_ORDER, WINDOW_US), WINDOW_US, "recv_us")
 
 
@@ -84,7 +84,7 @@ def tape_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markets_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markets that each path leads, paths that lead none included."""
-    led = a.floor_verdicts(copies(spark, sf_dir)).where("verdict = 'open'").groupBy("symbol").agg(F.max_by("publisher", F.struct("recv_us", "event_id")).alias("path"))
+    led = a.floor_verdicts(mirrored(spark, sf_dir)).where("verdict = 'open'").groupBy("symbol").agg(F.max_by("publisher", F.struct("recv_us", "event_id")).alias("path"))
     paths = spark.range(4).select(F.col("id").alias("path"))
     return paths.join(led.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("markets"))
 
@@ -124,7 +124,7 @@ def _floored(where: str, content: str) -> str:
   FROM s WHERE {where} WINDOW k AS (PARTITION BY symbol, tick {order})),
 c AS (SELECT *, row_number() OVER (PARTITION BY symbol, tick, publisher = leader {order}) AS n_side, row_number() OVER (PARTITION BY symbol, tick, publisher, {content} {order}) AS n_content FROM f),
 v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, recv_us, CASE WHEN tick < hw THEN 'stale' WHEN n_tick = 1 THEN 'open'
-  WHEN publisher <> leader THEN CASE WHEN n_side = 1 THEN 'contest' ELSE 'drop' END WHEN n_content = 1 THEN 'emit' ELSE 'drop' END AS verdict, leader, lead_us FROM c)"""
+  WHEN publisher <> leader THEN CASE WHEN n_side = 1 THEN 'contest' ELSE 'drop' END WHEN n_content = 1 THEN 'emit' ELSE 'drop' END AS verdict, CASE WHEN tick >= hw THEN leader END AS leader, CASE WHEN tick >= hw THEN lead_us END AS lead_us FROM c)"""
 
 
 _CANON = "cast(round(bid * 1e8) AS DECIMAL(38, 0)), cast(round(sz * 1e8) AS DECIMAL(38, 0)), cast(round(ask * 1e8) AS DECIMAL(38, 0))"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.operators.arbitration import floor_verdicts, win_rate
 from tickloom.operators.candles import one_second_bars, rollup
-from tickloom.sources.tables import copies, trades
+from tickloom.sources.tables import mirrored, trades
 
 GRANULARITIES = {"1m": 60, "1h": 3600, "1d": 86400}
 
@@ -20,7 +20,7 @@ def _rollup(seconds: int):
 
 
 def quote_floor_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return floor_verdicts(copies(spark, sf_dir)).select("event_id", "publisher", "symbol", "arrival_seq", "verdict")
+    return floor_verdicts(mirrored(spark, sf_dir), numbered="arrival_seq").select("event_id", "publisher", "symbol", "arrival_seq", "verdict")
 
 
 def quote_floor_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def quote_floor_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tick_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return win_rate(floor_verdicts(copies(spark, sf_dir)))
+    return win_rate(floor_verdicts(mirrored(spark, sf_dir)))
 
 
 def queries() -> dict:

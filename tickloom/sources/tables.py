@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import running
-
 HOUR_US = 3_600_000_000
 
 
@@ -39,17 +37,12 @@ def late_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).withColumn("arrival_us", F.col("source_us") + F.col("arrival_seq") * 7919 % 10800 * 1_000_000)
 
 
-def copies(spark: SparkSession, sf_dir: str, publishers: int = 3) -> DataFrame:
-    """The trades as several publishers deliver them: some dropped, each late by its own lag, ticks of ten minutes.
-
-    arrival_seq numbers the rows of a symbol by (recv_us, publisher, event_id). Hours are counted first, so the numbering needs no
-    task that holds a whole symbol.
-    """
+def mirrored(spark: SparkSession, sf_dir: str, publishers: int = 3) -> DataFrame:
+    """The trades as several publishers deliver them: some dropped, each late by its own lag, ticks of ten minutes; ordered by (recv_us, publisher, event_id)."""
     pub = trades(spark, sf_dir).withColumn("publisher", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(publishers - 1).cast("long"))))
     pub = pub.where((F.col("arrival_seq") + F.col("publisher")) % 11 != 0)
     pub = pub.withColumn("recv_us", F.col("source_us") + (F.col("arrival_seq") * 7919 + F.col("publisher") * 104729) % 900 * 1_000_000)
-    pub = pub.withColumn("tick", floor_div(F.col("source_us"), 600_000_000)).withColumnRenamed("arrival_seq", "event_id")
-    return running(pub, ["symbol"], ["recv_us", "publisher", "event_id"], floor_div(F.col("recv_us"), HOUR_US), arrival_seq=("count", None))
+    return pub.withColumn("tick", floor_div(F.col("source_us"), 600_000_000)).withColumnRenamed("arrival_seq", "event_id")
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
