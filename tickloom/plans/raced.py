@@ -1,4 +1,4 @@
-"""Queries of the order-level race: stateful operators over a table. SQL has no twin for them; tests hold them against one plain pass."""
+"""Queries of the order-level race and of recovery: stateful operators over a table. SQL has no twin for them; tests hold them against one plain pass."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.books import order_diffs
-from tickloom.sources.tables import order_flow
+from tickloom.operators.ordered import running
+from tickloom.sources.tables import LEVEL_ORDER, level_updates, order_flow
 from tickloom.streaming.order_race import order_race, venue_clock
+from tickloom.streaming.recovery import OrderRecovery, Recovery, recovered_sessions
 
 ORDER = ["recv_ts_ns", "publisher", "datagram"]
 #: Ids of orders that share a datagram.
@@ -40,8 +42,29 @@ def order_race_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raced.select("instrument_id", "publisher", "datagram", "changes.order_id", "changes.seq_no", F.col("verdicts").alias("verdict"), "forced")
 
 
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level updates of a supplier's market as its feed sends them: some lost, a snapshot after every twentieth (some short of a part), sessions of 500."""
+    u = level_updates(spark, sf_dir).withColumn("instrument_id", F.col("l_suppkey"))
+    u = running(u, ["instrument_id"], LEVEL_ORDER, F.floor(F.col("ship_us") / 2_592_000_000_000), nth=("count", None))
+    seq, place = (F.col("nth") - 1) % 500 + 1, F.col("nth") * 5
+    whole = F.when(F.col("l_orderkey") % 11 == 0, 2).otherwise(1).cast("long")
+    of = lambda kind, at, when: F.when(when, F.struct((place + at).alias("n"), F.lit(kind).alias("kind")))
+    snapshot = F.col("nth") % 20 == 0
+    sent = F.array(of("delta", 0, F.col("l_orderkey") % 53 != 0), of("begin", 1, snapshot), of("part", 2, snapshot), of("end", 3, snapshot), of("session_end", 4, F.col("nth") % 500 == 0))
+    rows = u.select("instrument_id", F.inline(F.filter(sent, lambda x: x.isNotNull())), seq.alias("seq"), place.alias("mktdata_seq"), F.col("nth").alias("snapshot_id"), place.alias("anchor_seq"), whole.alias("total"), seq.alias("last_seq"), F.col("price").cast("string").alias("part"))
+    return rows
+
+
+def _recovery(machine: type[Recovery]):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = recovered_sessions(_messages(spark, sf_dir), ["instrument_id"], ["n"], F.floor(F.col("n") / 10_000), machine)
+        return found.select("instrument_id", "n", "session", "kind", "outcome", "was", "status", "applied")
+
+    return query
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (venue_clocks, order_race_verdicts)}
+    return {f.__name__: f for f in (venue_clocks, order_race_verdicts)} | {"level_recovery": _recovery(Recovery), "order_recovery": _recovery(OrderRecovery)}
 
 
 def oracle_sql() -> dict[str, str]:
