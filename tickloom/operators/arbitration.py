@@ -134,8 +134,11 @@ def elect(leads: DataFrame, interval_us: int, margin_us: int, min_samples: int =
     """Per window: samples, wins and upper median of each challenger, and won: the one with the least median that clears all three bars."""
     samples = leads.withColumn("window_us", F.floor(F.col("first_us") / interval_us).cast("long") * interval_us)
     of = ["window_us", "challenger"]
-    nth = samples.withColumn("_n", F.row_number().over(W.partitionBy(*of).orderBy("lead_us"))).withColumn("_all", F.count(F.lit(1)).over(W.partitionBy(*of)))
-    found = nth.groupBy(*of).agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("lead_us") < -margin_us).alias("wins"), F.max(F.when(F.col("_n") == F.floor(F.col("_all") / 2) + 1, F.col("lead_us"))).alias("median_us"))
+    per = samples.groupBy(*of).agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("lead_us") < -margin_us).alias("wins"))
+    # the median by how many samples lie in each range of leads, then within its range
+    nth = running(samples.select(*of, "lead_us"), of, ["lead_us"], F.floor(F.col("lead_us") / 1_000_000), _n=("count", None))
+    median = nth.join(per.select(*of, "samples"), of).where(F.col("_n") == F.floor(F.col("samples") / 2) + 1).select(*of, F.col("lead_us").alias("median_us"))
+    found = per.join(median, of)
     fit = (F.col("samples") >= min_samples) & (F.col("wins") / F.col("samples") >= least_rate) & (F.col("median_us") <= -margin_us)
     best = F.min(F.when(fit, F.struct("median_us", "challenger"))).over(W.partitionBy("window_us"))
     return found.withColumn("_best", best).withColumn("won", F.coalesce(fit & (F.col("challenger") == F.col("_best.challenger")), F.lit(False))).drop("_best")

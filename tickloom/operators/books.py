@@ -30,10 +30,20 @@ def order_book(flow: DataFrame) -> DataFrame:
     return per.where("size > 0 and _gone = 0").drop("_gone")
 
 
+#: Prices (in their own units) that a bucket of an ordered book spans.
+PRICES = 1000
+
+
+def _numbered(rows: DataFrame, more: Sequence[str], name: str) -> DataFrame:
+    """rows numbered within their market, bids first and best first. Counted by ranges of prices first: no task holds a market."""
+    placed = rows.withColumn("_s", F.when(F.col("side") == "bid", 0).otherwise(1)).withColumn("_p", best_first())
+    found = running(placed, ["instrument_id"], ["_s", "_p", *more], F.struct("_s", F.floor(F.col("_p") / PRICES).alias("_r")), **{name: ("count", None)})
+    return found.drop("_s", "_p").withColumn(name, F.col(name).cast("int"))
+
+
 def order_set(book: DataFrame) -> DataFrame:
     """book with nth, the deterministic order of a market's orders: bids first, best first, ties by order_id."""
-    w = W.partitionBy("instrument_id").orderBy(F.when(F.col("side") == "bid", 0).otherwise(1), best_first(), "order_id")
-    return book.withColumn("nth", F.row_number().over(w))
+    return _numbered(book, ["order_id"], "nth")
 
 
 def price_fold(book: DataFrame) -> DataFrame:
@@ -41,10 +51,16 @@ def price_fold(book: DataFrame) -> DataFrame:
     return book.groupBy("instrument_id", "side", "price").agg(F.sum("size").cast("long").alias("size"), F.count(F.lit(1)).alias("n"))
 
 
+def _best_levels(levels: DataFrame, n: int) -> DataFrame:
+    """The n best levels of each side with nth; a rank that only this cut reads is taken in every task before the shuffle."""
+    side = W.partitionBy("instrument_id", "side")
+    return levels.withColumn("nth", F.row_number().over(side.orderBy(best_first()))).where(F.col("nth") <= n)
+
+
 def top_levels(levels: DataFrame, n: int = DEPTH_LEVELS) -> DataFrame:
     """The n best levels of each side with nth, and levels: how many the side has."""
-    side = W.partitionBy("instrument_id", "side")
-    return levels.withColumn("levels", F.count(F.lit(1)).over(side)).withColumn("nth", F.row_number().over(side.orderBy(best_first()))).where(F.col("nth") <= n)
+    many = levels.groupBy("instrument_id", "side").agg(F.count(F.lit(1)).alias("levels"))
+    return _best_levels(levels, n).join(many, ["instrument_id", "side"])
 
 
 def best(levels: DataFrame) -> DataFrame:
@@ -60,10 +76,13 @@ def crossed(levels: DataFrame) -> DataFrame:
     return best(levels).select("instrument_id", F.coalesce(F.col("bid") > F.col("ask"), F.lit(False)).alias("crossed"))
 
 
-def valid_prefix(deltas: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
-    """The deltas of each key up to its first gap in `seq`, which starts at 1; of deltas that repeat a number the first by `seq_place` stays."""
-    once = deltas.withColumn("_n", F.row_number().over(W.partitionBy(*key, seq).orderBy("seq_place"))).where("_n = 1")
-    return once.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(seq))).where(F.col("_n") == F.col(seq)).drop("_n")
+def valid_prefix(deltas: DataFrame, key: Sequence[str], seq: str, width: int = 100_000) -> DataFrame:
+    """The deltas of each key up to its first gap in `seq`, which starts at 1; of deltas that repeat a number the first by `seq_place` stays.
+
+    A delta is in the prefix if as many numbers lie at or before it as it says: counted by ranges of `width` numbers first.
+    """
+    once = deltas.withColumn("_n", F.row_number().over(W.partitionBy(*key, seq).orderBy("seq_place"))).where("_n = 1").drop("_n")
+    return running(once, key, [seq], F.floor(F.col(seq) / width), _n=("count", None)).where(F.col("_n") == F.col(seq)).drop("_n")
 
 
 def complete_snapshots(begins: DataFrame, levels: DataFrame) -> DataFrame:
@@ -73,12 +92,12 @@ def complete_snapshots(begins: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def recovered(begins: DataFrame, levels: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Levels of each market after a loss: its latest complete snapshot and the deltas (seq, side, price, qty) that go on from it without a gap.
+    """Levels of each market after a loss: the complete snapshot that holds the latest delta, and the deltas (seq, side, price, qty) that go on from it without a gap.
 
     applied: how many deltas did. Deltas behind a gap wait for another snapshot; of those that repeat a number the first by seq_place counts.
     A market without a complete snapshot has no book. Only the snapshot's number is kept per market; no task holds a market's stream.
     """
-    last = complete_snapshots(begins, levels).groupBy("instrument_id").agg(F.max(F.struct("snapshot_id", "last_seq")).alias("s")).select("instrument_id", "s.*")
+    last = complete_snapshots(begins, levels).groupBy("instrument_id").agg(F.max(F.struct("last_seq", "snapshot_id")).alias("s")).select("instrument_id", "s.*")
     after = deltas.join(last, "instrument_id").where("seq > last_seq").withColumn("seq", F.col("seq") - F.col("last_seq"))
     going = valid_prefix(after, ["instrument_id"], "seq").select("instrument_id", "seq", "side", "price", "qty")
     base = levels.join(last, ["snapshot_id"]).select("instrument_id", F.lit(0).cast("long").alias("seq"), "side", "price", F.col("size").alias("qty"))
@@ -112,8 +131,7 @@ def fold_with_clears(updates: DataFrame, order: Sequence[str], clears: Column) -
 
 def rebaseline(levels: DataFrame) -> DataFrame:
     """The messages that rebuild each book: ord 0 clears it, then one set a level, bids first and best first; last marks the end."""
-    w = W.partitionBy("instrument_id").orderBy(F.when(F.col("side") == "bid", 0).otherwise(1), best_first())
-    sets = levels.select("instrument_id", F.row_number().over(w).alias("ord"), F.lit("set").alias("action"), "side", "price", "size")
+    sets = _numbered(levels, [], "ord").select("instrument_id", "ord", F.lit("set").alias("action"), "side", "price", "size")
     clear = levels.select("instrument_id").distinct().select("instrument_id", F.lit(0).alias("ord"), F.lit("clear").alias("action"), *[F.lit(None).cast(t).alias(c) for c, t in (("side", "string"), ("price", "long"), ("size", "long"))])
     every = sets.unionByName(clear)
     n = every.groupBy("instrument_id").agg(F.max("ord").alias("_n"))
@@ -131,7 +149,7 @@ def bucketed_levels(levels: DataFrame, sig_figs: int, mantissa: int = 1, n_level
     low = v - F.pmod(v, inc)
     bucket = F.when((F.col("side") == "bid") | (low == v), low).otherwise(low + inc)
     merged = levels.withColumn("price", bucket).groupBy("instrument_id", "side", "price").agg(F.sum("size").cast("long").alias("size"), F.sum("n").cast("long").alias("n"))
-    return top_levels(merged, n_levels).drop("levels")
+    return _best_levels(merged, n_levels)
 
 
 def order_diffs(flow: DataFrame, order: Sequence[str] = ("seq_kind", "seq_no")) -> DataFrame:

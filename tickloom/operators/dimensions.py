@@ -20,9 +20,9 @@ FUTURE_SKEW_US, WINDOW_US = 5_000_000, 3_600_000_000
 def source_labels(rows: DataFrame, registered: DataFrame, order: Sequence[str]) -> DataFrame:
     """rows with label: the registered name, else SOURCE_<id> for the first 64 unregistered ids seen, else UNREGISTERED.
 
-    The registry is small and broadcast, and so are the labels: at most 64 ids are kept by a top-k.
+    The labels made here are broadcast: a top-k keeps at most 64 ids. How the registry is joined is left to its size.
     """
-    named = rows.join(F.broadcast(registered), "source_id", "left")
+    named = rows.join(registered, "source_id", "left")
     unknown = named.where("name is null and source_id is not null").groupBy("source_id").agg(F.min(F.struct(*order)).alias("_seen"))
     first = unknown.orderBy("_seen").limit(MAX_UNREGISTERED).select("source_id", F.concat(F.lit("SOURCE_"), F.col("source_id").cast("string")).alias("_made"))
     label = F.coalesce("name", "_made", F.lit("UNREGISTERED"))
@@ -31,7 +31,7 @@ def source_labels(rows: DataFrame, registered: DataFrame, order: Sequence[str])
 
 def source_ids(rows: DataFrame, registered: DataFrame, name: str) -> DataFrame:
     """rows with source_id: the id of an exactly equal registered name, else null."""
-    return rows.join(F.broadcast(registered.withColumnRenamed("name", name)), name, "left")
+    return rows.join(registered.withColumnRenamed("name", name), name, "left")
 
 
 def canonical_channel(channel: Column, offset: Column) -> Column:
@@ -175,7 +175,7 @@ def admitted(rows: DataFrame, allowed: DataFrame) -> DataFrame:
     """rows (code, channel) with admitted: a code that `allowed` (code, channel) doesn't mention admits every channel."""
     codes = allowed.select("code").distinct().withColumn("_mentioned", F.lit(True))
     pairs = allowed.select("code", "channel").distinct().withColumn("_listed", F.lit(True))
-    found = rows.join(F.broadcast(codes), "code", "left").join(F.broadcast(pairs), ["code", "channel"], "left")
+    found = rows.join(codes, "code", "left").join(pairs, ["code", "channel"], "left")
     return found.withColumn("admitted", F.col("_mentioned").isNull() | F.col("_listed").isNotNull()).drop("_mentioned", "_listed")
 
 

@@ -26,7 +26,7 @@ def feed_kinds(instruments: DataFrame, books: DataFrame, depths: DataFrame, feed
     """instruments with feed_kind: by the book that is held, else by a depth of the symbol, else the only kind its universe has, else unknown."""
     only = feeds.groupBy("venue", "category").agg(F.min("kind").alias("_least"), F.max("kind").alias("_most"))
     found = instruments.join(books.select("instrument_id", "order_level"), "instrument_id", "left").join(depths.select("venue", "symbol", F.lit(True).alias("_depth")), ["venue", "symbol"], "left")
-    found = found.join(F.broadcast(only), ["venue", "category"], "left")
+    found = found.join(only, ["venue", "category"], "left")
     kind = (
         F.when(F.col("order_level"), "market_by_order").when(~F.col("order_level"), "market_by_price").when(F.col("_depth"), "market_by_order")
         .when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise("unknown")
@@ -61,7 +61,7 @@ def diagnosis(detection: Column, delivering: Column, session_up: Column, session
     """The first rung of the ladder that fits."""
     traffic = lambda fine: F.when(receivers == 0, "no_receivers_running").when(~delivering, "subscribed_no_traffic").otherwise(fine)
     return (
-        F.when(detection == "pending", "pending").when(detection == "cli_missing", "dz_cli_missing").when(detection == "unavailable", "daemon_unreachable")
+        F.when(detection == "pending", "pending").when(detection == "cli_missing", "cli_missing").when(detection == "unavailable", "daemon_unreachable")
         .when(detection == "gating_disabled", traffic("gating_disabled")).when(~delivering & ~session_up, F.when(session_known, "tunnel_down").otherwise("tunnel_state_unknown"))
         .when(~subscribed, "no_market_data_subscriptions").otherwise(traffic("ok"))
     )
@@ -71,7 +71,7 @@ def classify_codes(codes: DataFrame, feeds: DataFrame, shred_prefix: str) -> Dat
     """codes with class: market (a feed has it), shred (by prefix) or other."""
     known = feeds.select("code").distinct().withColumn("_known", F.lit(True))
     kind = F.when(F.col("_known"), "market").when(F.col("code").startswith(shred_prefix), "shred").otherwise("other")
-    return codes.join(F.broadcast(known), "code", "left").withColumn("class", kind).drop("_known")
+    return codes.join(known, "code", "left").withColumn("class", kind).drop("_known")
 
 
 def drop_preview(channels: DataFrame, still_admitted: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def reconcile(current: DataFrame, desired: DataFrame, key: Sequence[str]) -> Dat
 
 def purge_channels(rows: DataFrame, departed: DataFrame, key: Sequence[str] = ("source_id", "category", "channel")) -> DataFrame:
     """rows without those of departed channels, in their own universe only."""
-    return rows.join(F.broadcast(departed.select(*key).distinct()), list(key), "left_anti")
+    return rows.join(departed.select(*key).distinct(), list(key), "left_anti")
 
 
 def expand_publishers(rows: DataFrame) -> DataFrame:

@@ -316,7 +316,7 @@ UNION ALL SELECT 'definition', symbol, count(*), 0, cast(sum(price_exponent) AS
 SELECT code, CASE WHEN code IN (SELECT venue FROM r) THEN 'market' WHEN starts_with(code, 'shred-') THEN 'shred' ELSE 'other' END AS class FROM c""",
         "diagnosis": f"""WITH b AS (SELECT c_custkey, ['pending', 'cli_missing', 'unavailable', 'gating_disabled', 'ok', 'ok', 'ok'][c_custkey % 7 + 1] AS detection, cast(floor(c_custkey / 7) AS BIGINT) % 2 = 0 AS delivering,
   cast(floor(c_custkey / 14) AS BIGINT) % 2 = 0 AS up, cast(floor(c_custkey / 28) AS BIGINT) % 2 = 0 AS known, cast(floor(c_custkey / 56) AS BIGINT) % 2 = 0 AS subscribed, cast(floor(c_custkey / 112) AS BIGINT) % 3 AS receivers FROM customer)
-SELECT c_custkey, CASE detection WHEN 'pending' THEN 'pending' WHEN 'cli_missing' THEN 'dz_cli_missing' WHEN 'unavailable' THEN 'daemon_unreachable' WHEN 'gating_disabled' THEN {traffic('gating_disabled')}
+SELECT c_custkey, CASE detection WHEN 'pending' THEN 'pending' WHEN 'cli_missing' THEN 'cli_missing' WHEN 'unavailable' THEN 'daemon_unreachable' WHEN 'gating_disabled' THEN {traffic('gating_disabled')}
   ELSE CASE WHEN NOT delivering AND NOT up THEN CASE WHEN known THEN 'tunnel_down' ELSE 'tunnel_state_unknown' END WHEN NOT subscribed THEN 'no_market_data_subscriptions' ELSE {traffic('ok')} END END AS code FROM b""",
         "registry_expand": """WITH n AS (SELECT 'V' || n_nationkey % 5 AS venue, cast(n_regionkey AS VARCHAR) AS category, cast(CASE WHEN n_nationkey = 7 THEN 65530 ELSE 7000 + 100 * n_nationkey END AS BIGINT) AS base, n_nationkey % 3 AS lo, n_nationkey % 3 + 6 AS hi FROM nation),
 e AS (SELECT DISTINCT venue, category, base, unnest(range(lo, hi + 1))::BIGINT AS channel FROM n)
