@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import boundaries as b
+from tickloom.operators import books
 
 SCHEMA = "instrument_id long, side string, price long, qty long, t long, d long, k long"
 
@@ -53,3 +54,18 @@ def test_without_updates(spark):
     none = spark.createDataFrame([], SCHEMA)
     bounds = b.boundaries(none, ["t", "d"], F.col("t"))
     assert b.depth_at(bounds, b.lives(none, bounds, ["t", "d"], ["k"])).collect() == []
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_clears_from_a_price_outward(spark, seed):
+    some = random.Random(seed)
+    rows = [(1, some.choice(["bid", "ask"]), some.choice([None, *range(1, 40)]) if i % 9 == 8 else some.randint(1, 40), some.choice([0, 1, 5]), i, some.choice(["clear", "clear_from", "clear_from"]) if i % 9 == 8 else "set") for i in range(150)]
+    book = {"bid": {}, "ask": {}}
+    for _, side, price, qty, _, action in rows:
+        if action == "set":
+            book[side][price] = qty
+        elif action == "clear" or price is not None:
+            book[side] = {p: q for p, q in book[side].items() if action != "clear" and (p > price if side == "bid" else p < price)}
+    updates = spark.createDataFrame(rows, "instrument_id long, side string, price long, qty long, t long, action string").repartition(3)
+    got = books.fold_with_outward_clears(updates, ["t"], F.floor(F.col("t") / 20))
+    assert sorted((r.side, r.price, r["size"]) for r in got.collect()) == sorted((s, p, q) for s in book for p, q in book[s].items() if q)

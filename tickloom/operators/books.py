@@ -129,6 +129,21 @@ def fold_with_clears(updates: DataFrame, order: Sequence[str], clears: Column) -
     return level_book(live, order).join(sides, "instrument_id", "left").withColumn("baselined", F.coalesce("baselined", F.lit(False)))
 
 
+def fold_with_outward_clears(updates: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
+    """Levels after updates (action set, clear or clear_from) of sides: clear empties its side, clear_from all that lies at its price or further out.
+
+    Outward is down for bids and up for asks. A level's last set stands unless a later clear reaches its price, so what counts for it is the
+    clear that reaches furthest in from then on: a running extreme from the end. order: numeric columns; bucket: never falls along them. A
+    clear_from without a price clears nothing.
+    """
+    reach = F.when(F.col("action") == "clear", F.lit((1 << 62))).when(F.col("action") == "clear_from", -best_first())
+    back = updates.withColumns({f"_b{i}": -F.col(c) for i, c in enumerate(order)})
+    met = running(back, ["instrument_id", "side"], [f"_b{i}" for i in range(len(order))], -bucket, _reach=("max_before", reach.cast("long")))
+    last = met.where("action = 'set'").groupBy("instrument_id", "side", "price").agg(F.max_by(F.struct("qty", "_reach"), F.struct(*order)).alias("s"))
+    stands = F.col("s._reach").isNull() | (-F.col("s._reach") > best_first())
+    return last.where(stands & (F.col("s.qty") > 0)).select("instrument_id", "side", "price", F.col("s.qty").alias("size"))
+
+
 def rebaseline(levels: DataFrame) -> DataFrame:
     """The messages that rebuild each book: ord 0 clears it, then one set a level, bids first and best first; last marks the end."""
     sets = _numbered(levels, [], "ord").select("instrument_id", "ord", F.lit("set").alias("action"), "side", "price", "size")

@@ -55,6 +55,12 @@ def accumulator_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.fold_with_clears(level_updates(spark, sf_dir), LEVEL_ORDER, F.col("l_orderkey") % 499 == 0)
 
 
+def outward_clears(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some updates clear their side instead, some what lies at their price or further out."""
+    action = F.when(F.col("l_orderkey") % 997 == 0, "clear").when(F.col("l_orderkey") % 101 == 0, "clear_from").otherwise("set")
+    return b.fold_with_outward_clears(level_updates(spark, sf_dir).withColumn("action", action), LEVEL_ORDER, F.floor(F.col("ship_us") / 2_592_000_000_000))
+
+
 def book_rebaseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.rebaseline(l2_book(spark, sf_dir))
 
@@ -95,7 +101,7 @@ def level_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (snapshots_complete, l2_recovered, level_epochs, l3_book, l3_order_set, l3_price_fold, l3_top_levels, l3_prints, l4_diffs, l3_valid_prefix, l2_book, l2_best, l2_crossed, accumulator_fold, book_rebaseline, sigfig_l2book, sigfig_l2book_mantissa)
+    every = (snapshots_complete, l2_recovered, level_epochs, l3_book, l3_order_set, l3_price_fold, l3_top_levels, l3_prints, l4_diffs, l3_valid_prefix, l2_book, l2_best, l2_crossed, accumulator_fold, outward_clears, book_rebaseline, sigfig_l2book, sigfig_l2book_mantissa)
     return {f.__name__: f for f in every}
 
 
@@ -157,6 +163,10 @@ SELECT publisher, l_orderkey, seq, l_partkey FROM (SELECT *, row_number() OVER (
 b AS (SELECT instrument_id, count(*) = 2 AS baselined FROM c GROUP BY instrument_id),
 l AS (SELECT instrument_id, side, price, arg_max(qty, {_PLACE}) AS size FROM lu LEFT JOIN c USING (instrument_id, side) WHERE since IS NULL OR {_PLACE} >= since GROUP BY ALL)
 SELECT instrument_id, side, price, size, coalesce(baselined, false) AS baselined FROM l LEFT JOIN b USING (instrument_id) WHERE size > 0""",
+        "outward_clears": f"""WITH {_LEVELS}, c AS (SELECT instrument_id, side, {_PLACE} AS place, CASE WHEN l_orderkey % 997 = 0 THEN NULL ELSE price END AS bound FROM lu WHERE l_orderkey % 997 = 0 OR l_orderkey % 101 = 0),
+u AS (SELECT instrument_id, side, price, arg_max(qty, {_PLACE}) AS size, max({_PLACE}) AS place FROM lu WHERE l_orderkey % 997 <> 0 AND l_orderkey % 101 <> 0 GROUP BY ALL)
+SELECT instrument_id, side, price, size FROM u WHERE size > 0 AND NOT EXISTS (SELECT 1 FROM c WHERE c.instrument_id = u.instrument_id AND c.side = u.side AND c.place > u.place
+  AND (bound IS NULL OR CASE u.side WHEN 'bid' THEN u.price <= bound ELSE u.price >= bound END))""",
         "book_rebaseline": f"""WITH {_L2}, s AS (SELECT instrument_id, row_number() OVER (PARTITION BY instrument_id ORDER BY {first}) AS ord, 'set' AS action, side, price, size FROM lv
   UNION ALL SELECT DISTINCT instrument_id, 0, 'clear', NULL, NULL, NULL FROM lv)
 SELECT *, ord = max(ord) OVER (PARTITION BY instrument_id) AS "last" FROM s""",
