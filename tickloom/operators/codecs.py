@@ -117,44 +117,3 @@ def scaled(raw: Column, exponent: Column) -> Column:
 def saturated(qty: Column) -> Column:
     """A size whose bits are an unsigned long: beyond a long it stays at the largest one."""
     return F.when(qty < 0, F.lit((1 << 63) - 1)).otherwise(qty)
-
-
-# -- the way back: bodies, messages and datagrams made of columns, with built-in functions
-def little_endian(x: Column, size: int) -> Column:
-    """The lowest `size` bytes of a long, lowest first."""
-    digits = F.lpad(F.hex(x.cast("long")), 16, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(size)]))
-
-
-def zeros(size: int) -> Column:
-    return F.unhex(F.lit("00" * size))
-
-
-def encode_body(layout: str, values: dict[str, Column], size: int) -> Column:
-    """A body of `size` bytes with the given fields; what is not given is 0, texts are cut and padded."""
-    parts, at = [], 0
-    for name, kind, width, place in sorted(_fields(layout), key=lambda f: f[3]):
-        if name not in values:
-            continue
-        if kind == "s":
-            text = F.encode(values[name], "UTF-8")
-            field = F.substring(F.concat(text, zeros(width)), 1, width)
-        else:
-            field = little_endian(values[name], width)
-        parts += [zeros(place - at), field] if place > at else [field]
-        at = place + width
-    return F.concat(*parts, zeros(size - at)) if size > at else F.concat(*parts)
-
-
-def encode_message(protocol: str, name: str, values: dict[str, Column], size: int, layout: str | None = None) -> Column:
-    """A message of `size` bytes, its header included."""
-    number, known = next((k, v[1]) for k, v in LAYOUTS[protocol].items() if v[0] == name)
-    head = F.concat(little_endian(F.lit(number), 1), little_endian(F.lit(size), 1), zeros(2))
-    return F.concat(head, encode_body(layout or known, values, size - MESSAGE_HEADER))
-
-
-def encode_datagram(magic: int | Column, channel: Column, sequence: Column, messages: list[Column], version: int = 1, resets: Column | None = None) -> Column:
-    """A datagram of messages; its send time is 0."""
-    body = F.concat(*messages)
-    head = [little_endian(magic if isinstance(magic, Column) else F.lit(magic), 2), little_endian(F.lit(version), 1), little_endian(channel, 1), little_endian(sequence, 8), zeros(8), little_endian(F.lit(len(messages)), 1)]
-    return F.concat(*head, little_endian(resets if resets is not None else F.lit(0), 1), little_endian(F.octet_length(body) + 24, 2), body)

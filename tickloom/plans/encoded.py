@@ -1,7 +1,11 @@
-"""Queries over datagrams: rows of the domain tables are written as datagrams and decoded again."""
+"""Queries over datagrams. Rows of the domain tables are packed as bytes by formats of their own, and decoded by the layouts of the library."""
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,22 +15,47 @@ from tickloom.plans.ticks import TRADES_SQL
 from tickloom.sources.datagrams import MAGIC, messages, refused
 from tickloom.sources.tables import instruments, level_updates, table, trades
 
+# The bodies that these queries pack, little-endian.
+QUOTE, TRADE = "<IHBBQqQqQHH4x", "<IHBBQqQQQ"
+DEFINITION_1, DEFINITION_3 = "<I16s17xbb35xH", "<IH64s17xbb35xH"
+LEVEL, MIDPOINT = "<IHBBIqQQHHBB2x", "<IHBBQQq4x"
+MAX_U8 = (1 << 64) - 1
+
 
 def _raw(price: str = "price"):
     return F.round(F.col(price) * 100).cast("long")
 
 
+def _message(kind: int, body: bytes) -> bytes:
+    return struct.pack("<BBH", kind, len(body) + 4, 0) + body
+
+
+def _datagram(magic: int, channel: int, sequence: int, sent: list[bytes], version: int = 1) -> bytes:
+    body = b"".join(sent)
+    return struct.pack("<HBBQQBBH", magic, version, channel, sequence, 0, len(sent), 0, 24 + len(body)) + body
+
+
+def _packed(rows: DataFrame, pack: Callable[..., bytes]) -> DataFrame:
+    """arrival_seq and payload, which pack() makes of a row's other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(*r) for r in zip(*columns, strict=True)], pa.binary())], names=["arrival_seq", "payload"])
+
+    return rows.mapInArrow(run, "arrival_seq long, payload binary")
+
+
 def _trade_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote and a trade an event; every 13th datagram is cut off in the trade, every 17th has another protocol's magic."""
-    t = trades(spark, sf_dir)
-    n = F.col("arrival_seq")
-    common = {"instrument_id": F.col("instrument_id"), "source_id": F.col("source_id"), "source_ts": F.col("source_us") * 1000}
-    quote = k.encode_message("top_of_book", "quote", common | {"bid_raw": _raw() - 1, "ask_raw": _raw() + 1, "bid_qty_raw": F.col("size"), "ask_qty_raw": F.lit(-1), "bid_n": F.lit(5), "ask_n": n % 3}, 60)
-    trade = k.encode_message("top_of_book", "trade", common | {"price_raw": -_raw(), "qty_raw": F.col("size"), "trade_id": n, "aggressor_side": n % 2}, 52)
-    magic = F.when(n % 17 == 0, MAGIC["midpoint"]).otherwise(MAGIC["top_of_book"])
-    # step by step, so that a datagram is put together once
-    rows = t.withColumn("quote", quote).withColumn("trade", trade).withColumn("whole", k.encode_datagram(magic, F.col("channel"), n, [F.col("quote"), F.col("trade")]))
-    return rows.select("arrival_seq", F.when(n % 13 == 0, F.substring("whole", F.lit(1), F.octet_length("whole") - 1)).otherwise(F.col("whole")).alias("payload"))
+
+    def pack(n, instrument, source, channel, at, price, size):
+        quote = struct.pack(QUOTE, instrument, source, 0, 0, at, price - 1, size, price + 1, MAX_U8, 5, n % 3)
+        trade = struct.pack(TRADE, instrument, source, n % 2, 0, at, -price, size, n, 0)
+        whole = _datagram(MAGIC["midpoint"] if n % 17 == 0 else MAGIC["top_of_book"], channel, n, [_message(0x03, quote), _message(0x04, trade)])
+        return whole[:-1] if n % 13 == 0 else whole
+
+    return _packed(trades(spark, sf_dir).select("arrival_seq", "instrument_id", "source_id", "channel", F.col("source_us") * 1000, _raw(), "size"), pack)
 
 
 def decoded_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,27 +75,35 @@ def refused_datagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoded_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of both versions: the second has a source and long symbols."""
-    i = instruments(spark, sf_dir)
-    values = {"instrument_id": F.col("instrument_id"), "source_id": F.col("source_id"), "symbol": F.col("symbol"), "price_exponent": F.col("price_exponent"), "qty_exponent": F.col("qty_exponent"), "manifest_seq": F.col("instrument_id") % 65536}
-    made = {v: k.encode_datagram(MAGIC["market_by_order"], F.col("channel"), F.col("instrument_id"), [k.encode_message("market_by_order", "definition", values, least + 4, layout)], v) for v, (layout, least) in k.DEFINITIONS.items()}
-    d = i.select(F.col("instrument_id").alias("arrival_seq"), F.when(F.col("instrument_id") % 2 == 0, made[1]).otherwise(made[3]).alias("payload"))
-    return k.decode(messages(d, "market_by_order"), "market_by_order", "definition").select("arrival_seq", "channel", "instrument_id", "source_id", "symbol", "price_exponent", "qty_exponent", "manifest_seq")
+
+    def pack(n, channel, source, symbol, price_exponent, qty_exponent):
+        if n % 2 == 0:
+            return _datagram(MAGIC["market_by_order"], channel, n, [_message(0x02, struct.pack(DEFINITION_1, n, symbol.encode(), price_exponent, qty_exponent, n % 65536))])
+        return _datagram(MAGIC["market_by_order"], channel, n, [_message(0x02, struct.pack(DEFINITION_3, n, source, symbol.encode(), price_exponent, qty_exponent, n % 65536))], 3)
+
+    i = instruments(spark, sf_dir).select(F.col("instrument_id").alias("arrival_seq"), "channel", "source_id", "symbol", "price_exponent", "qty_exponent")
+    return k.decode(messages(_packed(i, pack), "market_by_order"), "market_by_order", "definition").select("arrival_seq", "channel", "instrument_id", "source_id", "symbol", "price_exponent", "qty_exponent", "manifest_seq")
 
 
 def decoded_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level updates; every 7th order's are longer than the protocol's and refused."""
+
+    def pack(n, instrument, ask, order, line, price, qty):
+        body = struct.pack(LEVEL, instrument, 0, ask, 0, order, price, qty, 0, 65535 if qty == 0 else line, 65535, 0, 0)
+        return _datagram(MAGIC["market_by_price"], instrument, order, [_message(0x40, body + bytes(4) if order % 7 == 0 else body)])
+
     u = level_updates(spark, sf_dir).withColumn("arrival_seq", F.col("l_orderkey") * 1_000_000 + F.col("l_linenumber") * 100_000 + F.col("l_partkey"))
-    values = {"instrument_id": F.col("instrument_id"), "side": (F.col("side") == "ask").cast("int"), "seq": F.col("l_orderkey"), "price_raw": F.col("price"), "qty_raw": F.col("qty"), "order_count": F.when(F.col("qty") == 0, 65535).otherwise(F.col("l_linenumber")), "level_index": F.lit(65535)}
-    # a size that isn't the protocol's is refused
-    size = lambda n: k.encode_datagram(MAGIC["market_by_price"], F.col("instrument_id"), F.col("l_orderkey"), [k.encode_message("market_by_price", "level_update", values, n)])
-    d = u.select("arrival_seq", F.when(F.col("l_orderkey") % 7 == 0, size(52)).otherwise(size(48)).alias("payload"))
+    d = _packed(u.select("arrival_seq", "instrument_id", (F.col("side") == "ask").cast("int"), "l_orderkey", "l_linenumber", "price", "qty"), pack)
     found = k.decode(messages(d, "market_by_price"), "market_by_price", "level_update")
     return found.groupBy("instrument_id", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("price_raw").cast("long").alias("prices"), F.sum("qty_raw").cast("long").alias("sizes"), F.count("order_count").alias("counted"), F.count("level_index").alias("indexed"))
 
 
 def decoded_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir)
-    mid = k.encode_message("midpoint", "midpoint", {"instrument_id": F.col("instrument_id"), "quality_flags": F.col("arrival_seq") % 4, "mid_raw": _raw(), "book_ts": F.col("source_us") * 1000}, 40)
-    d = t.select("arrival_seq", k.encode_datagram(MAGIC["midpoint"], F.col("channel"), F.col("arrival_seq"), [mid, mid]).alias("payload"))
+    def pack(n, instrument, channel, at, price):
+        mid = _message(0x03, struct.pack(MIDPOINT, instrument, 0, 0, n % 4, at, 0, price))
+        return _datagram(MAGIC["midpoint"], channel, n, [mid, mid])
+
+    d = _packed(trades(spark, sf_dir).select("arrival_seq", "instrument_id", "channel", F.col("source_us") * 1000, _raw()), pack)
     found = k.decode(messages(d, "midpoint"), "midpoint", "midpoint")
     return found.select("arrival_seq", "ord", "instrument_id", "mid_raw", (F.col("quality_flags").bitwiseAND(F.lit(2)) != 0).alias("crossed"))
 
@@ -74,10 +111,13 @@ def decoded_midpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shred_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy packets of documents: slot, index, kind and the hash of what was signed; short ones and unknown kinds aren't parsed."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    n = F.col("doc_id")
-    kind = F.when(n % 5 == 0, 0x10).when(n % 2 == 0, 0x5A).otherwise(0xA5)
-    head = F.concat(k.zeros(64), k.little_endian(kind, 1), k.little_endian(n * 1_000_003, 8), k.little_endian(n % 1000, 4), k.zeros(6), "body")
-    p = d.select("doc_id", F.when(n % 11 == 0, F.substring(head, 1, 70)).otherwise(head).alias("payload"))
+
+    def pack(n, body):
+        kind = 0x10 if n % 5 == 0 else 0x5A if n % 2 == 0 else 0xA5
+        head = bytes(64) + struct.pack("<BQI6x", kind, n * 1_000_003, n % 1000) + body
+        return head[:70] if n % 11 == 0 else head
+
+    p = _packed(d, pack).withColumnRenamed("arrival_seq", "doc_id")
     return shreds.parse(p).select("doc_id", "parsed", "slot", "index", "kind", F.octet_length("message").alias("signed_bytes"))
 
 

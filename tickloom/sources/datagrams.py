@@ -9,8 +9,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Sizes of the headers, the versions and magic numbers of the protocols, little-endian.
 HEADER, MESSAGE_HEADER = struct.Struct("<HBBQQBBH"), struct.Struct("<BBH")
@@ -147,10 +146,17 @@ def messages(datagrams: DataFrame, protocol: str, keep: tuple[str, ...] = ("arri
 
 def refused(datagrams: DataFrame, protocol: str, payload: str = "payload") -> DataFrame:
     """Datagrams whose framing is refused, with why: short, magic or version."""
-    def reason(p: Column) -> Column:
-        byte = lambda k: F.conv(F.hex(F.substring(p, k, 1)), 16, 10).cast("int")
-        return F.when(p.isNull() | (F.octet_length(p) < HEADER.size), "short").when(byte(1) + byte(2) * 256 != MAGIC[protocol], "magic").when(~byte(3).isin(*VERSIONS[protocol]), "version")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in datagrams.schema.fields) + ", why string"
+    place, magic, versions, least = datagrams.columns.index(payload), MAGIC[protocol].to_bytes(2, "little"), VERSIONS[protocol], HEADER.size
 
-    # bound once in a lambda, so that a payload that is itself made of columns isn't made anew for each test
-    why = F.get(F.transform(F.array(payload), reason), F.lit(0))
-    return datagrams.withColumn("why", why).where("why is not null")
+    def reason(p: bytes | None) -> str | None:
+        if p is None or len(p) < least:
+            return "short"
+        return "magic" if p[:2] != magic else None if p[2] in versions else "version"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            why = pa.array([reason(p) for p in batch.column(place).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, why], names=[*batch.schema.names, "why"]).filter(why.is_valid())
+
+    return datagrams.mapInArrow(run, schema)
