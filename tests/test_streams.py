@@ -110,9 +110,9 @@ def test_public_frames(spark):
     trade = {"coin": "BTC", "side": "A", "px": "10.5", "sz": "2", "time": 6, "tid": 99}
     got = public.trades(texts(spark, {"channel": "trades", "data": [trade, trade | {"px": "x"}, trade | {"coin": "X"}, trade | {"side": "?"}]}), known).collect()
     assert [(r.price, r.side, r.trade_id, r.instrument_id) for r in got] == [(10.5, "sell", 99, 7), (10.5, "unknown", 99, 7)]
-    fill = {"side": "bid", "baseAmount": 2.0, "quoteAmount": 21.0, "timestamp": "1782831977.5", "tradeSequenceNumber": "5"}
+    fill = {"side": "bid", "baseAmount": 2.0, "quoteAmount": 21.0, "timestamp": "1700000123.5", "tradeSequenceNumber": "5"}
     got = public.fills(texts(spark, {"channel": "trades", "symbol": "BTC", "trades": [fill, {"side": 1, "baseAmount": "x"}, fill | {"baseAmount": 0.0}, fill | {"tradeSequenceNumber": "z"}, fill | {"timestamp": "q"}]}), known).collect()
-    assert [(r.price, r.side, r.source_ts_ns) for r in got] == [(10.5, "buy", 1_782_831_977_000_000_000), (10.5, "buy", 0)]
+    assert [(r.price, r.side, r.source_ts_ns) for r in got] == [(10.5, "buy", 1_700_000_123_000_000_000), (10.5, "buy", 0)]
 
 
 def test_control_plane(spark):
