@@ -114,10 +114,15 @@ def parse_ids(ids: DataFrame, column: str = "id") -> DataFrame:
 
 def resolve(parsed: DataFrame, instruments: DataFrame, column: str = "id") -> DataFrame:
     """Each id with status (400 malformed, 404 none, 409 ambiguous, 200 one), hits and, if it is one, the instrument it names."""
-    known = instruments.select(F.upper("venue").alias("source"), "symbol", F.col("channel").alias("_ch"), F.col("instrument_id").alias("_in"))
-    fits = (F.col("channel").isNull() | (F.col("channel") == F.col("_ch"))) & (F.col("instrument_id").isNull() | (F.col("instrument_id") == F.col("_in")))
-    hit = parsed.join(known, ["source", "symbol"], "left").withColumn("_hit", F.coalesce(fits & F.col("_in").isNotNull(), F.lit(False)))
-    per = hit.groupBy(column, "valid").agg(F.count_if("_hit").alias("hits"), F.min(F.when(F.col("_hit"), F.struct(F.col("_ch").alias("channel"), F.col("_in").alias("instrument_id")))).alias("o"))
+    known = instruments.where(F.col("instrument_id").isNotNull()).select(F.upper("venue").alias("source"), "symbol", F.col("channel").alias("_ch"), F.col("instrument_id").alias("_in"))
+    # a symbol of many instruments is counted before ids meet it; those that name one meet that one only
+    one = F.min(F.struct(F.col("_ch").alias("channel"), F.col("_in").alias("instrument_id"))).alias("_one")
+    n, name = F.count(F.lit(1)).alias("_n"), ["source", "symbol"]
+    counts = known.groupBy(*name).agg(n, one).withColumns({"_ch": F.lit(None).cast("long"), "_in": F.lit(None).cast("long")}).unionByName(known.groupBy(*name, "_ch", "_in").agg(n, one).where("_ch is not null"))
+    asked = parsed.select(column, "valid", *[F.col(c).alias("_a_" + c) for c in (*name, "channel", "instrument_id")])
+    same = [F.col("_a_source") == F.col("source"), F.col("_a_symbol") == F.col("symbol"), F.col("_a_channel").eqNullSafe(F.col("_ch")), F.col("_a_instrument_id").eqNullSafe(F.col("_in"))]
+    hit = asked.join(counts, same, "left")
+    per = hit.groupBy(column, "valid").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("hits"), F.min("_one").alias("o"))
     status = F.when(~F.col("valid"), 400).when(F.col("hits") == 0, 404).when(F.col("hits") == 1, 200).otherwise(409)
     one = F.col("hits") == 1
     return per.select(column, status.alias("status"), "hits", F.when(one, F.col("o.channel")).alias("channel"), F.when(one, F.col("o.instrument_id")).alias("instrument_id"))
