@@ -1,7 +1,10 @@
 """What grows with the square of the input, with a task's rows, or with a key, in queries that the small tables don't strain."""
 
+from pyspark.sql import functions as F
+
 from tickloom.operators import dimensions as d
 from tickloom.operators.matching import queue_pairs
+from tickloom.streaming.stateful import Kept, in_order
 
 
 def plan_of(df):
@@ -24,3 +27,15 @@ def test_no_join_deals_the_buckets_of_queues(spark):
     rows = spark.createDataFrame([("s", 0, 0), ("s", 1, 5)], "sig string, publisher long, recv_us long")
     pairs = queue_pairs(rows, ["sig"], ["recv_us", "publisher"], 50)
     assert "Join" not in plan_of(pairs) and pairs.count() == 1
+
+
+def test_a_table_s_steps_hold_no_rows_of_a_key(spark):
+    """Rows of a key come as a sorted stream; states to begin with come before them."""
+    rows = spark.range(50_000).selectExpr("id % 2 AS k", "50000 - id AS n")
+    begun = spark.sql("SELECT 1L AS k, 100L AS total")
+    kept = Kept("total long", lambda s: (s,), lambda r: r["total"])
+    step = lambda state, row: ((state or 0) + 1, ((state or 0) + 1,))
+    found = in_order(rows, ["k"], ["n"], step, kept, "nth long", first=begun)
+    assert "TransformWithState" not in plan_of(found)
+    last = {r.k: (r.lo, r.hi, r.same) for r in found.groupBy("k").agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"), F.count_if(F.col("nth") == F.ceil(F.col("n") / 2) + F.when(F.col("k") == 1, 100).otherwise(0)).alias("same")).collect()}
+    assert last == {0: (1, 25_000, 25_000), 1: (101, 25_100, 25_000)}

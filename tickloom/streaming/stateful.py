@@ -4,14 +4,17 @@ Spark keeps the state of each key and deals rows by key. Of one micro-batch the
 source's trigger bounds them; between micro-batches the source has to deliver them in order. State is read once and written once a
 key and micro-batch: a call to the state store costs about half a millisecond, so it isn't asked row by row.
 
-On a table that isn't a stream the same operators run once over all rows; then a task holds all rows of a key.
+On a table that isn't a stream the same steps run once over all rows: Spark sorts them by key and order, and a task reads them one after
+another, so that it holds a key's state and never its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -54,12 +57,72 @@ class _Steps(StatefulProcessor):
         pass
 
 
+#: Rows of a batch that a table's steps send on.
+BATCH = 2_000
+
+
+def _row(value, kind: T.DataType):
+    """A value that Arrow gives, with rows for its structs."""
+    if value is None or not isinstance(kind, (T.StructType, T.ArrayType)):
+        return value
+    if isinstance(kind, T.ArrayType):
+        return [_row(v, kind.elementType) for v in value]
+    return Row(*kind.names)(*[_row(value[f.name], f.dataType) for f in kind.fields])
+
+
+def _over_table(rows: DataFrame, key: Sequence[str], order: Sequence[str], step: Step, kept: Kept, made: str, first: DataFrame | None) -> DataFrame:
+    """in_order() of a table: a key's rows are a run of sorted ones. A state to begin with comes before them, as a row of its own."""
+    new, fields = T.StructType.fromDDL(made), T.StructType.fromDDL(kept.schema)
+    schema, columns = T.StructType([*rows.schema.fields, *new.fields]), list(rows.columns)
+    steps = rows.withColumn("_own", F.lit(True))
+    begins = first is not None
+    if begins:
+        began = first.select(*key, F.struct(*fields.names).alias("_first"), F.lit(False).alias("_own"))
+        steps = steps.unionByName(began, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(new)
+
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BATCH):
+                    part = batch.slice(at, BATCH)
+                    values = [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+                    firsts = part.column(part.schema.get_field_index("_first")).to_pylist() if begins else None
+                    own = part.column(part.schema.get_field_index("_own"))
+                    yield part.filter(own).select(columns), [dict(zip(columns, v, strict=True)) for v in zip(*values, strict=True)], own.to_pylist(), firsts
+
+        last, state = None, None
+        for part, found, own, firsts in each():
+            out = []
+            for i, row in enumerate(found):
+                k = tuple(row[c] for c in key)
+                if k != last:
+                    last, state = k, None
+                if own[i]:
+                    state, values = step(state, row)
+                    out.append(values)
+                else:
+                    state = kept.unpack(_row(firsts[i], fields))
+            if out:
+                arrays = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=schema.names)
+
+    # by a hash of its own: a repartition by columns that a join has just dealt by would be left out, and such a join may split a key
+    dealt = steps.repartition(F.xxhash64(*key)).sortWithinPartitions(*key, "_own", *order)
+    return dealt.mapInArrow(run, schema)
+
+
 def in_order(rows: DataFrame, key: Sequence[str], order: Sequence[str], step: Step, kept: Kept, made: str, idle_ms: int | None = None, first: DataFrame | None = None) -> DataFrame:
     """rows with more columns (`made`, as DDL), by step(state, row) over the rows of a key in order; nulls come first.
 
     idle_ms: forget a key that got no row for so long (by the cluster's clock); None keeps it for ever. first: states to begin with,
     the key's columns and those of kept.schema, one row a key. No rows give no rows; values come through as they are, nulls too.
     """
+    if not rows.isStreaming:
+        return _over_table(rows, key, order, step, kept, made, first)
     spark = rows.sparkSession
     spark.streams  # noqa: B018  starts what state stores register with; a table's query doesn't by itself
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
