@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tickloom.operators import arbitration as a
 from tickloom.operators import dimensions as d
 from tickloom.operators.matching import queue_pairs
 from tickloom.streaming.stateful import Kept, in_order
@@ -39,3 +40,16 @@ def test_a_table_s_steps_hold_no_rows_of_a_key(spark):
     assert "TransformWithState" not in plan_of(found)
     last = {r.k: (r.lo, r.hi, r.same) for r in found.groupBy("k").agg(F.min("nth").alias("lo"), F.max("nth").alias("hi"), F.count_if(F.col("nth") == F.ceil(F.col("n") / 2) + F.when(F.col("k") == 1, 100).otherwise(0)).alias("same")).collect()}
     assert last == {0: (1, 25_000, 25_000), 1: (101, 25_100, 25_000)}
+
+
+def test_stale_depths_know_who_led_their_tick(spark):
+    one = "array(named_struct('price', 1.0D, 'size', 1.0D))"
+    rows = spark.sql(f"SELECT 'S' AS symbol, publisher, source_us, recv_us, {one} AS bids, {one} AS asks FROM VALUES (1L, 5L, 10L), (2L, 9L, 20L), (3L, 5L, 30L), (4L, 2L, 40L), (4L, 99000000L, 50L), (5L, 99000000L, 60L) AS t(publisher, source_us, recv_us)")
+    got = {r.recv_us: (r.verdict, r.leader, r.lead_us) for r in a.depth_verdicts(rows, ["recv_us"]).collect()}
+    assert got == {10: ("open", 1, 0), 20: ("open", 2, 0), 30: ("stale", 1, 20), 40: ("stale", 4, 0), 50: ("future", None, None), 60: ("future", None, None)}
+
+
+def test_the_windows_of_a_floor_share_an_exchange(spark):
+    rows = spark.sql("SELECT 'S' AS symbol, 1L AS publisher, 1.0D AS price, id AS event_id, id AS tick, id AS recv_us FROM range(9)")
+    dealt = [line for line in plan_of(a.floor_verdicts(rows)).splitlines() if "Exchange hashpartitioning" in line and "_tick" in line]
+    assert len(dealt) == 1
