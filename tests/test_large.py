@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickloom.operators import arbitration as a
+from tickloom.operators import boundaries as b
 from tickloom.operators import dimensions as d
 from tickloom.operators.matching import queue_pairs
 from tickloom.streaming.stateful import Kept, in_order
@@ -53,3 +54,10 @@ def test_the_windows_of_a_floor_share_an_exchange(spark):
     rows = spark.sql("SELECT 'S' AS symbol, 1L AS publisher, 1.0D AS price, id AS event_id, id AS tick, id AS recv_us FROM range(9)")
     dealt = [line for line in plan_of(a.floor_verdicts(rows)).splitlines() if "Exchange hashpartitioning" in line and "_tick" in line]
     assert len(dealt) == 1
+
+
+def test_boundaries_are_dealt_once_and_not_once_a_power_of_two(spark):
+    updates = spark.sql("SELECT id % 3 AS instrument_id, 'bid' AS side, id % 5 AS price, id % 2 AS qty, id AS t FROM range(60)")
+    bounds = b.boundaries(updates, ["t"], F.col("t"))
+    plan = plan_of(b.depth_at(bounds, b.lives(updates, bounds, ["t"], ["t"])))
+    assert "explode(sequence(" not in plan and "explode([0," not in plan and plan.count("xxhash64") == 1

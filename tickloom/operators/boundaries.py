@@ -1,26 +1,31 @@
 """The book as it stands at every boundary: best prices, crossed or not, the best levels, and the book as of a moment.
 
-A level's life is an interval of boundaries: from the datagram that set its size to the one that sets it anew. Each life is cut into dyadic
-pieces (2^k boundaries from a multiple of 2^k on), two for each k at most; the best levels of every piece are aggregated; and a boundary
-finds the levels alive at it in the pieces around it, one for each k. Pieces longer than a block (BLOCK boundaries) are handed down to the
-blocks in them first, so that no piece is looked up by more than a block of boundaries. No task holds a market or its stream.
+A level's life is an interval of boundaries: from the datagram that set its size to the one that sets it anew. Boundaries are cut into blocks
+of 2^BLOCK. A life goes to the block that it begins in and to the one that it ends in; of those that hold through a block only the best
+count: the blocks between are cut into dyadic pieces (2^k blocks from a multiple of 2^k on), two for each k at most, the best levels of
+every piece are kept and handed down. A task sweeps over the lives of one block at a time. No task holds a market or its stream.
 
 A market is `instrument_id`; a moment is the columns that order datagrams, the first of them a number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tickloom.operators.books import DEPTH_LEVELS, best_first
 from tickloom.operators.ordered import running
 
 MARKET = "instrument_id"
-#: Pieces of 2^BLOCK boundaries are the longest that boundaries look up.
+#: A block has 2^BLOCK boundaries.
 BLOCK = 10
 
 
@@ -47,53 +52,116 @@ def _best(rows: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     return rows.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
 
 
-def levels_at(bounds: DataFrame, lives: DataFrame, n: int = DEPTH_LEVELS) -> DataFrame:
-    """instrument_id, ord, side, price, size: the n best levels of each side at every boundary; none for a side that is empty."""
-    count = (bounds.agg(F.max("ord")).first()[0] or 0) + 1
-    top = max(0, (count - 1).bit_length())
-    low = min(BLOCK, top)
-    ks = F.sequence(F.lit(0), F.lit(top))
+def _covered(lives: DataFrame, blocks: int, n: int) -> DataFrame:
+    """instrument_id, block, side, price, size: the n best lives of each side that hold through a whole block, and from the boundary before it."""
+    top = max(0, (blocks - 1).bit_length())
 
     def pieces(k: Column) -> Column:
-        first = F.expr("ceil(since / power(2, k))").cast("long")
-        end = F.expr(f"floor(coalesce(until, {1 << top}) / power(2, k))").cast("long")
+        first = F.expr(f"ceil((since div {1 << BLOCK} + 1) / power(2, k))").cast("long")
+        end = F.expr(f"floor(coalesce(until div {1 << BLOCK}, {1 << top}) / power(2, k))").cast("long")
         node = lambda i: F.struct(k.alias("k"), i.alias("i"))
         return F.array(F.when((first < end) & (first % 2 == 1), node(first)), F.when((first < end) & (end % 2 == 1), node(end - 1)))
 
-    # a life as long as everything is the one piece on top
-    cut = lives.withColumn("k", F.explode(ks)).withColumn("_p", F.explode(pieces(F.col("k")))).where("_p is not null")
-    cut = cut.select(MARKET, "side", "price", "size", F.col("_p.k").alias("k"), F.col("_p.i").alias("i"))
-    node = [MARKET, "k", "i"]
-    each = _best(cut, node, n)
-    # what lies above the blocks is handed down to them
-    wide = each.where(F.col("k") > low)
-    span = F.expr(f"cast(power(2, k - {low}) as bigint)")
-    blocks = wide.withColumn("i", F.explode(F.sequence(F.col("i") * span, (F.col("i") + 1) * span - 1))).withColumn("k", F.lit(low))
-    blocks = blocks.where(F.col("i") <= (count - 1) >> low).unionByName(each.where(F.col("k") == low))
-    known = _best(blocks, node, n).unionByName(each.where(F.col("k") < low))
-    asked = bounds.select(MARKET, "ord", F.explode(F.sequence(F.lit(0), F.lit(low))).alias("k")).withColumn("i", F.expr("floor(ord / power(2, k))").cast("long"))
-    return _best(asked.join(known, node).drop("k", "i"), [MARKET, "ord"], n)
+    cut = lives.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("_p", F.explode(pieces(F.col("k")))).where("_p is not null")
+    each = _best(cut.select(MARKET, "side", "price", "size", F.col("_p.k").alias("k"), F.col("_p.i").alias("i")), [MARKET, "k", "i"], n)
+    span = F.expr("cast(power(2, k) as bigint)")
+    down = each.withColumn("block", F.explode(F.sequence(F.col("i") * span, (F.col("i") + 1) * span - 1))).where(F.col("block") < blocks)
+    return _best(down.select(MARKET, "block", "side", "price", "size"), [MARKET, "block"], n)
+
+
+class _Side:
+    """The levels of a side that are alive, best first."""
+
+    def __init__(self, sign: int):
+        self.sign, self.ranks, self.sizes = sign, [], {}
+
+    def begin(self, price, size) -> None:
+        insort(self.ranks, self.sign * price)
+        self.sizes[self.sign * price] = size
+
+    def end(self, price) -> None:
+        del self.ranks[bisect_left(self.ranks, self.sign * price)], self.sizes[self.sign * price]
+
+    def best(self, n: int) -> list[tuple]:
+        return [(self.sign * r, self.sizes[r]) for r in self.ranks[:n]]
+
+
+def _swept(asked: list[int], lives: list[tuple], n: int) -> Iterator[tuple[list, list, bool]]:
+    """bids, asks and published at each boundary of a block: asked, in order. lives: side, price, size, since and until."""
+    book, at = {"bid": _Side(-1), "ask": _Side(1)}, asked[0] - 1
+    turns = sorted([(max(since, at), 1, side, price, size) for side, price, size, since, _ in lives] + [(until, 0, side, price, 0) for side, price, _, _, until in lives if until is not None and until <= asked[-1]])
+    i, seen = 0, None
+    for o in [at, *asked]:
+        moved = seen is None
+        while i < len(turns) and turns[i][0] <= o:
+            _, begins, side, price, size = turns[i]
+            book[side].begin(price, size) if begins else book[side].end(price)
+            i, moved = i + 1, True
+        now = (book["bid"].best(n), book["ask"].best(n)) if moved else seen
+        if o > at:
+            yield *now, o == 0 or now != seen
+        seen = now
+
+
+def levels_at(bounds: DataFrame, lives: DataFrame, n: int = DEPTH_LEVELS) -> DataFrame:
+    """bounds with bids and asks, the n best levels of each side as arrays of (price, size), best first; and published: false where both are as at the boundary before.
+
+    A level without a price, or of another side, is none.
+    """
+    count = (bounds.agg(F.max("ord")).first()[0] or 0) + 1
+    lives = lives.where("price is not null and side in ('bid', 'ask')")
+    block = lambda c: F.expr(f"{c} div {1 << BLOCK}")
+    # a life is sent to the block that it begins in, and to the one that it ends in
+    ends = F.when(F.col("until").isNotNull() & (block("until") > block("since")), F.array(block("since"), block("until"))).otherwise(F.array(block("since")))
+    part = lives.withColumn("block", F.explode(ends)).select(MARKET, "block", "side", "price", "size", "since", "until")
+    blocks = (count - 1 >> BLOCK) + 1
+    if blocks > 1:
+        through = _covered(lives, blocks, n)
+        part = part.unionByName(through.withColumn("since", F.col("block") * (1 << BLOCK) - 1).withColumn("until", F.lit(None).cast("long")))
+    price, size = lives.schema["price"].dataType, lives.schema["size"].dataType
+    level = T.ArrayType(T.StructType([T.StructField("price", price), T.StructField("size", size)]))
+    schema = T.StructType([*bounds.schema.fields, T.StructField("bids", level), T.StructField("asks", level), T.StructField("published", T.BooleanType())])
+    own = [c for c in bounds.columns if c not in (MARKET, "ord")]
+    both = bounds.withColumn("block", block("ord")).withColumn("since", F.col("ord")).unionByName(part, allowMissingColumns=True)
+    columns = [MARKET, "block", "ord", "side", "price", "size", "since", "until", *own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], names=types.names)
+
+        rows = (r for batch in batches for r in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True))
+        out = []
+        for (market, _), group in groupby(rows, key=lambda r: r[:2]):
+            asked, held = [], []
+            for r in group:
+                (held if r[2] is None else asked).append(r)
+            if not asked:  # a level that is there still when its market's boundaries end
+                continue
+            for r, found in zip(asked, _swept([r[2] for r in asked], [r[3:8] for r in held], n), strict=True):
+                values = {MARKET: market, "ord": r[2], **dict(zip(own, r[8:], strict=True))}
+                out.append((*(values[c] for c in schema.names[:-3]), *found))
+            while len(out) >= 4000:
+                yield made(out[:4000])
+                del out[:4000]
+        if out:
+            yield made(out)
+
+    # by a hash of its own, so that no join's dealing stands in for it
+    return both.select(columns).repartition(F.xxhash64(MARKET, "block")).sortWithinPartitions(MARKET, "block", "ord").mapInArrow(run, schema)
 
 
 def best_at(bounds: DataFrame, lives: DataFrame) -> DataFrame:
     """bounds with bid, bid_size, ask, ask_size and crossed (bid above ask; false with an empty side) after each."""
-    side = lambda s, c: F.any_value(F.when(F.col("side") == s, F.col(c)), ignoreNulls=True)
-    per = levels_at(bounds, lives, 1).groupBy(MARKET, "ord").agg(side("bid", "price").alias("bid"), side("bid", "size").alias("bid_size"), side("ask", "price").alias("ask"), side("ask", "size").alias("ask_size"))
-    return bounds.join(per, [MARKET, "ord"], "left").withColumn("crossed", F.coalesce(F.col("bid") > F.col("ask"), F.lit(False)))
+    of = lambda side, c: F.get(side, F.lit(0))[c]
+    found = levels_at(bounds, lives, 1).select(*bounds.columns, of("bids", "price").alias("bid"), of("bids", "size").alias("bid_size"), of("asks", "price").alias("ask"), of("asks", "size").alias("ask_size"))
+    return found.withColumn("crossed", F.coalesce(F.col("bid") > F.col("ask"), F.lit(False)))
 
 
 def depth_at(bounds: DataFrame, lives: DataFrame, n: int = DEPTH_LEVELS) -> DataFrame:
-    """bounds with bids and asks, the n best of each as arrays of (price, size), best first; and published: false where both are as at the boundary before."""
-    sort = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
-    of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(sort.alias("s"), "price", "size")))), lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size")))
-    per = levels_at(bounds, lives, n).groupBy(MARKET, "ord").agg(of("bid").alias("bids"), of("ask").alias("asks"))
-    none = F.array().cast("array<struct<price:bigint,size:bigint>>")
-    depth = bounds.join(per, [MARKET, "ord"], "left").withColumn("bids", F.coalesce("bids", none)).withColumn("asks", F.coalesce("asks", none))
-    seen = F.struct("bids", "asks")
-    before = depth.select(MARKET, (F.col("ord") + 1).alias("ord"), F.xxhash64(seen).alias("_h"), F.xxhash64(seen, F.lit(1)).alias("_g"))
-    now = depth.join(before, [MARKET, "ord"], "left")
-    same = (F.col("_h") == F.xxhash64(seen)) & (F.col("_g") == F.xxhash64(seen, F.lit(1)))
-    return now.withColumn("published", ~F.coalesce(same, F.lit(False))).drop("_h", "_g")
+    """levels_at() by another name: bounds with bids, asks and published."""
+    return levels_at(bounds, lives, n)
 
 
 def as_of(asked: DataFrame, bounds: DataFrame, moment: Sequence[str], at: str, bucket) -> DataFrame:
