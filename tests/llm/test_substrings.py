@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 
-from tickloom.llm.substrings import _sent, substring_dedup, substring_digest
+from tickloom.llm.substrings import _pack_places, _sent, _unpack_places, substring_dedup, substring_digest
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("g", T.IntegerType())])
 
@@ -63,3 +65,20 @@ def test_settled_suffixes_keep_to_the_limit(spark):
     docs = spark.createDataFrame([(i, 0, text) for i in range(60)], "id long, th long, text string").repartition(3)
     sizes = {x["g"]: x["total"] for x in _sent(docs, 13, 500).where("keys is null").groupBy("g").agg({"n": "sum"}).withColumnRenamed("sum(n)", "total").collect()}
     assert sum(sizes.values()) == 57 * 388 and max(sizes.values()) <= 500
+
+
+def test_places_come_back_and_take_less_than_differences():
+    r = np.random.default_rng(3)
+    ids, pos = np.sort(r.integers(0, 3000, 2000)), r.integers(0, 500, 2000).astype(np.int32)
+    ids[-3:] = np.iinfo(np.int64).max
+    ths = np.where(ids % 5 == 0, r.integers(-(1 << 62), 1 << 62, 2000), 0)
+    packed = _pack_places(ids, ths, pos)
+    assert all((a == b).all() for a, b in zip(_unpack_places(*packed, 2000), (ids, ths, pos), strict=True))
+    assert len(packed[2]) < 0.9 * len(pa.compress(np.diff(pos, prepend=np.int32(0)).tobytes(), codec="zstd", asbytes=True))
+
+
+def test_texts_are_compressed_before_they_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, "many words of a text " * 50, 0) for i in range(4)], SCHEMA)
+    plan = substring_digest(docs)._jdf.queryExecution().executedPlan().toString()
+    assert any("packed" in line and "MapInArrow" in line for line in plan.splitlines())
+    assert not any("Exchange" in line and "text" in line for line in plan.splitlines())

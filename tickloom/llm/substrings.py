@@ -40,13 +40,28 @@ NO_ID = np.iinfo(np.int64).max
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Differences of neighbours, compressed."""
-    return pa.compress(np.diff(x, prepend=x.dtype.type(0)).tobytes(), codec="zstd", asbytes=True)
+    """Compressed with the first bytes of all values together, then all second bytes and so on: the higher ones are mostly alike."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, n: int, kind: type) -> np.ndarray:
-    size = n * np.dtype(kind).itemsize
-    return np.cumsum(np.frombuffer(pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True), kind), dtype=kind)
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(packed, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind)[:, 0]
+
+
+def _pack_places(ids: np.ndarray, ths: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Differences of neighbours; a position starts anew where its row has another id or hash."""
+    i, t, p = (np.diff(x, prepend=x.dtype.type(0)) for x in (ids, ths, pos))
+    return _pack(i), _pack(t), _pack(np.where((i != 0) | (t != 0), pos, p))
+
+
+def _unpack_places(ids: bytes, ths: bytes, pos: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, t, p = (_unpack(x, n, kind) for x, kind in ((ids, np.int64), (ths, np.int64), (pos, np.int32)))
+    head = np.flatnonzero(np.concatenate(([True], (i[1:] != 0) | (t[1:] != 0))))
+    total = np.cumsum(p, dtype=np.int32)
+    before = np.repeat(total[head] - p[head], np.diff(np.append(head, n)))
+    return np.cumsum(i), np.cumsum(t), total - before
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -161,7 +176,7 @@ def _sent(base: DataFrame, n: int, most: int | None) -> DataFrame:
             rows = []
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
                 part = order[a:b]
-                rows.append((int(group[part[0]]), b - a, None if later[part[0]] else key[part].tobytes(), _pack(ids[who[part]]), _pack(ths[who[part]]), _pack(pos[part])))
+                rows.append((int(group[part[0]]), b - a, None if later[part[0]] else key[part].tobytes(), *_pack_places(ids[who[part]], ths[who[part]], pos[part])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=names)
 
     return base.mapInArrow(send, "g long, n long, keys binary, ids binary, ths binary, pos binary")
@@ -171,7 +186,7 @@ def _repeats(base: DataFrame, n: int, most: int | None) -> DataFrame:
     """id, th, pos: first word of each window that also starts in a document with a smaller id."""
 
     def subtrees(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, ths, pos = (np.concatenate([_unpack(p, k, kind) for p, k in zip(rows[c], rows["n"], strict=True)]) for c, kind in (("ids", np.int64), ("ths", np.int64), ("pos", np.int32)))
+        ids, ths, pos = map(np.concatenate, zip(*map(_unpack_places, rows["ids"], rows["ths"], rows["pos"], rows["n"]), strict=True))
         if rows["keys"].iloc[0] is not None:
             key = np.frombuffer(b"".join(rows["keys"]), np.uint64)
             order = np.argsort(key, kind="stable")
@@ -184,14 +199,23 @@ def _repeats(base: DataFrame, n: int, most: int | None) -> DataFrame:
     return _sent(base, n, most).groupBy("g").applyInPandas(subtrees, "id long, th long, pos int")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, th, size (bytes) and the text compressed."""
+    for batch in batches:
+        raw = [(x.as_py() or "").encode() for x in batch.column(2)]
+        packed = [pa.compress(x, codec="zstd", asbytes=True) for x in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, raw), pa.int64()), pa.array(packed, pa.binary())], names=["id", "th", "size", "packed"])
+
+
 def _with_repeats(docs: DataFrame, n: int, id_col: str, text_col: str, most: int | None) -> DataFrame:
-    """id, text, at: the starts of repeated windows of each row."""
+    """id, size, packed, at: the starts of repeated windows of each row. Texts are shuffled, and so compressed before."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = base.withColumn("id", F.coalesce("id", F.lit(int(NO_ID)).cast("long")))
     repeated = not base.groupBy("id").count().where("count > 1").isEmpty()
     base = base.withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)) if repeated else F.lit(0).cast("long"))
     found = save(_repeats(base.select("id", "th", "text"), n, most).groupBy("id", "th").agg(F.collect_list("pos").alias("at")))
-    return base.join(found.hint("shuffle_hash"), ["id", "th"], "left").select(F.when(F.col("id") != int(NO_ID), F.col("id")).alias("id"), "text", "at")
+    texts = base.select("id", "th", "text").mapInArrow(_packed, "id long, th long, size long, packed binary")
+    return texts.join(found.hint("shuffle_hash"), ["id", "th"], "left").select(F.when(F.col("id") != int(NO_ID), F.col("id")).alias("id"), "size", "packed", "at")
 
 
 def _mask(n_words: int, at, n: int) -> np.ndarray:
@@ -205,8 +229,8 @@ def _mask(n_words: int, at, n: int) -> np.ndarray:
 def _kept(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bytes]]]]:
     for batch in batches:
         made = []
-        for text, at in zip(batch.column(1), batch.column(2), strict=True):
-            words = (text.as_py() or "").encode().split()
+        for size, packed, at in zip(*batch.columns[1:], strict=True):
+            words = pa.decompress(packed.as_py(), decompressed_size=size.as_py(), codec="zstd", asbytes=True).split()
             total = len(words)
             if at.is_valid:
                 words = list(compress(words, _mask(total, at.values.to_numpy(), n)))
