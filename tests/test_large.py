@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import arbitration as a
 from tickloom.operators import boundaries as b
 from tickloom.operators import dimensions as d
+from tickloom.operators.books import recovered
 from tickloom.operators.matching import queue_pairs
 from tickloom.streaming.stateful import Kept, in_order
 
@@ -61,3 +62,17 @@ def test_boundaries_are_dealt_once_and_not_once_a_power_of_two(spark):
     bounds = b.boundaries(updates, ["t"], F.col("t"))
     plan = plan_of(b.depth_at(bounds, b.lives(updates, bounds, ["t"], ["t"])))
     assert "explode(sequence(" not in plan and "explode([0," not in plan and plan.count("xxhash64") == 1
+
+
+def test_a_recovered_market_s_deltas_are_not_dealt_by_market(spark):
+    rows = spark.range(100).selectExpr("id % 2 AS instrument_id", "1 + floor(id / 2) AS seq", "'bid' AS side", "id % 7 AS price", "id AS qty", "id AS seq_place")
+    begins = spark.sql("SELECT id AS snapshot_id, id AS instrument_id, 1L AS total, 10L AS last_seq FROM range(2)")
+    levels = spark.sql("SELECT id AS snapshot_id, 'ask' AS side, 9L AS price, 5L AS size FROM range(2)")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = recovered(begins, levels, rows)
+        assert "Exchange hashpartitioning(instrument_id" in plan_of(found)
+        assert not [line for line in plan_of(found).splitlines() if "SortMergeJoin [instrument_id#" in line and ", seq#" not in line and "_bucket" not in line]
+        assert {(r.instrument_id, r.applied) for r in found.collect()} == {(0, 40), (1, 40)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -95,14 +95,16 @@ def recovered(begins: DataFrame, levels: DataFrame, deltas: DataFrame) -> DataFr
     """Levels of each market after a loss: the complete snapshot that holds the latest delta, and the deltas (seq, side, price, qty) that go on from it without a gap.
 
     applied: how many deltas did. Deltas behind a gap wait for another snapshot; of those that repeat a number the first by seq_place counts.
-    A market without a complete snapshot has no book. Only the snapshot's number is kept per market; no task holds a market's stream.
+    A market without a complete snapshot has no book. Only the snapshot's number and the count are kept per market and sent to all tasks: a
+    shuffle by market would give a task the whole of one.
     """
     last = complete_snapshots(begins, levels).groupBy("instrument_id").agg(F.max(F.struct("last_seq", "snapshot_id")).alias("s")).select("instrument_id", "s.*")
+    last = F.broadcast(last)
     after = deltas.join(last, "instrument_id").where("seq > last_seq").withColumn("seq", F.col("seq") - F.col("last_seq"))
     going = valid_prefix(after, ["instrument_id"], "seq").select("instrument_id", "seq", "side", "price", "qty")
     base = levels.join(last, ["snapshot_id"]).select("instrument_id", F.lit(0).cast("long").alias("seq"), "side", "price", F.col("size").alias("qty"))
     applied = going.groupBy("instrument_id").agg(F.max("seq").alias("applied"))
-    return level_book(base.unionByName(going), ["seq"]).join(applied, "instrument_id", "left").withColumn("applied", F.coalesce("applied", F.lit(0)))
+    return level_book(base.unionByName(going), ["seq"]).join(F.broadcast(applied), "instrument_id", "left").withColumn("applied", F.coalesce("applied", F.lit(0)))
 
 
 def epochs(rows: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, reset: Column) -> DataFrame:
