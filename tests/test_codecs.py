@@ -2,9 +2,11 @@
 
 import struct
 
+import pyarrow as pa
 import pytest
 
 from tickloom.operators import codecs
+from tickloom.plans import encoded
 from tickloom.sources import datagrams as d
 
 
@@ -91,3 +93,10 @@ def test_captures(spark, tmp_path):
     (tmp_path / "a.pcap").write_bytes(content + b"cut")
     got = d.read_capture(spark, str(tmp_path / "a.pcap")).orderBy("arrival_seq").collect()
     assert [(r.arrival_seq, r.recv_ts_ns, r.publisher, r.grp, bytes(r.payload)) for r in got] == [(0, 5_000_000_000, "10.0.0.1", "233.0.0.2", b"one"), (4, 5_000_004_000, "10.0.0.1", "233.0.0.2", TRADE)]
+
+
+def test_a_batch_is_taken_in_parts():
+    """A task's Python holds objects of IN_HAND rows, however many a batch has."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["x"]) for n in (10_000, 0, 5)]
+    parts = list(d.in_hand(iter(batches)))
+    assert max(p.num_rows for p in parts) == d.IN_HAND and [x for p in parts for x in p.column(0).to_pylist()] == [*range(10_000), *range(5)]
