@@ -100,3 +100,8 @@ def test_a_batch_is_taken_in_parts():
     batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["x"]) for n in (10_000, 0, 5)]
     parts = list(d.in_hand(iter(batches)))
     assert max(p.num_rows for p in parts) == d.IN_HAND and [x for p in parts for x in p.column(0).to_pylist()] == [*range(10_000), *range(5)]
+
+
+def test_packets_of_documents_need_no_python_and_midpoints_none_to_pack(spark):
+    plans = {f.__name__: f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for f in (encoded.shred_headers, encoded.decoded_midpoints)}
+    assert "MapInArrow" not in plans["shred_headers"] and plans["decoded_midpoints"].count("MapInArrow") == 2
