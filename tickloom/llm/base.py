@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,20 @@ def drop(*frames: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of a batch of rows that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow() in batches of BATCH_BYTES, for the rest of the session.
+
+    By default a batch has 10,000 rows or 64 MB, which an executor holds several times for each task: as vectors and as the stream that is sent,
+    outside its heap, and in the worker.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def one_space(text: Column) -> Column:
     """Null as empty; every run of ASCII white space as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), _UNEVEN_WHITE, " ")

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import map_arrow
+
 # The pre-token pattern of byte-level BPE, and its visible characters for the 256 bytes.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -279,7 +281,7 @@ def _with_columns(df: DataFrame, keep: Sequence[str], made: str, fields: Sequenc
 
     arrow = {T.BinaryType(): pa.binary(), T.StringType(): pa.string(), T.LongType(): pa.int64()}
     types = [arrow[f.dataType] for f in fields]
-    return df.select(*keep, source).mapInArrow(run, schema)
+    return map_arrow(df.select(*keep, source), run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import hot_keys, save, with_salt
+from .base import hot_keys, map_arrow, save, with_salt
 from .components import components
 from .words import mix64, shingles
 
@@ -73,7 +73,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "th", "n", "h1", "h2", "sig", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, th long, n long, h1 long, h2 long, sig binary, sketch binary")
+    return map_arrow(docs, run, f"id {kind}, th long, n long, h1 long, h2 long, sig binary, sketch binary")
 
 
 def _posted(classes: DataFrame, prefix: int) -> DataFrame:
@@ -85,7 +85,7 @@ def _posted(classes: DataFrame, prefix: int) -> DataFrame:
             values = mix64(sigs | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[None, :]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), COORDINATES))], names=["value", "c"])
 
-    posts = save(classes.select("c", "sig").mapInArrow(run, "value long, c long"))
+    posts = save(map_arrow(classes.select("c", "sig"), run, "value long, c long"))
     shared = posts.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # values that are not shared are the rarest: they take up the head of each prefix
     ranked = posts.join(shared, "value").select("c", F.struct("df", "value").alias("v"))
@@ -124,7 +124,7 @@ def _agree(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 before = (sig[-1], size[-1])
             yield batch.select([0, 1]).filter(pa.array(fine))
 
-    return _beside_pivots(pairs, classes.select("c", "n", "sig")).select("p", "c", "n", "sig").mapInArrow(run, "p long, c long")
+    return map_arrow(_beside_pivots(pairs, classes.select("c", "n", "sig")).select("p", "c", "n", "sig"), run, "p long, c long")
 
 
 def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, pe
                 fine.append(p != c and _is_link(left, right, percent))
             yield batch.select([0, 1]).rename_columns(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return _beside_pivots(pairs, _texts(wanted, classes, docs)).select("p", "c", "text").mapInArrow(run, "a long, b long")
+    return map_arrow(_beside_pivots(pairs, _texts(wanted, classes, docs)).select("p", "c", "text"), run, "a long, b long")
 
 
 def _blocks(posts: DataFrame, weight: str, most: int) -> DataFrame:
@@ -195,7 +195,7 @@ def _compared(tasks: DataFrame, held: DataFrame, function, schema: str) -> DataF
         if left is not None:
             yield function(left)
 
-    return tasks.join(held, "c").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").select(*columns).mapInArrow(run, schema)
+    return map_arrow(tasks.join(held, "c").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").select(*columns), run, schema)
 
 
 def _starts(t: pa.RecordBatch) -> np.ndarray:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -56,7 +57,9 @@ def _drawn(sized: DataFrame, weights: Sequence[float], max_epochs: float) -> Dat
     totals = sorted(((r["s"], r["words"]) for r in histogram.groupBy("s").agg(F.sum("words").alias("words")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     targets = water_fill([n for _, n in totals], [float(weights[i % len(weights)]) for i in range(len(totals))], sum(n for _, n in totals), max_epochs)
     plan = [(s, n, t, min(int(t // n), int(max_epochs)) if n else 0) for (s, n), t in zip(totals, targets, strict=True)]
-    sources = spark.createDataFrame(plan, "s string, source_size long, target double, whole int")
+    # an Arrow table, as rows would start Python workers that stay beside those of other steps
+    kinds = {"s": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "whole": pa.int32()}
+    sources = spark.createDataFrame(pa.table({c: pa.array([p[i] for p in plan], kind) for i, (c, kind) in enumerate(kinds.items())}))
     # of each source at most RANGES rows: the last range that is taken once more is where the words come nearest to what is left
     gap = F.col("target") - F.col("whole") * F.col("source_size")
     upto = F.sum("words").over(W.partitionBy("hs").orderBy("u"))

@@ -20,6 +20,7 @@ never learned from, and not held out. An empty table gives an empty result; othe
 from __future__ import annotations
 
 import warnings
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .base import map_arrow
+
 SAMPLE_ROWS, SAMPLE_BYTES, MIN_DOCUMENTS = 6000, 64 << 20, 4
 LONGEST_SHARE = 16
 LIFT, STEMS = 2.0, range(3, 9)
@@ -72,24 +75,28 @@ class _Lookup(dict):
 def fit(rows: list[tuple[str, int]]) -> dict[str, float]:
     """Weights of words and stems, and the bias under the empty word, from (text, label) rows: Adam on the noisy-or likelihood with dropout, soft-thresholded."""
     held, seen, bad = [], Counter(), Counter()
+    # a word is held once, and a sentence as the numbers of its words
+    number: dict[str, int] = {}
     for text, label in rows:
         bags = {frozenset(_words(s)) for _, s in _sentences(text)} or {frozenset()}
-        held.append(bags)
+        held.append([array("i", [number.setdefault(w, len(number)) for w in bag]) for bag in bags])
         found = {f for w in frozenset().union(*bags) for f in _features(w)}
         seen.update(found)
         if label:
             bad.update(found)
     least = LIFT * sum(label for _, label in rows) / max(1, len(rows))
     vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_DOCUMENTS and bad[f] >= least * n))}
-    lookup = _Lookup(vocabulary)
-    sentence, feature, owner = [], [], []
+    del seen, bad
+    words, lookup = list(number), _Lookup(vocabulary)
+    sentence, feature, owner = array("q"), array("q"), array("q")
     for d, bags in enumerate(held):
         for bag in bags:
-            found = [vocabulary[f] for f in lookup.of(bag)]
-            sentence += [len(owner)] * len(found)
-            feature += found
+            found = [vocabulary[f] for f in lookup.of(words[k] for k in bag)]
+            sentence.extend([len(owner)] * len(found))
+            feature.extend(found)
             owner.append(d)
-    sentence, feature, owner = (np.array(x, dtype=np.int64) for x in (sentence, feature, owner))
+    sentence, feature, owner = (np.frombuffer(x, dtype=np.int64) for x in (sentence, feature, owner))
+    del held, number, words, lookup
     y = np.array([label for _, label in rows], dtype=float)
     w = np.zeros(len(vocabulary) + 1)
     w[-1] = -5.0
@@ -130,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         model = fit([(text, y) for _, y, text in found]) if found else {}
         yield pa.RecordBatch.from_arrays([pa.array(list(model), pa.string()), pa.array(list(model.values()), pa.float64())], names=["word", "weight"])
 
-    model = {r["word"]: r["weight"] for r in sample.coalesce(1).mapInArrow(run, "word string, weight double").collect()}
+    model = {r["word"]: r["weight"] for r in map_arrow(sample.coalesce(1), run, "word string, weight double").collect()}
     if not model and not lengths.isEmpty():
         warnings.warn(f"no labelled text has {size // LONGEST_SHARE} bytes or fewer: nothing is learned, all scores are 0", stacklevel=2)
     return model
@@ -170,7 +177,7 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array([int(x >= 0.5) for x in made], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return map_arrow(narrow, run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def offending_sentences(docs: DataFrame, model: dict[str, float], least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +197,7 @@ def offending_sentences(docs: DataFrame, model: dict[str, float], least: float =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int64()), pa.array(texts, pa.string()), pa.array(scores, pa.float64())], names=names)
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, start long, sentence string, score double")
+    return map_arrow(narrow, run, f"doc_id {kind}, start long, sentence string, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,4 +210,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for batch in batches:
             yield batch.filter(pa.array([known.text(value.as_py()) < 0.5 for value in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
