@@ -2,8 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from tickloom.operators import matching
 from tickloom.operators.arbitration import race_pairs
 from tickloom.operators.matching import Queue, queue_pairs, unpaired
 
@@ -62,3 +64,30 @@ def test_counts_of_what_was_never_paired(spark):
 
 def test_odd_rows(spark):
     assert found(spark, [], 5) == [] and found(spark, [("s", 1, None, 1), ("s", 1, 1, None), ("s", 1, 0, 1)], 5) == []
+
+
+def test_signatures_are_compared_by_spark_and_never_read_by_python(spark):
+    """NaN and the two zeros are values like any other; a time that Python can't hold goes through as it is."""
+    rows = spark.sql("SELECT CAST(p AS DOUBLE) AS price, CAST(t AS TIMESTAMP) AS day, publisher, recv_us FROM VALUES ('NaN', 0, 0L, 10L), ('NaN', 0, 1L, 15L), ('-0.0', 0, 0L, 20L), ('0.0', 0, 1L, 26L), ('1.0', 900000000000, 0L, 30L), ('1.0', 900000000000, 1L, 37L) AS v(p, t, publisher, recv_us)")
+    for width in (1, 3_600_000_000):
+        pairs = queue_pairs(rows, ["price", "day"], ["recv_us", "publisher"], 50, width_us=width)
+        found = pairs.selectExpr("isnan(price)", "unix_seconds(day)", "first", "second", "delta_us", "first_us").collect()
+        assert sorted(tuple(r) for r in found) == [(False, 0, 0, 1, 6, 20), (False, 900_000_000_000, 0, 1, 7, 30), (True, 0, 0, 1, 5, 10)]
+
+
+def test_queues_that_become_equal_go_on_as_one(monkeypatch):
+    """A bucket that may begin with 25 queues doesn't cost 25 times its rows."""
+    calls, offer, some = [], Queue.offer, random.Random(0)
+    monkeypatch.setattr(Queue, "offer", lambda self, *args: (calls.append(1), offer(self, *args))[1])
+    rows = [(matching.BEFORE, i % 3, i) for i in range(24)] + [(matching.OWN, some.randint(0, 2), 24 + i) for i in range(5000)]
+    kinds, paths, times = zip(*rows, strict=True)
+    batch = pa.record_batch({"_k0": ["s"] * len(rows), "_in": [1] * len(rows), "_ends": [False] * (len(rows) - 1) + [True], "_kind": kinds, "_path": paths, "_at": times})
+    # cut in the middle, as batches are
+    (table,) = [t for b in matching._tables(iter([batch.slice(0, 1000), batch.slice(1000)]), ["_k0"], 10**6, 8) for t in b.column("_table").to_pylist()]
+    assert len(table) == 25 * 4 and len(calls) < 2 * 5000
+    for path, n in ((0, 0), (1, 3), (2, 8)):
+        queue = Queue(path, [at for kind, p, at in rows if kind == matching.BEFORE and p == path][-n:] if n else [])
+        for kind, p, at in rows:
+            if kind == matching.OWN:
+                offer(queue, p, at, 10**6, 8)
+        assert any(tuple(table[k : k + 4]) == (path if n else 0, n, *queue.known_by()) for k in range(0, 100, 4))
