@@ -1,6 +1,7 @@
 """Pairs by waiting queues against one pass over all copies."""
 
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -8,6 +9,8 @@ import pytest
 from tickloom.operators import matching
 from tickloom.operators.arbitration import race_pairs
 from tickloom.operators.matching import Queue, queue_pairs, unpaired
+from tickloom.plans import races
+from tickloom.sources.tables import mirrored
 
 SCHEMA = "sig string, id long, publisher long, recv_us long, first string"
 
@@ -91,3 +94,51 @@ def test_queues_that_become_equal_go_on_as_one(monkeypatch):
             if kind == matching.OWN:
                 offer(queue, p, at, 10**6, 8)
         assert any(tuple(table[k : k + 4]) == (path if n else 0, n, *queue.known_by()) for k in range(0, 100, 4))
+
+
+@pytest.mark.parametrize(("seed", "window", "width", "paths"), [(0, 400, 1, 3), (1, 2500, 1, 2), (2, 90, 200, 5), (3, 0, 1, 3), (4, 700, 10**9, 3)])
+def test_no_copy_gives_way_if_all_may_wait(spark, seed, window, width, paths):
+    some, rows = random.Random(seed), []
+    for i in range(900):
+        # a path is often alone for a while, so that many more than eight wait
+        path = some.randrange(paths) if some.random() < 0.3 else i // 40 % paths
+        rows.append((some.choice(["a", "a", "a", "b"]), i, path, i * 5 + some.randint(0, 30)))
+    want = model(rows, window, 10**6)
+    assert found(spark, rows, window, width_us=width, most=None) == want
+    assert window < 400 or len(want) > len(model(rows, window, 8))
+
+
+def test_twenty_copies_that_wait_all_pair(spark):
+    rows = [("s", i, 0, i) for i in range(20)] + [("s", i, 1, 100 + i) for i in range(20)]
+    assert found(spark, rows, 200, most=None) == [("s", 0, 1, 100, i) for i in sorted(range(20), key=repr)]
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_a_copy_costs_no_more_when_many_wait(most):
+    """A bucket that may begin with 9,001 queues: all of them together, each as it goes alone."""
+    some = random.Random(1)
+    before = {p: list(range(p, 9000, 3)) for p in range(3)}
+    own = [(some.choice((0, 1, 1, 2)), 9000 + i) for i in range(9000)]
+    queues = matching.Queues(before, 8000, most)
+    starts = len(queues.starts)
+    began = time.process_time()
+    for copy in own:
+        queues.offer(*copy)
+    assert time.process_time() - began < 3  # 81 million steps take ten times as long
+    table = queues.table()
+    assert starts == (9001 if most is None else 10) and len(table) == 4 * starts
+    for k in some.sample(range(starts), 9):
+        path, n, *after = table[4 * k : 4 * k + 4]
+        queue = Queue(path, before[path][-n:] if n else [])
+        for copy in own:
+            queue.offer(*copy, 8000, most)
+        assert after == list(queue.known_by())
+
+
+def test_race_pairs_of_all_lets_all_copies_wait(spark, tmp_path):
+    """A hundred trades of one symbol and size, three paths' copies minutes apart: eight waiting copies were all that could pair."""
+    spark.sql("SELECT id AS event_id, TIMESTAMP_SECONDS(1000 + id) AS ts, id AS user_id, 'A' AS event_type, 1.0D AS value FROM range(0, 700, 7)").write.parquet(f"{tmp_path}/events.parquet")
+    copies = [("A", r.event_id, r.publisher, r.recv_us) for r in mirrored(spark, str(tmp_path)).collect()]
+    want = model(copies, races.WINDOW_US, 10**6)
+    got = sorted([("A", *r) for r in races.race_pairs_of_all(spark, str(tmp_path)).drop("symbol", "size").collect()], key=repr)
+    assert got == want and len(want) > len(model(copies, races.WINDOW_US))
