@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import boundaries as b
@@ -12,19 +12,25 @@ MOMENT = ["ship_us", "l_orderkey"]
 MONTH_US = 2_592_000_000_000
 
 
-def _book(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    updates = level_updates(spark, sf_dir).withColumn("instrument_id", F.col("l_suppkey"))
-    bounds = b.boundaries(updates, MOMENT, F.floor(F.col("ship_us") / MONTH_US))
-    return bounds, b.lives(updates, bounds, MOMENT, LEVEL_ORDER)
+#: A market is a supplier, so l_suppkey orders nothing within it.
+ORDER = [c for c in LEVEL_ORDER if c != "l_suppkey"]
+
+
+def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_updates(spark, sf_dir).withColumn("instrument_id", F.col("l_suppkey"))
+
+
+def _month(at: Column) -> Column:
+    return F.floor(at / MONTH_US)
 
 
 def best_at_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.best_at(*_book(spark, sf_dir))
+    return b.best_of(_updates(spark, sf_dir), MOMENT, ORDER, _month(F.col("ship_us")))
 
 
 def depth_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best levels of each side after every datagram, added up, and whether they have to be published again."""
-    depth = b.depth_at(*_book(spark, sf_dir))
+    depth = b.book_of(_updates(spark, sf_dir), MOMENT, ORDER, _month(F.col("ship_us")))
     total = lambda side: F.aggregate(side, F.lit(0).cast("long"), lambda t, x: t + x["size"])
     worst = lambda side: F.get(side, F.size(side) - 1)["price"]
     return depth.select("instrument_id", *MOMENT, "ord", F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"), total("bids").alias("bid_depth"), total("asks").alias("ask_depth"), worst("bids").alias("worst_bid"), worst("asks").alias("worst_ask"), "published")
@@ -32,12 +38,10 @@ def depth_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best prices at a moment within two days of each line's: those after the market's last datagram until then."""
-    bounds, lives = _book(spark, sf_dir)
     li = table(spark, sf_dir, "lineitem")
     moment = micros(F.col("l_shipdate")) + ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 97 - 48) * HOUR_US
     asked = li.select(F.col("l_suppkey").alias("instrument_id"), moment.alias("at_us"), F.col("l_orderkey").alias("for_order"), "l_linenumber", "l_partkey")
-    found = b.as_of(asked, bounds, MOMENT, "at_us", lambda at: F.floor(at / MONTH_US))
-    return found.join(b.best_at(bounds, lives).drop(*MOMENT), ["instrument_id", "ord"], "left").drop("ord")
+    return b.best_as_of(asked, _updates(spark, sf_dir), MOMENT, ORDER, "at_us", _month)
 
 
 def queries() -> dict:
