@@ -44,6 +44,14 @@ def test_a_table_s_steps_hold_no_rows_of_a_key(spark):
     assert last == {0: (1, 25_000, 25_000), 1: (101, 25_100, 25_000)}
 
 
+def test_a_step_s_row_has_the_columns_that_it_reads(spark):
+    """Others go through as they are, even a time that Python can't hold."""
+    rows = spark.sql("SELECT id AS k, 1L AS n, TIMESTAMP_SECONDS(900000000000) AS far, array(named_struct('x', id)) AS wide FROM range(3)")
+    kept = Kept("total long", lambda s: (s,), lambda r: r["total"])
+    found = in_order(rows, ["k"], ["n"], lambda state, row: (0, (",".join(sorted(row)),)), kept, "names string", reads=["n"])
+    assert sorted((r[0], r[1], r[2][0].x, r.names) for r in found.selectExpr("k", "unix_seconds(far)", "wide", "names").collect()) == [(i, 900_000_000_000, i, "k,n") for i in range(3)]
+
+
 def test_stale_depths_know_who_led_their_tick(spark):
     one = "array(named_struct('price', 1.0D, 'size', 1.0D))"
     rows = spark.sql(f"SELECT 'S' AS symbol, publisher, source_us, recv_us, {one} AS bids, {one} AS asks FROM VALUES (1L, 5L, 10L), (2L, 9L, 20L), (3L, 5L, 30L), (4L, 2L, 40L), (4L, 99000000L, 50L), (5L, 99000000L, 60L) AS t(publisher, source_us, recv_us)")

@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.streaming.order_race import FUTURE_SKEW_NS, Clock, Guard, Race, order_race, race_states, venue_clock
+from tickloom.plans import raced
+from tickloom.streaming.order_race import FUTURE_SKEW_NS, Clock, Guard, Race, _listed, order_race, race_states, venue_clock
 
 S = 1_000_000_000
 KEY = ["venue", "category", "channel", "instrument_id"]
@@ -169,3 +171,26 @@ def test_a_stream_goes_on_from_a_book(spark, tmp_path):
         q.awaitTermination(600)
         got = {r.seq: r.verdicts for r in spark.read.parquet(str(tmp_path / f"out{cut}")).collect()}
         assert got == {seq: v for seq, v in whole.items() if seq > cut}
+
+
+def test_the_query_equals_one_pass_and_its_clock_sees_no_changes(spark):
+    sf = "/root/testdata/sf0.001"
+    datagrams = raced._datagrams(spark, sf)
+    changes = {(r.instrument_id, r.datagram): r.changes for r in datagrams.collect()}
+    rows = sorted(raced._batches(datagrams).collect(), key=lambda r: (r.recv_ts_ns, r.publisher, r.datagram))
+    given = [(r.venue, r.category, r.channel, r.instrument_id, (r.instrument_id, r.publisher, r.datagram), r.publisher, r.kind, r.source_ts_ns, r.mono_ns, r.wall_ns, r.recv_ts_ns, [(c.order_id, c.action, c.price, c["size"]) for c in changes[r.instrument_id, r.datagram]]) for r in rows]
+    want = sorted((*seq, c.order_id, c.seq_no, v, forced) for seq, _, _, verdicts, forced in model(given, Guard()) for c, v in zip(changes[seq[0], seq[2]], verdicts, strict=True))
+    query = raced.order_race_verdicts(spark, sf)
+    got = sorted(tuple(r) for r in query.collect())
+    assert got == want and len({r[5] for r in got}) > 1
+    steps = [line for line in query._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert len(steps) == 2 and sum("changes#" in line for line in steps) == 1, steps
+
+
+def test_changes_of_a_column():
+    """Cut columns, lists that are null or empty, null values."""
+    kind = pa.list_(pa.struct([("seq_no", pa.int64()), ("order_id", pa.int64()), ("action", pa.string()), ("price", pa.float64()), ("size", pa.float64())]))
+    rows = [[(0, 1, "new", 1.0, 2.0)], None, [], [(1, None, None, None, 0.0), (2, 3, "update", 5.0, None)], [(3, 4, "new", 1.0, 1.0)]]
+    column = pa.array([None if r is None else [dict(zip(("seq_no", "order_id", "action", "price", "size"), c, strict=True)) for c in r] for r in rows], kind)
+    for lo, hi in ((0, 5), (1, 4), (3, 5), (1, 3), (2, 2)):
+        assert _listed(column.slice(lo, hi - lo)) == [None if r is None else [c[1:] for c in r] for r in rows[lo:hi]]

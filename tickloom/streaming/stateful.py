@@ -10,7 +10,7 @@ another, so that it holds a key's state and never its rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
@@ -70,10 +70,24 @@ def _row(value, kind: T.DataType):
     return Row(*kind.names)(*[_row(value[f.name], f.dataType) for f in kind.fields])
 
 
-def _over_table(rows: DataFrame, key: Sequence[str], order: Sequence[str], step: Step, kept: Kept, made: str, first: DataFrame | None) -> DataFrame:
+def values_of(column: pa.Array) -> list:
+    """Python's values of a column; of numbers, and of strings that repeat, by ways that are quicker than to_pylist()."""
+    kind = column.type
+    if column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if column.null_count == 0 and (pa.types.is_string(kind) or pa.types.is_large_string(kind)):
+        found = column.dictionary_encode()
+        if 4 * len(found.dictionary) < len(column):
+            words = found.dictionary.to_pylist()
+            return [words[i] for i in found.indices.to_numpy().tolist()]
+    return column.to_pylist()
+
+
+def _over_table(rows: DataFrame, key: Sequence[str], order: Sequence[str], step: Step, kept: Kept, made: str, first: DataFrame | None, reads: Sequence[str] | None, values: Mapping[str, Callable[[pa.Array], list]]) -> DataFrame:
     """in_order() of a table: a key's rows are a run of sorted ones. A state to begin with comes before them, as a row of its own."""
     new, fields = T.StructType.fromDDL(made), T.StructType.fromDDL(kept.schema)
     schema, columns = T.StructType([*rows.schema.fields, *new.fields]), list(rows.columns)
+    read = columns if reads is None else list(dict.fromkeys([*key, *reads]))
     steps = rows.withColumn("_own", F.lit(True))
     begins = first is not None
     if begins:
@@ -89,10 +103,10 @@ def _over_table(rows: DataFrame, key: Sequence[str], order: Sequence[str], step:
             for batch in batches:
                 for at in range(0, batch.num_rows, BATCH):
                     part = batch.slice(at, BATCH)
-                    values = [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+                    given = [values.get(c, values_of)(part.column(part.schema.get_field_index(c))) for c in read]
                     firsts = part.column(part.schema.get_field_index("_first")).to_pylist() if begins else None
                     own = part.column(part.schema.get_field_index("_own"))
-                    yield part.filter(own).select(columns), [dict(zip(columns, v, strict=True)) for v in zip(*values, strict=True)], own.to_pylist(), firsts
+                    yield (part.filter(own) if begins else part).select(columns), [dict(zip(read, v, strict=True)) for v in zip(*given, strict=True)], values_of(own), firsts
 
         last, state = None, None
         for part, found, own, firsts in each():
@@ -102,8 +116,8 @@ def _over_table(rows: DataFrame, key: Sequence[str], order: Sequence[str], step:
                 if k != last:
                     last, state = k, None
                 if own[i]:
-                    state, values = step(state, row)
-                    out.append(values)
+                    state, new_values = step(state, row)
+                    out.append(new_values)
                 else:
                     state = kept.unpack(_row(firsts[i], fields))
             if out:
@@ -115,14 +129,16 @@ def _over_table(rows: DataFrame, key: Sequence[str], order: Sequence[str], step:
     return dealt.mapInArrow(run, schema)
 
 
-def in_order(rows: DataFrame, key: Sequence[str], order: Sequence[str], step: Step, kept: Kept, made: str, idle_ms: int | None = None, first: DataFrame | None = None) -> DataFrame:
+def in_order(rows: DataFrame, key: Sequence[str], order: Sequence[str], step: Step, kept: Kept, made: str, idle_ms: int | None = None, first: DataFrame | None = None, reads: Sequence[str] | None = None, values: Mapping[str, Callable[[pa.Array], list]] | None = None) -> DataFrame:
     """rows with more columns (`made`, as DDL), by step(state, row) over the rows of a key in order; nulls come first.
 
     idle_ms: forget a key that got no row for so long (by the cluster's clock); None keeps it for ever. first: states to begin with,
     the key's columns and those of kept.schema, one row a key. No rows give no rows; values come through as they are, nulls too.
+    reads: the columns that the step reads (all by default); on a table no others become Python's. values: how a table's columns do, where
+    rows as dicts aren't wanted.
     """
     if not rows.isStreaming:
-        return _over_table(rows, key, order, step, kept, made, first)
+        return _over_table(rows, key, order, step, kept, made, first, reads, values or {})
     spark = rows.sparkSession
     spark.streams  # noqa: B018  starts what state stores register with; a table's query doesn't by itself
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
